@@ -137,6 +137,31 @@ def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int, int]
     return best
 
 
+def _indexes(benchmark: DataFrame, min_words: int, similarity: float, weight: int, block_bytes: int) -> Iterator[SeedIndex]:
+    """Seed indexes that together hold every test item, each of at most about ``block_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // block_bytes) or 1
+    for part in range(parts):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+        rows = sorted({(r[0], r[1]) for r in mine.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield SeedIndex(rows, min_words, similarity, weight)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_words: int = 13, similarity: float = 0.8, weight: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that :func:`contaminated` finds no overlap in. Narrow."""
+    out = docs
+    for index in _indexes(benchmark, min_words, similarity, weight, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def clean(text, shared=shared):
+            return text.map(lambda t: not shared.value.match(t))
+
+        out = out.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return out
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -158,16 +183,10 @@ def contaminated(
     null; repeated documents are reported once for each row, repeated items
     once; columns with other names are not read.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // block_bytes) or 1
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sc = docs.sparkSession.sparkContext
     found = []
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = sorted({(r[0], r[1]) for r in mine.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        index = sc.broadcast(SeedIndex(rows, min_words, similarity, weight))
+    for built in _indexes(benchmark, min_words, similarity, weight, block_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

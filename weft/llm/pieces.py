@@ -290,8 +290,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL)
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, text string")
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL) -> DataFrame:
-    """(id_col, n_pieces, ids_sha256 over little-endian 32-bit ids, decoded_sha256, decoded_chars), ids and texts staying in the worker."""
+def _digest(model_path: str, with_ids: bool, id_col: str):
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = ["n_pieces", "ids_sha256", "decoded_sha256", "decoded_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
@@ -301,8 +302,20 @@ def digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL)
                 ids = x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)
                 text = m.decode(ids.tolist())
                 rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text)))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[id_col, "n_pieces", "ids_sha256", "decoded_sha256", "decoded_chars"])
+            cols = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + with_ids], *cols], names=[id_col, *["ids"] * with_ids, *names])
+
+    return run
+
+
+_DIGEST = "n_pieces long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL) -> DataFrame:
+    """(id_col, n_pieces, ids_sha256 over little-endian 32-bit ids, decoded_sha256, decoded_chars); texts stay in the worker."""
+    return encoded.select(id_col, "ids").mapInArrow(_digest(model_path, False, id_col), f"`{id_col}` long, {_DIGEST}")
+
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, n_pieces long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+def with_digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL) -> DataFrame:
+    """The same with the column ids."""
+    return encoded.select(id_col, "ids").mapInArrow(_digest(model_path, True, id_col), f"`{id_col}` long, ids array<int>, {_DIGEST}")

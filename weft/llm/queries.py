@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontam, line_dedup, pieces, quality, simhash, suffixes
+from weft.llm import chat, decontam, html_text, licences, line_dedup, pieces, quality, simhash, suffixes, vectors
 from weft.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,15 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents"), length=100)
 
@@ -54,6 +67,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op3_decontaminate, op4_quality, op5_line_dedup, op6_chat_format, op9_suffix_dedup, op10_sentencepiece)
+    for f in (
+        op1_simhash, op2_vector_graph, op3_decontaminate, op4_quality, op5_line_dedup, op6_chat_format, op7_html_text, op8_licences, op9_suffix_dedup,
+        op10_sentencepiece,
+    )
 }
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES, max_share=MAX_SHARE)}

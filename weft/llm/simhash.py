@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import checkpointed, connected_components
@@ -61,15 +61,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, "id long, fp long")
 
 
-def block_masks(blocks: int, max_distance: int) -> list[int]:
+def block_masks(blocks: int, max_distance: int) -> list[tuple[int, list[int]]]:
     """Masks such that two fingerprints within ``max_distance`` bits agree under at least one.
 
     ``blocks`` pieces, at most ``max_distance`` of which can differ: every mask
-    covers ``blocks - max_distance`` of them.
+    covers ``blocks - max_distance`` of them. With each mask come the pieces before its
+    last one that it does not cover: where two fingerprints agree under several
+    masks, they differ in all of these under one alone.
     """
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    piece = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(piece, blocks - max_distance)]
+    piece = [_signed(((1 << (b - a)) - 1) << a) for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for c in combinations(range(blocks), blocks - max_distance):
+        mask = 0
+        for i in c:
+            mask |= piece[i]
+        out.append((mask, [piece[i] for i in range(c[-1]) if i not in c]))
+    return out
 
 
 def _signed(x: int) -> int:
@@ -77,22 +85,31 @@ def _signed(x: int) -> int:
 
 
 def close_pairs(distinct: DataFrame, max_distance: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b, distance) of all pairs a < b of the distinct longs in ``distinct.fp`` within ``max_distance`` bits.
+    """(a, b, distance), each once, of all pairs a < b of the distinct longs in ``distinct.fp`` within ``max_distance`` bits.
 
     Each fingerprint is dealt to every mask; those that agree under a mask meet
-    in an equi-join whose condition verifies the Hamming distance, so that
-    candidates which fail are never rows. Keys have 64 * (blocks - max_distance)
-    / blocks bits, which keeps blocks small for billions of fingerprints.
+    in an equi-join whose condition verifies the Hamming distance and that no
+    earlier mask has the pair, so that candidates which fail are never rows.
+    Keys have 64 * (blocks - max_distance) / blocks bits, which keeps blocks
+    small for billions of fingerprints.
     """
-    masks = F.array(*[F.lit(_signed(m)) for m in block_masks(blocks, max_distance)])
-    rows = distinct.select("fp", F.posexplode(masks).alias("mask", "bits")).select(
-        "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key")
-    )
-    a, b = rows.alias("a"), rows.alias("b")
-    apart: Column = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    on = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
-    pairs = a.join(b, on & (F.col("a.fp") < F.col("b.fp")) & (apart <= max_distance))
-    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), apart.alias("distance")).distinct()
+    found = _agreeing(distinct.select(F.col("fp").alias("node"), "fp"), max_distance, blocks)
+    return found.select("a", "b", "distance")
+
+
+def _agreeing(rows: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(a, b, distance), each pair of nodes a < b once, of ``rows`` (node, fp) whose fingerprints are close, equal ones too."""
+    long = lambda x: F.lit(x).cast("long")
+    listed = block_masks(blocks, max_distance)
+    masks = F.array(*[long(m) for m, _ in listed])
+    apart = F.array(*[F.array(*map(long, d)).cast("array<long>") for _, d in listed])
+    keyed = rows.select("node", "fp", F.posexplode(masks).alias("mask", "bits"))
+    keyed = keyed.select("node", "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    on = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+    on = on & (F.bit_count(differ) <= max_distance) & F.forall(apart[F.col("a.mask")], lambda x: differ.bitwiseAND(x) != 0)
+    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.bit_count(differ).alias("distance"))
 
 
 def near_duplicates(
@@ -127,5 +144,88 @@ def near_duplicates(
     return fps.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "n_links", "component_id")
 
 
+def word_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct XXH64 values of a text's word shingles, sorted; none for a text without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    many = range(max(len(words) - shingle + 1, min(len(words), 1)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in many], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of distinct features, as a signed long."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        part = hashes[i : i + _STEP]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > max(len(hashes), 1), bitorder="little").view("<i8")[0])
+
+
+def _two_fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(majority(word_hashes(t, 1)), majority(word_hashes(t, shingle))) for t in b.column(2).to_pylist()]
+            cols = list(zip(*made, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "words", "shingles"])
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [word_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            out = b.select([0, 1])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 3, blocks: int = 6) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``shingle``-word
+    shingles is ``similarity`` or more, and the SimHash of their distinct
+    words, or else that of their shingles, is within ``max_distance`` bits; a group is what links
+    connect. (The words' SimHash is much nearer for edited copies; it only proposes pairs, each
+    of which is compared exactly.) Equal texts, null and empty ones being equal, are one from the
+    start. The row with the least id stays, one of equal rows; a null id only in a group without
+    others.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"), F.col(text_col).cast("string").alias("text"))
+    prints = checkpointed(rows.mapInArrow(_two_fingerprints(shingle), "id long, node long, words long, shingles long"))
+    nodes = prints.groupBy("node").agg(F.min("words").alias("words"), F.min("shingles").alias("shingles"))
+    found = [_agreeing(nodes.select("node", F.col(c).alias("fp")), max_distance, blocks).select("a", "b") for c in ("words", "shingles")]
+    pairs = checkpointed(found[0].union(found[1]).distinct())
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = rows.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
+    sets = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "node long, set array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    linked = checkpointed(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+    tied = connected_components(linked, "a", "b")
+    members = prints.select("id", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("first"))
+    first = first.select(F.col("first.id").alias("_id"), F.col("first.node").alias("_node"))
+    held = docs.withColumn("_text_node", node)
+    kept = held.join(first, (F.col("_text_node") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_text_node", id_col).orderBy(*[F.col(c) for c in docs.columns if c != text_col and dict(docs.dtypes)[c] != "variant" and "map<" not in dict(docs.dtypes)[c]]))
+    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
