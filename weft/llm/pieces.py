@@ -8,6 +8,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ _WORD = regex.compile(f"{MARK}+[^{MARK}]*+|[^{MARK}]++")
 _WORD_OF_LINE = regex.compile(f"{MARK}+[^{MARK}\n]*+|[^{MARK}\n]++|\n")
 #: Words whose ids a process remembers; beyond that it forgets those that it met least lately.
 REMEMBERED = 300_000
+#: Bytes of text whose new words are sorted together.
+LOT = 4 << 20
 UNIGRAM, BPE = 1, 2
 _loaded: dict[str, Pieces] = {}
 
@@ -97,6 +100,15 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.word = _WORD if any("\n" in p and len(p) > 1 for p in self.ids) else _WORD_OF_LINE
         self.worst = min(self.scores) - 10
+        # The pieces' trie: a node has its children by character and, under "", the piece that ends there.
+        self.trie: dict[str, object] = {}
+        self.packed: dict[str, bytes] = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+            self.packed[piece] = pack("<i", i)
         self._stable: dict[tuple[str, str], bool] = {}
         self._memory: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -127,12 +139,11 @@ class Pieces:
             known = self._stable[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def segment(self, words: list[str]) -> dict[str, list[str]]:
+    def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Pieces of each of the distinct ``words``, which are visited in sorted order."""
-        out: dict[str, list[str]] = {}
         before = ""
         last: list[str] = [""]  # last[i]: the piece that ends at character i
-        score = [0.0]
+        state: list = [() if self.kind == BPE else 0.0]
         step = self._extend_merged if self.kind == BPE else self._extend_best
         for word in sorted(words):
             shared = 0
@@ -140,30 +151,38 @@ class Pieces:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], score[shared + 1 :]
-            step(word, last, score)
+            del last[shared + 1 :], state[shared + 1 :]
+            step(word, last, state)
             parts, i = [], len(word)
             while i:
                 parts.append(last[i])
                 i -= len(last[i])
-            out[word] = parts[::-1]
+            parts.reverse()
+            yield word, parts
             before = word
-        return out
 
-    def _extend_merged(self, word: str, last: list[str], _: list[float]) -> None:
-        ids, stable, beside, longest = self.ids, self._stable, self._beside, self.longest
+    def _extend_merged(self, word: str, last: list[str], state: list) -> None:
+        """State: the places in the pieces' trie that the pieces which may still end later have come to."""
+        root, stable, beside = self.trie, self._stable, self._beside
         for end in range(len(last), len(word) + 1):
-            found = word[end - 1]
-            for start in range(end - longest if end > longest else 0, end - 1):
-                piece = word[start:end]
-                if piece in ids:
-                    known = stable.get((last[start], piece))
-                    if known or known is None and beside(last[start], piece):
-                        found = piece
-                        break
-            last.append(found)
-
-    def _extend_best(self, word: str, last: list[str], score: list[float]) -> None:
+            c = word[end - 1]
+            found, open_ = "", []
+            for start, node in state[end - 1]:
+                node = node.get(c)
+                if node is not None:
+                    open_.append((start, node))
+                    if not found and "" in node:
+                        piece = node[""]
+                        known = stable.get((last[start], piece))
+                        if known or known is None and beside(last[start], piece):
+                            found = piece
+            node = root.get(c)
+            if node is not None:
+                open_.append((end - 1, node))
+            last.append(found or c)
+            state.append(open_)
+
+    def _extend_best(self, word: str, last: list[str], score: list) -> None:
         for end in range(len(last), len(word) + 1):
             piece, total = self._last_best(word, end, score)
             last.append(piece)
@@ -178,16 +197,12 @@ class Pieces:
         return best, total
 
     def _to_ids(self, parts: list[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.byte_id[0] >= 0:
-                out.extend(self.byte_id[b] for b in p.encode())
-            else:
-                out.append(self.unk)
-        return pack(f"<{len(out)}i", *out)
+        known = self.packed
+        try:
+            return b"".join([known[p] for p in parts])
+        except KeyError:  # characters without a piece: their bytes, if the model has those
+            spelt = [known.get(p) or b"".join(pack("<i", self.byte_id[b] if self.byte_id[b] >= 0 else self.unk) for b in (p.encode() if self.byte_id[0] >= 0 else b"?")) for p in parts]
+            return b"".join(spelt)
 
     # Texts -------------------------------------------------------------------
 
@@ -227,7 +242,7 @@ class Pieces:
         runs = {w for w in new if self.kind == BPE and w.startswith(MARK * 2)}
         for w in runs:
             memory[w] = self._to_ids(self.merged(w))
-        for w, parts in self.segment([w for w in new if w not in runs]).items():
+        for w, parts in self.segment([w for w in new if w not in runs]):
             memory[w] = self._to_ids(parts)
 
     def decode(self, ids: list[int]) -> str:
@@ -247,6 +262,17 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def _lots(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Successive rows with about LOT bytes of text: the more words are sorted at once, the more prefixes they share."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + LOT, "right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def model(path: str) -> Pieces:
     """The model of a file; read once in each process."""
     if path not in _loaded:
@@ -268,7 +294,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in _lots(b, 1):
                 made = m.encode_batch([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
