@@ -1,6 +1,6 @@
 """Queries over the standard tables, one or more for each operator."""
 
-from weft.plans import scalar, tables
+from weft.plans import graph, scalar, tables
 from weft.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "scalar", "tables"]
+__all__ = ["QUERIES", "SQL", "graph", "scalar", "tables"]

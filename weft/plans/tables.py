@@ -709,10 +709,10 @@ def c04(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("d03_final_score", f"WITH {SCORED} SELECT paper_id, round(0.55e0 * (paper_id % 100) / 100e0 + 0.25e0 * quality + 0.20e0 * (paper_id % 4 + 1) / 4e0, 6) AS score FROM scored WHERE 0.55e0 * (paper_id % 100) / 100e0 + 0.25e0 * quality + 0.20e0 * (paper_id % 4 + 1) / 4e0 >= 0.3e0")
+@query("d03_final_score", f"WITH {SCORED} SELECT paper_id, round(0.55e0 * (paper_id % 100) / 100e0 + 0.25e0 * quality + 0.20e0 * (paper_id % 4 + 1) / 4e0, 8) AS score FROM scored WHERE 0.55e0 * (paper_id % 100) / 100e0 + 0.25e0 * quality + 0.20e0 * (paper_id % 4 + 1) / 4e0 >= 0.3e0")
 def d03(spark, sf):
     s = 0.55 * (F.col("paper_id") % 100) / 100.0 + 0.25 * F.col("quality") + 0.20 * (F.col("paper_id") % 4 + 1) / 4.0
-    return with_quality(spark, sf).withColumn("score", s).where("score >= 0.3").select("paper_id", F.round("score", 6).alias("score"))
+    return with_quality(spark, sf).withColumn("score", s).where("score >= 0.3").select("paper_id", F.round("score", 8).alias("score"))
 
 
 @query("d04_lookups", "SELECT DISTINCT o_custkey FROM orders WHERE CAST(o_totalprice AS DOUBLE) > 300000 AND o_orderstatus = 'F'")
