@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lots(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Successive rows of a batch with about ``most`` bytes or items in ``column``, one row at least."""
+    c = batch.column(column)
+    n = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+    size = np.cumsum(pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 

@@ -8,18 +8,19 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import lots
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A marked word: a run of marks and what follows up to the next mark or, where no longer piece holds one, newline.
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*+|[^{MARK}]++")
 _WORD_OF_LINE = regex.compile(f"{MARK}+[^{MARK}\n]*+|[^{MARK}\n]++|\n")
 #: Words whose ids a process remembers; beyond that it forgets those that it met least lately.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: Bytes of text whose new words are sorted together.
 LOT = 4 << 20
 UNIGRAM, BPE = 1, 2
@@ -134,7 +135,7 @@ class Pieces:
         key = (left, right)
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > 4 * REMEMBERED:
+            if len(self._stable) > 2 * REMEMBERED:
                 self._stable.clear()
             known = self._stable[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -262,17 +263,6 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
-def _lots(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Successive rows with about LOT bytes of text: the more words are sorted at once, the more prefixes they share."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        end = int(np.searchsorted(size, (size[start - 1] if start else 0) + LOT, "right"))
-        end = max(end, start + 1)
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def model(path: str) -> Pieces:
     """The model of a file; read once in each process."""
     if path not in _loaded:
@@ -294,11 +284,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in batches:
-            for part in _lots(b, 1):
+            for part in lots(b, 1, LOT):
                 made = m.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(made)], names=[id_col, "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, f"`{id_col}` long, ids array<int>")
@@ -316,32 +304,31 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL)
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` long, text string")
 
 
-def _digest(model_path: str, with_ids: bool, id_col: str):
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """(id_col, n_pieces, ids_sha256 over little-endian 32-bit ids, decoded_sha256, decoded_chars), and ids if asked for.
+
+    Each text is encoded as by :func:`encode` and decoded again from its ids in the same pass, so that neither
+    texts nor ids leave the worker.
+    """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["n_pieces", "ids_sha256", "decoded_sha256", "decoded_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        for b in batches:
+        for part in (x for b in batches for x in lots(b, 1, LOT)):
+            made = m.encode_batch([t or "" for t in part.column(1).to_pylist()])
             rows = []
-            for x in b.column(1):
-                ids = x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)
+            for ids in made:
                 text = m.decode(ids.tolist())
-                rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text)))
-            cols = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + with_ids], *cols], names=[id_col, *["ids"] * with_ids, *names])
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text)))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            out = [_lists(made)] if with_ids else []
+            yield pa.RecordBatch.from_arrays([part.column(0), *out, *cols], names=[id_col, *["ids"] * with_ids, *names])
 
-    return run
-
-
-_DIGEST = "n_pieces long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
-
-
-def digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL) -> DataFrame:
-    """(id_col, n_pieces, ids_sha256 over little-endian 32-bit ids, decoded_sha256, decoded_chars); texts stay in the worker."""
-    return encoded.select(id_col, "ids").mapInArrow(_digest(model_path, False, id_col), f"`{id_col}` long, {_DIGEST}")
+    kept = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(run, f"`{id_col}` long, {'ids array<int>, ' * with_ids}n_pieces long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
 
 
-def with_digests(encoded: DataFrame, id_col: str = "doc_id", model_path: str = MODEL) -> DataFrame:
-    """The same with the column ids."""
-    return encoded.select(id_col, "ids").mapInArrow(_digest(model_path, True, id_col), f"`{id_col}` long, ids array<int>, {_DIGEST}")
+def _lists(made: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed
+from weft.llm.common import checkpointed, lots
 
+#: Bytes of text, or list items, that a task unpacks at a time, and bytes that it sorts at a time.
+_LOT, _ITEMS, _SORTED = 8 << 20, 20_000, 1 << 19
 #: Length of the grams that anchors are chosen from.
 GRAM = 37
 #: Positions handled at a time; they share a word with the top bits of a hash.
@@ -108,6 +110,7 @@ def _same(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
 
 def repeats(parts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """(document, place, bytes) of runs of strings that occur at an earlier (document, place) of ``parts``, overlapping runs united."""
+    parts = list({(doc, place): (doc, place, x) for doc, place, x in parts}.values())  # a repeated row is one document
     sizes = np.array([len(x) for _, _, x in parts])
     ends = np.cumsum(sizes + 1)
     text = np.zeros(int(ends[-1]), np.int64)
@@ -265,7 +268,7 @@ def _scan(length: int):
     """Contexts of each batch of (id, text); of equal ones within it only the earliest, the others as stretches to remove (n < 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 1, _LOT)):
             ids, raws = _ids(b.column(0)), _raw(b.column(1))
             text, start, n, key, ctx = contexts(raws, length)
             doc, at = ids[text], _places(raws)[text] + start if len(text) else text
@@ -327,7 +330,7 @@ def _cut_out(length: int):
     """(key, doc, at, part): the bytes of the contexts listed for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (y for whole in batches for x in lots(whole, 2, _ITEMS) for y in lots(x, 1, _LOT // 2)):
             ids, raws = _ids(b.column(0)), _unpacked(b.column(1))
             places = _places(raws)
             rows = []
@@ -336,8 +339,8 @@ def _cut_out(length: int):
                     o = x["at"] - int(places[i])
                     if 0 <= o < len(raws[i]) and (x["at"] >> _AT) == (int(places[i]) >> _AT):
                         rows.append((x["key"], int(ids[i]), x["at"], raws[i][o : o + x["n"] + length - 1]))
-            for i in range(0, len(rows), 20_000):
-                yield _batch(["key", "doc", "at", "part"], list(zip(*rows[i : i + 20_000], strict=True)), [*[pa.int64()] * 3, pa.binary()])
+            if rows:
+                yield _batch(["key", "doc", "at", "part"], list(zip(*rows, strict=True)), [*[pa.int64()] * 3, pa.binary()])
 
     return run
 
@@ -356,10 +359,10 @@ def _sorted_out(length: int):
                 d, a, s = zip(*found, strict=True)
                 yield _batch(["doc", "at", "n"], [d, a, [-x for x in s]])
 
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 3, _LOT // 2)):
             for key, doc, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != current:
-                    if lot_size + group_size > _POSITIONS - 4:
+                    if lot_size + group_size > _SORTED:
                         yield from done(lot)
                         lot, lot_size = [], 0
                     lot += group
@@ -367,7 +370,7 @@ def _sorted_out(length: int):
                     group, group_size, current = [], 0, key
                 group.append((doc, at, part))
                 group_size += len(part) + 1
-        if lot_size + group_size > _POSITIONS - 4:
+        if lot_size + group_size > _SORTED:
             yield from done(lot)
             lot = []
         yield from done(lot + group)
@@ -379,13 +382,13 @@ def _strings(length: int):
     """(hash, doc, at) of every string of the given parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 3, _LOT // 16)):
             rows = []
             for _, doc, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for i in range(len(part) - length + 1):
                     rows.append((hashlib.blake2b(part[i : i + length], digest_size=16).digest(), doc, at + i))
-            for i in range(0, len(rows), 50_000):
-                yield _batch(["string", "doc", "at"], list(zip(*rows[i : i + 50_000], strict=True)), [pa.binary(), pa.int64(), pa.int64()])
+            if rows:
+                yield _batch(["string", "doc", "at"], list(zip(*rows, strict=True)), [pa.binary(), pa.int64(), pa.int64()])
 
     return run
 
@@ -427,7 +430,7 @@ def _digest(id_col: str):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (y for whole in batches for x in lots(whole, 2, _ITEMS) for y in lots(x, 1, _LOT // 2)):
             rows = []
             for raw, spans in zip(_unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
                 kept, at, n_spans, removed = hashlib.sha256(), 0, 0, 0
