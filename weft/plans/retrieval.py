@@ -256,10 +256,10 @@ def r04(spark, sf):
     return reports.verdicts(table(spark, sf, "lineitem").withColumn("said", said), "l_orderkey", "said")
 
 
-@query("r05_sections", f"WITH {EVIDENCE}, g AS (SELECT topic, finding, min(evidence_id) AS e FROM evidence GROUP BY ALL), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY topic ORDER BY e) <= 8) SELECT topic, string_agg('- ' || finding, chr(10) ORDER BY e) AS body FROM f GROUP BY topic")
+@query("r05_sections", f"WITH {EVIDENCE}, g AS (SELECT topic, finding, min(evidence_id) AS e FROM evidence GROUP BY ALL), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY topic ORDER BY e, finding) <= 8) SELECT topic, string_agg('- ' || finding, chr(10) ORDER BY e, finding) AS body FROM f GROUP BY topic")
 def r05(spark, sf):
     f = evidence(spark, sf).groupBy("topic", "finding").agg(F.min("evidence_id").alias("e"))
-    top = store.first_n(f, ["topic"], [F.asc("e")], 8)
+    top = store.first_n(f, ["topic"], [F.asc("e"), F.asc("finding")], 8)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("e", F.concat(F.lit("- "), F.col("finding")).alias("t")))), lambda x: x["t"])
     return top.groupBy("topic").agg(F.array_join(listed, "\n").alias("body"))
 
