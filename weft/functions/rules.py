@@ -174,3 +174,25 @@ FORMULA_SIGNS = "∑∫∂∇αβγδεζηθ∈∉⊂⊃∪∩≈≠≤≥∞±
 SOURCE_PRIORITY = {"openalex": 4, "semantic_scholar": 3, "arxiv": 2, "europepmc": 1}
 #: Weights of strengths of evidence.
 STRENGTH_WEIGHT = {"high": 1.0, "medium": 0.7, "low": 0.4}
+#: Headings by the section that they open.
+HEADINGS = {
+    "abstract": ["abstract", "摘要"],
+    "introduction": ["introduction", "引言", "导言"],
+    "related_work": ["related work", "相关工作", "文献综述"],
+    "background": ["background", "背景", "preliminary", "preliminaries"],
+    "method": [
+        "method", "方法", "methodology", "方法论", "approach", "approaches", "experiment", "实验", "experiments", "model", "模型", "estimation", "估计", "simulation", "仿真", "simulations",
+        "data analysis", "proposed method", "proposed model", "simulation settings", "model selection", "模型选择", "model estimation", "数据分析",
+    ],
+    "result": ["result", "结果", "results", "simulation results"],
+    "discussion": ["discussion", "讨论"],
+    "conclusion": ["conclusion", "结论", "conclusions"],
+    "limitation": ["limitation", "局限", "limitations"],
+    "future_work": ["future work", "未来工作", "future direction"],
+    "acknowledgment": ["acknowledgment", "致谢"],
+    "reference": ["reference", "参考文献", "references"],
+    "appendix": ["appendix", "附录"],
+}
+#: Tokens of a context by section, in the order in which sections are taken.
+SECTION_BUDGETS = {"abstract": 800, "introduction": 1200, "method": 1200, "result": 1800, "discussion": 1500, "conclusion": 1000, "limitation": 800, "future_work": 600, "related_work": 800, "background": 800}
+SECTION_ORDER = (*SECTION_BUDGETS, "body", "")

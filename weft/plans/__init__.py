@@ -1,6 +1,6 @@
 """Queries over the standard tables, one or more for each operator."""
 
-from weft.plans import graph, retrieval, scalar, tables
+from weft.plans import graph, more, retrieval, scalar, tables
 from weft.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph", "retrieval", "scalar", "tables"]
+__all__ = ["QUERIES", "SQL", "graph", "more", "retrieval", "scalar", "tables"]
