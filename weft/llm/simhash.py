@@ -181,20 +181,6 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            out = b.select([0, 1])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 3, blocks: int = 6) -> DataFrame:
     """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
 
@@ -216,7 +202,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
     sets = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "node long, set array<long>"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    linked = checkpointed(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+    common = F.size(F.array_intersect("x", "y"))
+    linked = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
     tied = connected_components(linked, "a", "b")
     members = prints.select("id", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("first"))
