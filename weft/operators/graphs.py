@@ -143,5 +143,5 @@ def missing_pairs(left: DataFrame, right: DataFrame, together: DataFrame, most:
     gap = left.select("l").distinct().join(have, "l", "left").crossJoin(enough).withColumn("gap", F.col("b") - F.coalesce(F.size("have"), F.lit(0)))
     some = gap.where("gap > 0").orderBy("l").limit(most)
     rights = right.select("r").distinct()
-    pairs = some.join(F.broadcast(rights), F.lit(True)).where(~F.array_contains(F.coalesce("have", F.array().cast(dict(have.dtypes)["have"])), F.col("r")))
+    pairs = rights.join(F.broadcast(some), F.lit(True)).where(~F.array_contains(F.coalesce("have", F.array().cast(dict(have.dtypes)["have"])), F.col("r")))
     return pairs.select("l", "r").orderBy("l", "r").limit(most), total

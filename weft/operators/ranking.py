@@ -33,7 +33,7 @@ def fuse_pair(a: DataFrame, b: DataFrame, key: list[str], group: list[str], k: i
     """Fusion of two lists where whoever is missing from one has the rank after the last of list a."""
     size = a.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else a.agg(F.count(F.lit(1)).alias("_n"))
     both = a.select(*key, F.col("rank").alias("_a")).join(b.select(*key, F.col("rank").alias("_b")), key, "full")
-    both = both.join(F.broadcast(size), group, "left") if group else both.crossJoin(F.broadcast(size))
+    both = both.join(size, group, "left") if group else both.crossJoin(F.broadcast(size))
     n = F.coalesce("_n", F.lit(0))
     return both.select(*key, (scores.reciprocal_rank(F.coalesce("_a", n), k) + scores.reciprocal_rank(F.coalesce("_b", n), k)).alias("rrf"))
 
@@ -60,17 +60,24 @@ def within_budget(df: DataFrame, cost: str, budget: int, order: list[Column], wi
     return out.withColumn("_over", F.max((F.col("_sum") > budget).cast("int")).over(w)).where("_over = 0").drop("_sum", "_over")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest of ``corpus`` by cosine for each of a stated, small set of queries.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest of ``corpus`` by cosine for each of a stated set of queries.
 
-    The queries are sent to the corpus, which is read once and not shuffled; each
-    task keeps its own best ``k`` before they meet. Norms are computed once a row.
+    At most about ``block`` queries are sent to the corpus at a time, which is read
+    once for each such block and not shuffled; each task keeps its own best ``k`` before they
+    meet. Norms are computed once a row.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), F.sqrt(scores.dot(F.col(vector), F.col(vector))).alias("_qn"))
     c = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.sqrt(scores.dot(F.col(vector), F.col(vector))).alias("_n"))
-    pairs = c.join(F.broadcast(q), F.lit(True)).where(F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.coalesce(F.try_divide(scores.dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_n")), F.lit(0.0)).alias("score"))
-    return ranked(scored, "score", "id", ["query_id"], most=k)
+    parts = -(-q.count() // block) or 1
+    found = None
+    for part in range(parts):
+        mine = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else q
+        pairs = c.join(F.broadcast(mine), F.lit(True)).where(F.col("id") != F.col("query_id"))
+        scored = pairs.select("query_id", "id", F.coalesce(F.try_divide(scores.dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_n")), F.lit(0.0)).alias("score"))
+        top = ranked(scored, "score", "id", ["query_id"], most=k)
+        found = top if found is None else found.union(top)
+    return found
 
 
 def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -102,7 +109,7 @@ def bm25(queries: DataFrame, p: DataFrame, k1: float = 1.5, b: float = 0.4) -> D
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     wanted = queries.select("term").distinct()
     idf = df.join(wanted, "term", "left_semi").crossJoin(F.broadcast(stats)).select("term", "avg", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = p.join(F.broadcast(idf), "term").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg")))).alias("s"))
+    hit = p.join(idf, "term").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg")))).alias("s"))
     return hit.join(queries, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 

@@ -137,7 +137,7 @@ def v07(spark, sf):
     """The level above selects groups; the level below is searched within them by an equi-join."""
     e = table(spark, sf, "embeddings")
     top = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    below = e.select(F.col("vec_id").alias("id"), "label", "embedding").join(F.broadcast(top), "label").where("id <> query_id")
+    below = e.select(F.col("vec_id").alias("id"), "label", "embedding").join(top, "label").where("id <> query_id")
     s = below.select("query_id", "id", scores.cosine(F.col("q"), F.col("embedding")).alias("score"))
     return ranking.ranked(s, "score", "id", ["query_id"], most=5).select("query_id", "id", F.round("score", 6).alias("score"))
 
