@@ -72,4 +72,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece,
     )
 }
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES, max_share=MAX_SHARE)}
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+SQL: dict[str, str] = {
+    "op2_vector_graph": """WITH RECURSIVE p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9),
+r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.v)
+SELECT v AS vec_id, (SELECT count(*) FROM p WHERE p.a = v) AS n_links, min(c) AS component_id, v = min(c) AS kept, 1.0::DOUBLE AS audited_recall FROM r GROUP BY v""",
+    "op3_decontaminate": r"""WITH d AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS j FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
+m AS (SELECT doc_id, item_id, i - j AS shift, j FROM d JOIN b USING (w) WHERE n >= 13 QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, i - j) >= 11),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS k FROM m),
+s AS (SELECT x.doc_id, x.item_id, x.shift, x.j + x.shift AS first_word, y.j - x.j + 1 AS n_words, y.k - x.k + 1 AS n_equal
+  FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.shift = y.shift AND y.k >= x.k
+  WHERE y.j - x.j + 1 >= 13 AND y.k - x.k + 1 >= 0.8 * (y.j - x.j + 1)
+  QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.item_id, x.shift ORDER BY n_words DESC, x.j) = 1)
+SELECT doc_id, item_id, first_word, n_words, n_equal FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, n_equal DESC, first_word) = 1""",
+    "op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES, max_share=MAX_SHARE),
+    "op6_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {sum(map(len, chat.CONTROL))}) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op7_html_text": r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(h1|p)>'), lambda t: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda t: t <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT doc_id, i, md5(hex(raw[i + 1:i + 100])) AS h FROM (SELECT doc_id, raw, unnest(range(octet_length(raw) - 99)) AS i FROM d WHERE octet_length(raw) >= 100)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, coalesce((i > lag(i) OVER o + 100)::INT, 1) AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+e AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(b), NULL FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(hex(raw[e.a + 1:coalesce(e.b, octet_length(raw))]), '' ORDER BY e.a), ''))) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(raw)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}
