@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed, connected_components
+from weft.llm.common import checkpointed, connected_components, lots
 
 BITS = 64
 #: XXH64 values that are turned to bits at a time.
@@ -84,6 +84,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keyed(rows: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """``rows`` with fp dealt to every mask: columns mask and key, the bits of fp under it."""
+    masks = F.array(*[_long(m) for m, _ in block_masks(blocks, max_distance)])
+    keyed = rows.select("*", F.posexplode(masks).alias("mask", "_bits"))
+    return keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("_bits"))).drop("_bits")
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _first_meeting(max_distance: int, blocks: int) -> Column:
+    """Of rows a and b of :func:`_keyed` that agree under a mask: near enough, and under no earlier mask."""
+    apart = F.array(*[F.array(*map(_long, d)).cast("array<long>") for _, d in block_masks(blocks, max_distance)])
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
+    return same & (F.bit_count(differ) <= max_distance) & F.forall(apart[F.col("a.mask")], lambda x: differ.bitwiseAND(x) != 0)
+
+
 def close_pairs(distinct: DataFrame, max_distance: int = 3, blocks: int = 6) -> DataFrame:
     """(a, b, distance), each once, of all pairs a < b of the distinct longs in ``distinct.fp`` within ``max_distance`` bits.
 
@@ -93,23 +112,9 @@ def close_pairs(distinct: DataFrame, max_distance: int = 3, blocks: int = 6) ->
     Keys have 64 * (blocks - max_distance) / blocks bits, which keeps blocks
     small for billions of fingerprints.
     """
-    found = _agreeing(distinct.select(F.col("fp").alias("node"), "fp"), max_distance, blocks)
-    return found.select("a", "b", "distance")
-
-
-def _agreeing(rows: DataFrame, max_distance: int, blocks: int) -> DataFrame:
-    """(a, b, distance), each pair of nodes a < b once, of ``rows`` (node, fp) whose fingerprints are close, equal ones too."""
-    long = lambda x: F.lit(x).cast("long")
-    listed = block_masks(blocks, max_distance)
-    masks = F.array(*[long(m) for m, _ in listed])
-    apart = F.array(*[F.array(*map(long, d)).cast("array<long>") for _, d in listed])
-    keyed = rows.select("node", "fp", F.posexplode(masks).alias("mask", "bits"))
-    keyed = keyed.select("node", "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    on = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
-    on = on & (F.bit_count(differ) <= max_distance) & F.forall(apart[F.col("a.mask")], lambda x: differ.bitwiseAND(x) != 0)
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.bit_count(differ).alias("distance"))
+    keyed = _keyed(distinct.select("fp"), max_distance, blocks)
+    pairs = keyed.alias("a").join(keyed.alias("b"), _first_meeting(max_distance, blocks) & (F.col("a.fp") < F.col("b.fp")))
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("distance"))
 
 
 def near_duplicates(
@@ -162,55 +167,116 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > max(len(hashes), 1), bitorder="little").view("<i8")[0])
 
 
-def _two_fingerprints(shingle: int):
+def sketch(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits, one of the least hash in each of 128 ranges (one-permutation MinHash), as two signed longs.
+
+    Two sets with Jaccard similarity j differ in about 64 * (1 - j) of them.
+    """
+    low = np.arange(128, dtype=np.uint64) << np.uint64(57)
+    at = np.searchsorted(hashes, low)
+    held = at < np.append(at[1:], len(hashes))
+    bits = np.zeros(128, np.uint8)
+    bits[held] = (hashes[at[held]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    a, b = np.packbits(bits, bitorder="little").view("<i8")
+    return int(a), int(b)
+
+
+def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(majority(word_hashes(t, 1)), majority(word_hashes(t, shingle))) for t in b.column(2).to_pylist()]
-            cols = list(zip(*made, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "words", "shingles"])
+            made = [(majority(word_hashes(t, 1)), *sketch(word_hashes(t, shingle))) for t in b.column(2).to_pylist()]
+            cols = list(zip(*made, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "fp", "s", "t"])
 
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+
+
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [word_hashes(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in (x for whole in batches for x in lots(whole, 1, 1 << 20)):
+            sets = [word_hashes(unpack(t).decode("utf-8", "surrogatepass"), shingle).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return run
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 3, blocks: int = 6) -> DataFrame:
+def _really_similar(pairs: DataFrame, packed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingle sets have that Jaccard similarity; texts are looked up for these nodes only."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = packed.join(involved, "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
+    sets = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "node long, set array<long>"))
+    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+_NO_ID = -(1 << 63)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, blocks: int = 7) -> DataFrame:
     """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
 
-    Two texts are linked if the Jaccard similarity of their sets of ``shingle``-word
-    shingles is ``similarity`` or more, and the SimHash of their distinct
-    words, or else that of their shingles, is within ``max_distance`` bits; a group is what links
-    connect. (The words' SimHash is much nearer for edited copies; it only proposes pairs, each
-    of which is compared exactly.) Equal texts, null and empty ones being equal, are one from the
-    start. The row with the least id stays, one of equal rows; a null id only in a group without
-    others.
+    Two texts are linked if the SimHash of their distinct words is within
+    ``max_distance`` bits and the Jaccard similarity of their sets of ``shingle``-word shingles is
+    ``similarity`` or more, which is compared exactly; a group is what links connect. The words'
+    SimHash is much nearer for edited copies than that of shingles. A sketch of the
+    shingles passes over pairs that are clearly less similar.
+
+    All pairs of a large group would be many. So first each text meets two others of its
+    block, the first and the one before it, and what is similar becomes one component; then all
+    pairs in different components meet. Groups come out as if all pairs had been compared.
+
+    Equal texts, null and empty ones being equal, are one from the start; texts without words
+    hold no shingle and link with nothing else. The row with the least id stays, one of equal rows; a null
+    id only in a group without others.
     """
     node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"), F.col(text_col).cast("string").alias("text"))
-    prints = checkpointed(rows.mapInArrow(_two_fingerprints(shingle), "id long, node long, words long, shingles long"))
-    nodes = prints.groupBy("node").agg(F.min("words").alias("words"), F.min("shingles").alias("shingles"))
-    found = [_agreeing(nodes.select("node", F.col(c).alias("fp")), max_distance, blocks).select("a", "b") for c in ("words", "shingles")]
-    pairs = checkpointed(found[0].union(found[1]).distinct())
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = rows.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    sets = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "node long, set array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
-    tied = connected_components(linked, "a", "b")
-    members = prints.select("id", "node").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long"))
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t")).where("s <> 0 OR t <> 0 OR fp <> 0")
+    packed = rows.select("node", "text").mapInArrow(_packed, "node long, packed binary")
+    most = int(64 * (1 - similarity)) + 8  # three standard deviations beyond what the least similar pairs differ in
+
+    def alike(x: str, y: str) -> Column:
+        return F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) + F.bit_count(F.col(f"{x}.t").bitwiseXOR(F.col(f"{y}.t"))) <= most
+
+    block = Window.partitionBy("mask", "key").orderBy("fp", "node")
+    me = F.struct("node", "fp", "s", "t")
+    met = _keyed(nodes, max_distance, blocks).select(me.alias("a"), F.array(F.lag(me).over(block), F.first(me).over(block)).alias("bs"))
+    met = met.select("a", F.explode("bs").alias("b"))
+    met = met.where((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance) & alike("a", "b"))
+    some = checkpointed(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
+    linked = _really_similar(some, packed, shingle, similarity)
+    tied = checkpointed(connected_components(linked, "a", "b"))
+
+    placed = nodes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keyed = _keyed(placed, max_distance, blocks)
+    on = _first_meeting(max_distance, blocks) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & alike("a", "b")
+    rest = checkpointed(keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).join(some, ["a", "b"], "left_anti"))
+    links = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_really_similar(rest, packed, shingle, similarity))
+    groups = connected_components(links, "a", "b")
+
+    members = prints.select("id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("first"))
-    first = first.select(F.col("first.id").alias("_id"), F.col("first.node").alias("_node"))
-    held = docs.withColumn("_text_node", node)
-    kept = held.join(first, (F.col("_text_node") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("_text_node", id_col).orderBy(*[F.col(c) for c in docs.columns if c != text_col and dict(docs.dtypes)[c] != "variant" and "map<" not in dict(docs.dtypes)[c]]))
+    first = first.select(F.coalesce("first.id", F.lit(_NO_ID)).alias("_first_id"), F.col("first.node").alias("_first_node"))
+    held = docs.withColumns({"_text_node": node, "_text_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))})
+    kept = held.join(first, (F.col("_text_node") == F.col("_first_node")) & (F.col("_text_id") == F.col("_first_id")), "left_semi")
+    kinds = dict(docs.dtypes)
+    order = [F.col(c) for c in docs.columns if c != text_col and kinds[c] != "variant" and "map<" not in kinds[c]]
+    place = F.row_number().over(Window.partitionBy("_text_node", "_text_id").orderBy(*order))
     return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
 
 
