@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import layout
-from weft.operators import hooks
+from weft.operators import graphs, hooks
 from weft.plans.more import select_context
 from weft.plans.tables import quality_gates
 from weft.streaming import tasks
@@ -106,3 +106,6 @@ def test_stream_is_the_batch(spark, tmp_path):
     n = tasks.drained(tasks.numbered_states(tasks.event_stream(spark, str(folder), "*.parquet")), "t_states", "update")
     final = n.groupBy("user_id").agg(F.max("n").alias("n"))
     assert key(final) == key(batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+    build = lambda d: graphs.build_nodes(d, "state", F.col("event_type"), F.col("user_id"), F.col("event_id"))
+    kept = tasks.maintained(tasks.event_stream(spark, str(folder), "*.parquet"), build, str(tmp_path / "graph"))
+    assert key(kept.select(*sorted(kept.columns))) == key(build(batch).select(*sorted(kept.columns)))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weft.operators.graphs import merge_graphs
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -56,6 +58,26 @@ def numbered_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, last string, changes long", "n long, last string, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
+def maintained(stream: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Nodes or edges kept up to date by a stream: what ``build`` makes of each batch is merged by id into the version before.
+
+    Each batch writes a version of its own under ``folder``, which all machines share, so that one that is run again
+    writes the same version again; returns the last after all that is there now.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        made = build(batch)
+        before = spark.read.parquet(f"{folder}/version={epoch - 1}") if epoch else made.limit(0)
+        merge_graphs(before, made).write.mode("overwrite").parquet(f"{folder}/version={epoch}")
+
+    q = stream.writeStream.foreachBatch(put).trigger(availableNow=True).start()
+    q.awaitTermination()
+    every = spark.read.parquet(folder)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).drop("version")
+
+
 def rate_gaps(events: DataFrame, least_seconds: float) -> DataFrame:
     """(user_id, calls, too_soon): how many calls came sooner than ``least_seconds`` after the one before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
