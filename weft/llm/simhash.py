@@ -184,9 +184,12 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(majority(word_hashes(t, 1)), *sketch(word_hashes(t, shingle))) for t in b.column(2).to_pylist()]
-            cols = list(zip(*made, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "fp", "s", "t"])
+            made = []
+            for t in b.column(2).to_pylist():
+                h = word_hashes(t, shingle)
+                made.append((majority(word_hashes(t, 1)), *sketch(h), len(h)))
+            cols = list(zip(*made, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "fp", "s", "t", "n"])
 
     return run
 
@@ -226,7 +229,7 @@ def _really_similar(pairs: DataFrame, packed: DataFrame, shingle: int, similarit
 _NO_ID = -(1 << 63)
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, blocks: int = 7) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, blocks: int = 7, before: int = 4) -> DataFrame:
     """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
 
     Two texts are linked if the SimHash of their distinct words is within
@@ -235,8 +238,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     SimHash is much nearer for edited copies than that of shingles. A sketch of the
     shingles passes over pairs that are clearly less similar.
 
-    All pairs of a large group would be many. So first each text meets two others of its
-    block, the first and the one before it, and what is similar becomes one component; then all
+    All pairs of a large group would be many. So first each text meets the first of its
+    block and the ``before`` ones before it, and what is similar becomes one component; then all
     pairs in different components meet. Groups come out as if all pairs had been compared.
 
     Equal texts, null and empty ones being equal, are one from the start; texts without words
@@ -245,19 +248,25 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"), F.col(text_col).cast("string").alias("text"))
-    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long"))
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t")).where("s <> 0 OR t <> 0 OR fp <> 0")
+    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long, n long"))
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t"), F.min("n").alias("n")).where("n > 0")
     packed = rows.select("node", "text").mapInArrow(_packed, "node long, packed binary")
-    most = int(64 * (1 - similarity)) + 8  # three standard deviations beyond what the least similar pairs differ in
+    # Of 128 ranges so many hold a shingle; the least similar texts that count differ in a share of them, give or take.
+    held = 128 * (1 - F.exp(-F.col("n") / 128))
+    least = held * (1 - similarity) / 2
+    nodes = nodes.withColumn("most", F.ceil(least + 1.7 * F.sqrt(least)))
 
     def alike(x: str, y: str) -> Column:
-        return F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) + F.bit_count(F.col(f"{x}.t").bitwiseXOR(F.col(f"{y}.t"))) <= most
+        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+        sized = (a("n") >= similarity * b("n")) & (b("n") >= similarity * a("n"))
+        return sized & (F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t"))) <= F.greatest(a("most"), b("most")))
 
     block = Window.partitionBy("mask", "key").orderBy("fp", "node")
-    me = F.struct("node", "fp", "s", "t")
-    met = _keyed(nodes, max_distance, blocks).select(me.alias("a"), F.array(F.lag(me).over(block), F.first(me).over(block)).alias("bs"))
+    me = F.struct("node", "fp", "n")
+    met = _keyed(nodes.select("node", "fp", "n"), max_distance, blocks).select(me.alias("a"), F.array(F.first(me).over(block), *[F.lag(me, k).over(block) for k in range(1, before + 1)]).alias("bs"))
     met = met.select("a", F.explode("bs").alias("b"))
-    met = met.where((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance) & alike("a", "b"))
+    met = met.where((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance))
+    met = met.where((F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n")))
     some = checkpointed(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
     linked = _really_similar(some, packed, shingle, similarity)
     tied = checkpointed(connected_components(linked, "a", "b"))
