@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import checkpointed
+
+#: So many line hashes, 16 bytes each, are sent to all tasks at most; more are joined by a shuffle.
+SENT = 250_000
+
 
 def _key(line: Column) -> Column:
     """128 bits: a second hash with the first as its seed."""
@@ -67,10 +72,11 @@ def remove_spread_lines(
     repeated rows are handled as any other; columns of the input called n_lines,
     n_spread or n_removed are replaced, all others kept.
     """
-    spread = spread_lines(docs, site_col, text_col, min_sites, lg_k)
+    spread = checkpointed(spread_lines(docs, site_col, text_col, min_sites, lg_k).select("key"))
+    spread = F.broadcast(spread) if spread.limit(SENT + 1).count() <= SENT else spread
     mine = docs.select(F.col(id_col).alias("_id"), F.explode(_lines(text_col)).alias("line"))
     mine = mine.select("_id", _key(_trimmed(F.col("line"))).alias("key"))
-    hit = mine.join(spread.select("key"), "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_spread"))
+    hit = mine.join(spread, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_spread"))
     out = docs.drop("n_lines", "n_spread", "n_removed")
     out = out.join(hit, out[id_col].eqNullSafe(hit["_id"]), "left").drop("_id")
     lines = _lines(text_col)
