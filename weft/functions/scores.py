@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weft.functions import rules
-from weft.functions.text import clean, words
+from weft.functions.text import clean, stripped, words
 
 
 def quality(citations: Column, year: Column, most: Column, as_of_year: int) -> Column:
@@ -21,30 +23,38 @@ def quality(citations: Column, year: Column, most: Column, as_of_year: int) -> C
     return 0.75 * norm + 0.10 * velocity + 0.15 * recency
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def chunk_quality(text: Column) -> dict[str, Column]:
     """Parts of a chunk's quality and their weighted sum."""
     t = clean(text)
-    w = words(t)
-    n = F.size(w)
-    length = F.when(n < 30, 0.2).when(n < 50, 0.5).when(n <= 1000, 1.0).when(n <= 1500, 0.8).otherwise(0.5)
-    low = words(F.lower(t))
-    spread = F.try_divide(F.size(F.array_distinct(low)).cast("double"), F.size(low))
-    content = F.try_divide(F.size(F.filter(low, lambda x: ~x.isin(rules.STOPWORDS))).cast("double"), F.size(low))
-    density = F.coalesce(F.least(F.lit(1.0), (spread * 0.5 + content * 0.5) * 1.5), F.lit(0.0))
+    length = once(F.size(words(t)), lambda n: F.when(n < 30, 0.2).when(n < 50, 0.5).when(n <= 1000, 1.0).when(n <= 1500, 0.8).otherwise(0.5))
+
+    def dense(low: Column) -> Column:
+        spread = F.try_divide(F.size(F.array_distinct(low)).cast("double"), F.size(low))
+        content = F.try_divide(F.size(F.filter(low, lambda x: ~x.isin(rules.STOPWORDS))).cast("double"), F.size(low))
+        return F.coalesce(F.least(F.lit(1.0), (spread * 0.5 + content * 0.5) * 1.5), F.lit(0.0))
+
+    density = once(words(F.lower(t)), dense)
     sentence = F.rlike(t, F.lit(r"[.!?。！？]\s"))
     paragraphs = F.contains(t, F.lit("\n\n")) | (F.length(t) - F.length(F.replace(t, F.lit("\n"))) > 3)
     structure = F.least(F.lit(1.0), 0.5 + F.when(sentence, 0.3).otherwise(0.0) + F.when(paragraphs, 0.2).otherwise(0.0))
-    cn = F.length(F.regexp_replace(t, r"[^\x{4e00}-\x{9fff}]", ""))
-    en = F.length(F.regexp_replace(t, "[^a-zA-Z]", ""))
-    language = F.coalesce(F.try_divide(F.greatest(cn, en).cast("double"), cn + en), F.lit(0.0))
-    lines = F.split(t, "\n")
+    cn = F.length(F.regexp_replace(t, r"[^\x{4e00}-\x{9fff}]+", ""))
+    en = F.length(F.regexp_replace(t, "[^a-zA-Z]+", ""))
+    language = once(F.struct(cn.alias("a"), en.alias("b")), lambda x: F.coalesce(F.try_divide(F.greatest(x["a"], x["b"]).cast("double"), x["a"] + x["b"]), F.lit(0.0)))
 
     def noisy(line: Column) -> Column:
-        s = F.regexp_replace(F.regexp_replace(line, r"^\s+", ""), r"\s+$", "")
-        signs = F.length(F.regexp_replace(s, f"[^{rules.FORMULA_SIGNS}]", ""))
-        return (s != "") & ((signs > 0.2 * F.length(s)) | F.rlike(F.replace(s, F.lit(" ")), F.lit("^[0-9]+$")) | ((F.length(s) < 5) & ~F.rlike(s, F.lit(r"^\d+\."))))
+        def judged(s: Column) -> Column:
+            # The blocks that the signs are in are looked for first, as few lines have any.
+            signs = F.when(F.rlike(s, F.lit(r"[±×÷\x{3b1}-\x{3b8}\x{2200}-\x{22ff}]")), F.length(F.regexp_replace(s, f"[^{rules.FORMULA_SIGNS}]+", ""))).otherwise(0)
+            return (s != "") & ((signs > 0.2 * F.length(s)) | F.rlike(s, F.lit("^[0-9][0-9 ]*$")) | ((F.length(s) < 5) & ~F.rlike(s, F.lit(r"^\d+\."))))
+
+        return once(stripped(line), judged)
 
-    noise = F.greatest(F.lit(0.0), 1.0 - F.size(F.filter(lines, noisy)) / F.greatest(F.size(lines), F.lit(1)) * 3)
+    noise = once(F.split(t, "\n"), lambda lines: F.greatest(F.lit(0.0), 1.0 - F.size(F.filter(lines, noisy)) / F.greatest(F.size(lines), F.lit(1)) * 3))
     parts = {"length": length, "density": density, "structure": structure, "language": language, "noise": noise}
     total = sum((parts[k] * x for k, x in rules.CHUNK_WEIGHTS.items()), F.lit(0.0))
     return parts | {"quality": F.round(total, 3)}

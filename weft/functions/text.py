@@ -20,7 +20,7 @@ def clean(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(F.regexp_replace(clean(c), r"^\s+", ""), r"\s+$", "")
+    return F.btrim(clean(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_doi(c: Column) -> Column:
@@ -150,7 +150,7 @@ def fuzzy_match(quote: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, words(F.lower(text)))).cast("double"), F.size(q)), F.lit(0.0))
 
 
-_CJK = r"[^\x{4e00}-\x{9fff}]"
+_CJK = r"[^\x{4e00}-\x{9fff}]+"
 
 
 def estimated_tokens(c: Column) -> Column:
@@ -179,7 +179,7 @@ def repaired(c: Column) -> Column:
 def is_garbled(c: Column) -> Column:
     """Control characters, box glyphs, rare ideographs or too many odd signs."""
     n = F.length(c)
-    share = lambda kept: F.coalesce(F.try_divide(F.length(F.regexp_replace(c, kept, "")).cast("double"), n), F.lit(0.0))
+    share = lambda kept: F.coalesce(F.try_divide(F.length(F.regexp_replace(c, f"{kept}+", "")).cast("double"), n), F.lit(0.0))
     control = share(r"[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]")
     box = share(r"[^\x{25a0}\x{25a1}\x{fffd}]")
     odd = share(r"[\x{00}-\x{7f}\p{L}\p{N}\p{P}\s]")
