@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a task turns to Python strings at a time.
+LOT = 4 << 20
+
+
 def lots(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Successive rows of a batch with about ``most`` bytes or items in ``column``, one row at least."""
     c = batch.column(column)

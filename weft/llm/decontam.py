@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import LOT, lots
+
 _WORD = re.compile(r"[^\W_]+")
 RESULT = "doc_id long, item_id long, first_word long, n_words int, n_equal int"
 #: A benchmark with more text than this is matched in several passes, each over a part no larger.
@@ -189,7 +191,7 @@ def contaminated(
         index = docs.sparkSession.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (x for whole in batches for x in lots(whole, 1, LOT)):
                 out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in index.value.match(t)]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]

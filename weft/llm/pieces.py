@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import lots
+from weft.llm.common import LOT, lots  # as many new words are sorted together
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -20,9 +20,7 @@ MARK = "▁"
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*+|[^{MARK}]++")
 _WORD_OF_LINE = regex.compile(f"{MARK}+[^{MARK}\n]*+|[^{MARK}\n]++|\n")
 #: Words whose ids a process remembers; beyond that it forgets those that it met least lately.
-REMEMBERED = 120_000
-#: Bytes of text whose new words are sorted together.
-LOT = 4 << 20
+REMEMBERED = 90_000
 UNIGRAM, BPE = 1, 2
 _loaded: dict[str, Pieces] = {}
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import LOT, lots
+
 WIDTH, EMBED, FILTERS, HIDDEN = 6, 4, 16, 12
 #: Filters are pooled over chunks of two halves; each half is shared with the chunk beside it.
 HALF = 96
@@ -162,7 +164,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 1, LOT)):
             scores = np.array([shared.value.score(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], names=[id_col, "score"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed, connected_components, lots
+from weft.llm.common import LOT, checkpointed, connected_components, lots
 
 BITS = 64
 #: XXH64 values that are turned to bits at a time.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 1, LOT)):
             fp = np.array([simhash(t, shingle) for t in b.column(1).to_pylist()], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
@@ -183,7 +183,7 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
 
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in lots(whole, 2, LOT)):
             made = []
             for t in b.column(2).to_pylist():
                 h = word_hashes(t, shingle)
@@ -198,7 +198,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for b in batches:
+    for b in (x for whole in batches for x in lots(whole, 1, LOT)):
         texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
 
