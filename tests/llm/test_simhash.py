@@ -93,3 +93,18 @@ def test_clean_documents_stay(spark):
     r = random.Random(9)
     rows = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(120))) for i in range(200)]
     assert simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).count() == 200
+
+
+def test_pairs_far_apart_in_words_are_linked(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(150):  # one word changed in 50 to 120: similarity 0.80 or more
+        w = [f"w{r.randrange(100_000)}" for _ in range(r.randint(50, 120))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join("changed" if k == len(w) // 2 else x for k, x in enumerate(w)))]
+    sets = {i: set(simhash.word_hashes(t, 5).tolist()) for i, t in rows}
+    prints = {i: simhash.majority(simhash.word_hashes(t, 1)) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) == 150
+    assert sum(((prints[a] ^ prints[b]) % 2**64).bit_count() > 4 for a, b in pairs) >= 10  # not proposed by the words
+    kept = {x["doc_id"] for x in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(150)}

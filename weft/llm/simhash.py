@@ -15,6 +15,8 @@ from weft.llm.common import LOT, checkpointed, connected_components, lots
 BITS = 64
 #: XXH64 values that are turned to bits at a time.
 _STEP = 1 << 16
+#: MinHash bands and values in each: of pairs at Jaccard similarity 0.8 all bands differ for 3 in a million.
+BANDS, ROWS = 24, 4
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -95,12 +97,15 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _same_key() -> Column:
+    return (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
+
+
 def _first_meeting(max_distance: int, blocks: int) -> Column:
     """Of rows a and b of :func:`_keyed` that agree under a mask: near enough, and under no earlier mask."""
     apart = F.array(*[F.array(*map(_long, d)).cast("array<long>") for _, d in block_masks(blocks, max_distance)])
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.key") == F.col("b.key"))
-    return same & (F.bit_count(differ) <= max_distance) & F.forall(apart[F.col("a.mask")], lambda x: differ.bitwiseAND(x) != 0)
+    return (F.bit_count(differ) <= max_distance) & F.forall(F.get(apart, F.col("a.mask")), lambda x: differ.bitwiseAND(x) != 0)
 
 
 def close_pairs(distinct: DataFrame, max_distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -113,7 +118,7 @@ def close_pairs(distinct: DataFrame, max_distance: int = 3, blocks: int = 6) ->
     small for billions of fingerprints.
     """
     keyed = _keyed(distinct.select("fp"), max_distance, blocks)
-    pairs = keyed.alias("a").join(keyed.alias("b"), _first_meeting(max_distance, blocks) & (F.col("a.fp") < F.col("b.fp")))
+    pairs = keyed.alias("a").join(keyed.alias("b"), _same_key() & _first_meeting(max_distance, blocks) & (F.col("a.fp") < F.col("b.fp")))
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("distance"))
 
 
@@ -181,15 +186,32 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def bands(hashes: np.ndarray) -> list[int]:
+    """Signed longs, one of each of ``BANDS`` groups of ``ROWS`` MinHash values.
+
+    Two sets with Jaccard similarity j have the same one in a place with probability j ** ROWS; an empty set has zeros.
+    """
+    if not len(hashes):
+        return [0] * BANDS
+    r = np.random.default_rng(31)
+    flip, factor, mix = (r.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1 << 10):
+        low = np.minimum(low, ((hashes[i : i + (1 << 10), None] ^ flip) * factor).min(axis=0))
+    low = (low ^ (low >> np.uint64(29))) * mix
+    return low.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in lots(whole, 2, LOT)):
             made = []
             for t in b.column(2).to_pylist():
                 h = word_hashes(t, shingle)
-                made.append((majority(word_hashes(t, 1)), *sketch(h), len(h)))
-            cols = list(zip(*made, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "node", "fp", "s", "t", "n"])
+                made.append((majority(word_hashes(t, 1)), *sketch(h), len(h), bands(h)))
+            *cols, banded = list(zip(*made, strict=True)) or [()] * 5
+            cols = [*[pa.array(c, pa.int64()) for c in cols], pa.array(banded, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "node", "fp", "s", "t", "n", "bands"])
 
     return run
 
@@ -232,14 +254,14 @@ _NO_ID = -(1 << 63)
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, blocks: int = 7, before: int = 4) -> DataFrame:
     """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
 
-    Two texts are linked if the SimHash of their distinct words is within
-    ``max_distance`` bits and the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more, which is compared exactly; a group is what links connect. The words'
-    SimHash is much nearer for edited copies than that of shingles. A sketch of the
-    shingles passes over pairs that are clearly less similar.
+    Two texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
+    ``similarity`` or more, which is compared exactly; a group is what links connect. Pairs are proposed
+    by the SimHash of their distinct words, within ``max_distance`` bits, which is much nearer for
+    edited copies than that of shingles, and, however far apart that is, by equal :func:`bands` of
+    the shingles. A sketch of the shingles passes over pairs that are clearly less similar.
 
     All pairs of a large group would be many. So first each text meets the first of its
-    block and the ``before`` ones before it, and what is similar becomes one component; then all
+    block and the ``before`` ones before it (one in a band), and what is similar becomes one component; then all
     pairs in different components meet. Groups come out as if all pairs had been compared.
 
     Equal texts, null and empty ones being equal, are one from the start; texts without words
@@ -248,8 +270,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"), F.col(text_col).cast("string").alias("text"))
-    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long, n long"))
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t"), F.min("n").alias("n")).where("n > 0")
+    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long, n long, bands array<long>"))
+    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bands").alias("bands")).where("n > 0")
     packed = rows.select("node", "text").mapInArrow(_packed, "node long, packed binary")
     # Of 128 ranges so many hold a shingle; the least similar texts that count differ in a share of them, give or take.
     held = 128 * (1 - F.exp(-F.col("n") / 128))
@@ -261,20 +283,23 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sized = (a("n") >= similarity * b("n")) & (b("n") >= similarity * a("n"))
         return sized & (F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t"))) <= F.greatest(a("most"), b("most")))
 
+    masks = [_long(m) for m, _ in block_masks(blocks, max_distance)]
+    keys = F.posexplode(F.concat(F.array(*[F.col("fp").bitwiseAND(m) for m in masks]), F.col("bands"))).alias("mask", "key")
+    banded = F.col("a.mask") >= len(masks)
     block = Window.partitionBy("mask", "key").orderBy("fp", "node")
-    me = F.struct("node", "fp", "n")
-    met = _keyed(nodes.select("node", "fp", "n"), max_distance, blocks).select(me.alias("a"), F.array(F.first(me).over(block), *[F.lag(me, k).over(block) for k in range(1, before + 1)]).alias("bs"))
-    met = met.select("a", F.explode("bs").alias("b"))
-    met = met.where((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance))
+    me = F.struct("node", "fp", "n", "mask")
+    met = nodes.select("node", "fp", "n", keys).select(me.alias("a"), F.array(F.first(me).over(block), *[F.lag(me, k).over(block) for k in range(1, before + 1)]).alias("bs"))
+    met = met.select("a", F.posexplode("bs").alias("k", "b"))
+    met = met.where((F.col("a.node") != F.col("b.node")) & F.when(banded, F.col("k") <= 1).otherwise(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance))
     met = met.where((F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n")))
     some = checkpointed(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
     linked = _really_similar(some, packed, shingle, similarity)
     tied = checkpointed(connected_components(linked, "a", "b"))
 
     placed = nodes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keyed = _keyed(placed, max_distance, blocks)
-    on = _first_meeting(max_distance, blocks) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & alike("a", "b")
-    rest = checkpointed(keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).join(some, ["a", "b"], "left_anti"))
+    keyed = placed.select("node", "fp", "s", "t", "n", "most", "component", keys)
+    on = _same_key() & (banded | _first_meeting(max_distance, blocks)) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & alike("a", "b")
+    rest = checkpointed(keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(some, ["a", "b"], "left_anti"))
     links = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_really_similar(rest, packed, shingle, similarity))
     groups = connected_components(links, "a", "b")
 
