@@ -108,3 +108,20 @@ def test_pairs_far_apart_in_words_are_linked(spark):
     assert sum(((prints[a] ^ prints[b]) % 2**64).bit_count() > 4 for a, b in pairs) >= 10  # not proposed by the words
     kept = {x["doc_id"] for x in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * i for i in range(150)}
+
+
+def test_sketches_keep_every_pair_that_counts(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(600):
+        size = r.choice((50, 150, 600))
+        w = [f"w{r.randrange(100_000)}" for _ in range(size)]
+        gone = set(range(5, size - 4, size // (size // 46)))  # far enough apart to touch five shingles each
+        x = simhash.word_hashes(" ".join(w), 5)
+        y = simhash.word_hashes(" ".join("changed" if k in gone else v for k, v in enumerate(w)), 5)
+        common = len(set(x.tolist()) & set(y.tolist()))
+        if common >= 0.8 * (len(x) + len(y) - common):
+            rows.append((len(x), sum(((a ^ b) % 2**64).bit_count() for a, b in zip(simhash.sketch(x), simhash.sketch(y), strict=True))))
+    assert len(rows) > 400 and max(d for _, d in rows) > 19
+    d = spark.createDataFrame(rows, "n long, d long")
+    assert d.where(F.col("d") > simhash.most_bits(F.col("n"), 0.8)).count() == 0

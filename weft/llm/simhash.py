@@ -15,6 +15,8 @@ from weft.llm.common import LOT, checkpointed, connected_components, lots
 BITS = 64
 #: XXH64 values that are turned to bits at a time.
 _STEP = 1 << 16
+#: Standard deviations beyond which sketches tell two texts apart; by the binomial distribution less than one pair in ten million that counts is beyond.
+SURE = 6
 #: MinHash bands and values in each: of pairs at Jaccard similarity 0.8 all bands differ for 3 in a million.
 BANDS, ROWS = 24, 4
 
@@ -186,6 +188,13 @@ def sketch(hashes: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def most_bits(n: Column, similarity: float) -> Column:
+    """In so many bits the :func:`sketch` of two sets can differ, one of which has ``n`` members, where they have that Jaccard similarity."""
+    # Of 128 ranges so many hold a shingle; the least similar texts that count differ in a share of them, give or take.
+    least = 128 * (1 - F.exp(-n / 128)) * (1 - similarity) / 2
+    return F.ceil(least + SURE * F.sqrt(least))
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """Signed longs, one of each of ``BANDS`` groups of ``ROWS`` MinHash values.
 
@@ -273,10 +282,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long, n long, bands array<long>"))
     nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bands").alias("bands")).where("n > 0")
     packed = rows.select("node", "text").mapInArrow(_packed, "node long, packed binary")
-    # Of 128 ranges so many hold a shingle; the least similar texts that count differ in a share of them, give or take.
-    held = 128 * (1 - F.exp(-F.col("n") / 128))
-    least = held * (1 - similarity) / 2
-    nodes = nodes.withColumn("most", F.ceil(least + 1.7 * F.sqrt(least)))
+    nodes = nodes.withColumn("most", most_bits(F.col("n"), similarity))
 
     def alike(x: str, y: str) -> Column:
         a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
