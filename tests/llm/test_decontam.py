@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import decontam
@@ -33,6 +34,27 @@ def test_seeds_hit_every_window():
         assert any(all(o + k not in wrong for o in s) for s in seeds for k in range(13 - s[-1]))
 
 
+@pytest.mark.parametrize("n,errors", [(13, 2), (14, 2), (15, 3), (16, 3), (17, 3), (18, 3), (19, 3), (20, 4), (21, 4), (25, 5)])
+def test_seeds_hit_every_overlap(n, errors):
+    assert errors == int(0.2 * n + 1e-9)
+    places = [sum(1 << o + k for o in s) for s in decontam.overlap_seeds(13, 0.8, 6) for k in range(n - s[-1])]
+    wrong = np.array([sum(1 << i for i in c) for c in combinations(range(n), errors)])
+    assert np.logical_or.reduce([wrong & m == 0 for m in places]).all()
+
+
+def test_no_length_is_missed():
+    assert decontam.missed_length(decontam.overlap_seeds(13, 0.8, 6)) == 0
+    assert decontam.missed_length(decontam.spaced_seeds(13, 2, 6)) == 15
+
+
+@pytest.mark.parametrize("n,wrong", [(15, (2, 5, 7)), (20, (1, 8, 10, 12))])
+def test_longer_overlaps_are_found(n, wrong):
+    item = [f"w{i}" for i in range(n)]
+    text = " ".join("other" if i in wrong else w for i, w in enumerate(item))
+    assert brute(text, [(1, " ".join(item))]) == {1}
+    assert decontam.SeedIndex([(1, " ".join(item))]).match(text) == [(1, 0, n, n - len(wrong))]
+
+
 def test_matches_brute_force(spark):
     r = random.Random(3)
     word = lambda: f"w{r.randrange(300)}"

@@ -42,6 +42,61 @@ def spaced_seeds(window: int = 13, errors: int = 2, weight: int = 6) -> tuple[tu
     return tuple(found)
 
 
+def _allowed(n: int, similarity: float) -> int:
+    """Substitutions in ``n`` words of which a share ``similarity`` is equal."""
+    return int(n * (1 - similarity) + 1e-9)
+
+
+def missed_length(seeds: tuple[tuple[int, ...], ...], least: int = 13, similarity: float = 0.8) -> int:
+    """The first length, of ``least`` or more, at which no seed hits some stretch with a share ``similarity`` equal; 0 if there is none.
+
+    Exact: for every choice of the last words that are wrong, the fewest errors with which a
+    stretch of each length goes unhit. Beyond the last length tried, ``least`` words in a row
+    with no more errors than are allowed in these are certain, by counting.
+    """
+    span = max(s[-1] for s in seeds)
+    state, every = np.arange(1 << span), (1 << span) - 1
+    masks = [sum(1 << (s[-1] - o) for o in s) for s in seeds]
+    few = np.full(1 << span, 1 << 30)
+    few[every] = 0
+    worst = _allowed(least, similarity) + 1
+    last = int((1 - similarity) * (least - 1) / (worst - (1 - similarity) * least) + 1e-6) * least + least - 1
+    for n in range(1, last + 1):
+        new = np.full(1 << span, 1 << 30)
+        for wrong in (0, 1):
+            w = state << 1 | wrong
+            unhit = np.logical_and.reduce([w & m != 0 for m in masks])
+            np.minimum.at(new, w[unhit] & every, few[unhit] + wrong)
+        few = new
+        if n >= least and few.min() <= _allowed(n, similarity):
+            return n
+    return 0
+
+
+@lru_cache(maxsize=8)
+def overlap_seeds(least: int = 13, similarity: float = 0.8, weight: int = 6) -> tuple[tuple[int, ...], ...]:
+    """Masks one of which hits every stretch of ``least`` or more words of which a share ``similarity`` is equal.
+
+    ``least`` words allow fewer errors than the longer stretches do, so these are covered as well:
+    greedily, as in :func:`spaced_seeds`, with lengths added until none is missed.
+    """
+    shapes = [(0, *c, s) for s in range(weight - 1, least + 2) for c in combinations(range(1, s), weight - 2)]
+    sizes, found = {least}, ()
+    while not found or missed_length(found, least, similarity):
+        if found:
+            sizes.add(missed_length(found, least, similarity))
+        wrong = {n: np.array([sum(1 << i for i in c) for c in combinations(range(n), _allowed(n, similarity))]) for n in sorted(sizes)}
+        hits = {s: [np.logical_or.reduce([x & sum(1 << o + k for o in s) == 0 for k in range(n - s[-1])] or [x < 0]) for n, x in wrong.items()] for s in shapes}
+        left, found = [np.ones(len(x), bool) for x in wrong.values()], ()
+        while any(x.any() for x in left):
+            gain, best = max(((sum((h & x).mean() for h, x in zip(hits[s], left, strict=True)), -s[-1]), s) for s in shapes)
+            if not gain[0]:
+                raise ValueError(f"no {weight} words are equal in every overlap of {least}")
+            left = [x & ~h for h, x in zip(hits[best], left, strict=True)]
+            found += (best,)
+    return found
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters and digits."""
     return _WORD.findall((text or "").lower())
@@ -61,7 +116,7 @@ class SeedIndex:
         rng = np.random.default_rng(20)
         self.factor = rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
         short = sorted({len(t) for _, t in self.items if len(t) < min_words})
-        seeds = spaced_seeds(min_words, int(min_words * (1 - similarity) + 1e-9), weight)
+        seeds = overlap_seeds(min_words, similarity, weight)
         self.masks = [*seeds, *(tuple(range(n)) for n in short)]
         self.tables = []
         for mask in self.masks:
@@ -177,8 +232,8 @@ def contaminated(
     An overlap is a stretch of at least ``min_words`` words, aligned word by
     word, of which a share ``similarity`` is equal (items with fewer words must
     occur whole); the longest is reported, the earliest of ties. Seeds are
-    chosen so that every ``min_words`` words with the allowed number of
-    substitutions are hit. One narrow pass over whole texts without a shuffle:
+    chosen so that such a stretch of any length is hit, whatever words
+    are substituted. One narrow pass over whole texts without a shuffle:
     the test side is a hash table in each task, at most ``block_bytes`` of text;
     a larger benchmark is cut into parts by a hash of its id and takes a pass
     for each. Null and empty texts, on either side, match nothing; null ids stay
