@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -164,6 +165,17 @@ def test_licences(spark):
     assert licences.scan(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [30, 60, 75])
+def test_wrapped_notices(spark, width):
+    heads = [(f, t) for f, t in licences.NOTICES if t.split()[0] in ("Permission", "Redistribution") or t.startswith("This program is free")]
+    assert {f for f, _ in heads} == {"mit", "isc", "gpl-3.0", "bsd"}
+    rows = [(i, "Some text before.\n\n" + "\n".join(" * " + x for x in textwrap.wrap(t, width)) + "\n\nText after it.") for i, (_, t) in enumerate(heads)]
+    rows.append((9, rows[0][1] + "\n" + rows[3][1] + "\n" + rows[0][1]))
+    got = [(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x[0] < 9) == [(i, 2, f) for i, (f, _) in enumerate(heads)]
+    assert sorted(f for i, _, f in got if i == 9) == sorted([heads[0][0], heads[0][0], heads[3][0]])
+
+
 def test_licence_columns_match_the_model(spark):
     m = licences.fitted()
     texts = [t for _, t in licences.NOTICES] + [f"foo {t} bar baz" for _, t in licences.NOTICES]

@@ -52,6 +52,8 @@ OTHERS = (
 )
 #: The least share of a template's word pairs that a paragraph must have.
 OVERLAP = 0.6
+#: A notice is wrapped over parts with so many words at most between its first and its last one: half as many again as the longest has.
+WRAPPED = 3 * max(len(re.findall("[A-Za-z0-9]+", t)) for _, t in NOTICES) // 2
 
 
 def grams(text: str) -> list[str]:
@@ -172,7 +174,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
     the most likely family counts if its calibrated probability is ``least`` or more, it isn't the
     unknown class, and the paragraph has a share OVERLAP of the word pairs of one of that family's
     notices; ``overlap`` is the greatest share. Only paragraphs with an anchor word, without which
-    that share can't be reached, are weighed at all. The model is a table of about a
+    that share can't be reached, are weighed at all. A notice may be wrapped: runs of adjacent parts, none of them
+    without words and with at most ``WRAPPED`` words between the first and the last, are weighed like a paragraph. Where runs of one family
+    intersect, the greatest overlap counts, in the fewest parts, under the number of its first part; none counts that meets
+    a part which counts by itself. The model is a table of about a
     thousand word pairs, whatever the input. Null and empty texts declare
     nothing; null ids stay null; repeated rows are reported once; other columns are not read.
     """
@@ -184,12 +189,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
     bias = F.create_map(*[F.lit(x) for c, b in zip(m.classes, m.bias, strict=True) for x in (c, b)])
     found = F.lit("(?i)" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in m.anchors))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.rlike("text", found))
-    par = text.select("id", F.posexplode(F.split("text", separator)).alias("paragraph", "line")).where(F.rlike("line", found))
-    words = F.regexp_extract_all(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0))
-    par = par.select("id", "paragraph", F.xxhash64("line").alias("line"), words.alias("words"))
+    lower = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda x: F.regexp_extract_all(lower(x), F.lit("[a-z0-9]+"), F.lit(0))
+    parts = text.select("id", F.xxhash64("text").alias("line"), F.transform(F.split("text", separator), words).alias("parts"))
+    last = F.size("parts") - 1
+    parts = parts.select("id", "line", "parts", F.explode(F.sequence(F.lit(0), last)).alias("paragraph"))
+    parts = parts.where(F.size(F.get("parts", F.col("paragraph"))) > 0)
+
+    def further(run, part):
+        stop = (F.size(part) == 0) | (run["between"] > WRAPPED) | run["ended"]
+        ends = F.when(stop, run["ends"]).otherwise(run["ends"] + 1)
+        return F.struct(ends.alias("ends"), (run["between"] + F.size(part)).alias("between"), stop.alias("ended"))
+
+    start = F.struct(F.lit(0).alias("ends"), F.lit(0).alias("between"), F.lit(False).alias("ended"))
+    reach = F.aggregate(F.slice("parts", F.col("paragraph") + 2, WRAPPED + 2), start, further, lambda run: run["ends"])
+    parts = parts.select("id", "line", "parts", "paragraph", F.explode(F.sequence(F.lit(0), reach)).alias("more"))
+    here, there = F.get("parts", F.col("paragraph")), F.get("parts", F.col("paragraph") + F.col("more"))
+    tail = F.slice(here, F.greatest(F.size(here) - WRAPPED + 1, F.lit(1)), WRAPPED)
+    run = F.concat(tail, F.flatten(F.slice("parts", F.col("paragraph") + 2, F.greatest(F.col("more") - 1, F.lit(0)))), F.slice(there, 1, WRAPPED))
+    par = parts.select("id", "line", "paragraph", "more", F.when(F.col("more") == 0, here).otherwise(run).alias("words"))
+    par = par.where(F.rlike(F.array_join("words", " "), found))
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
-    each = par.select("id", "paragraph", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram")).distinct()
-    at = ["id", "paragraph", "line"]
+    each = par.select("id", "paragraph", "more", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram")).distinct()
+    at = ["id", "paragraph", "more", "line"]
     sums = each.join(table, "gram").groupBy(*at, "family", "notice").agg(F.sum("x").alias("x"))
     own = F.col("notice") < 0
     families = sums.groupBy(*at, "family").agg(
@@ -199,7 +221,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
     best = families.groupBy(*at).agg(F.collect_list("z").alias("zs"), F.max(F.struct("z", "family", "overlap")).alias("best"))
     total = F.aggregate("zs", F.lit(0.0), lambda t, z: t + F.exp(z - F.col("best.z")))
     out = best.select(
-        F.col("id").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"), "best.family",
+        "id", "line", F.col("paragraph").cast("long").alias("paragraph"), (F.col("paragraph") + F.col("more")).alias("end"), "more", "best.family",
         F.round(1 / total, 6).alias("probability"), F.round("best.overlap", 6).alias("overlap"),
     )
-    return out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("overlap") >= OVERLAP))
+    out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("overlap") >= OVERLAP))
+    all_in = out.groupBy("id", "line", "family").agg(F.collect_list(F.struct("paragraph", "end", "more", "probability", "overlap")).alias("runs"))
+    tight = F.filter("runs", lambda x: ~F.exists("runs", lambda y: (y["more"] < x["more"]) & (y["paragraph"] >= x["paragraph"]) & (y["end"] <= x["end"]) & ((y["more"] == 0) | (y["overlap"] >= x["overlap"]))))
+    rank = lambda x: F.struct((x["more"] == 0).alias("alone"), x["overlap"].alias("overlap"), (-x["more"]).alias("short"), (-x["paragraph"]).alias("early"))
+    meets = lambda x, y: (y["paragraph"] <= x["end"]) & (x["paragraph"] <= y["end"]) & (x["more"] > 0)
+    kept = F.filter("tight", lambda x: ~F.exists("tight", lambda y: meets(x, y) & (rank(y) > rank(x))))
+    out = all_in.withColumn("tight", tight).select("id", "family", F.explode(kept).alias("x"))
+    return out.select(F.col("id").alias(id_col), "x.paragraph", "family", "x.probability", "x.overlap")
