@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a temporary folder on one machine and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="weft-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the session's spark.checkpoint.dir, or, where that is unset, a temporary folder."""
+    """``df`` from a reliable checkpoint in the :func:`shared_folder`."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import scores, text
-from weft.operators import chunks, graphs, ranking, records, reports, store
+from weft.operators import chunks, graphs, lineage, ranking, records, reports, store
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, evidence
 from weft.streaming import tasks
@@ -316,7 +315,7 @@ def st2(spark, sf):
 @query("st3_incremental_graph", "SELECT event_type AS label, count(DISTINCT user_id) AS papers, count(DISTINCT event_id) AS evidence FROM events GROUP BY 1")
 def st3(spark, sf):
     """A graph that a stream maintains is the one built at once."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-")
+    shared = lineage.shared_folder(spark)
     build = lambda d: graphs.build_nodes(d, "state", F.col("event_type"), F.col("user_id"), F.col("event_id"))
     n = tasks.maintained(events_in(spark, sf), build, f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}")
     return n.select("label", F.size("paper_ids").cast("long").alias("papers"), F.size("evidence_ids").cast("long").alias("evidence"))
