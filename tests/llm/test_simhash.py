@@ -85,8 +85,46 @@ def test_one_of_each_group(corpus):
     assert 301 not in ids and 302 in ids or 302 not in ids  # texts without words hold no shingle to compare
     sets = {r["doc_id"]: set(simhash.word_hashes(r["text"], 5).tolist()) for r in kept}
     both = [(a, b) for a in sets for b in sets if a is not None and b is not None and a < b]
-    linked = [(a, b) for a, b in both if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(linked) <= 2  # the words' fingerprints propose nearly all similar pairs
+    assert not [(a, b) for a, b in both if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def _least_of_groups(rows):
+    """Ids that stay, by brute force."""
+    sets = [set(simhash.word_hashes(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][1] == rows[b][1] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return set(least.values())
+
+
+def test_groups_are_those_of_brute_force(spark):
+    """A large group whose members are near some others only, small groups, and halved sketches of longer texts."""
+    r = random.Random(21)
+    rows = []
+
+    def edited(w, share):
+        return [f"x{r.randrange(10**6)}" if r.random() < share else x for x in w]
+
+    hub = [f"w{r.randrange(10**5)}" for _ in range(150)]
+    texts = [edited(hub, r.choice((0, 0.01, 0.02, 0.04, 0.08))) for _ in range(350)]
+    for n in (30, 100, 520, 700, 1100, 2500):
+        for _ in range(8):
+            base = [f"w{r.randrange(10**5)}" for _ in range(n)]
+            texts += [base, edited(base, 0.015), edited(base, 0.03), base[: int(n * 0.85)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(r.sample(texts, len(texts)))]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(_least_of_groups(rows))
 
 
 def test_clean_documents_stay(spark):
@@ -112,16 +150,25 @@ def test_pairs_far_apart_in_words_are_linked(spark):
 
 def test_sketches_keep_every_pair_that_counts(spark):
     r = random.Random(12)
-    rows = []
-    for i in range(600):
-        size = r.choice((50, 150, 600))
-        w = [f"w{r.randrange(100_000)}" for _ in range(size)]
-        gone = set(range(5, size - 4, size // (size // 46)))  # far enough apart to touch five shingles each
+    rows, far = [], []
+    for _ in range(700):
+        size = r.choice((50, 150, 500, 530, 700, 1500, 6000))
+        w = [f"w{r.randrange(10**6)}" for _ in range(size)]
         x = simhash.word_hashes(" ".join(w), 5)
-        y = simhash.word_hashes(" ".join("changed" if k in gone else v for k, v in enumerate(w)), 5)
+        share = r.choice((0.01, 0.02, 0.022, 0.1))
+        y = simhash.word_hashes(" ".join(f"changed{k}" if r.random() < share else v for k, v in enumerate(w[: int(size * r.choice((1, 1, 0.95)))])), 5)
         common = len(set(x.tolist()) & set(y.tolist()))
-        if common >= 0.8 * (len(x) + len(y) - common):
-            rows.append((len(x), sum(((a ^ b) % 2**64).bit_count() for a, b in zip(simhash.sketch(x), simhash.sketch(y), strict=True))))
-    assert len(rows) > 400 and max(d for _, d in rows) > 19
-    d = spark.createDataFrame(rows, "n long, d long")
-    assert d.where(F.col("d") > simhash.most_bits(F.col("n"), 0.8)).count() == 0
+        j = common / (len(x) + len(y) - common)
+        kx, ky = simhash.level(len(x)), simhash.level(len(y))
+        row = (len(x), kx, *simhash.sketch(x, kx), *simhash.sketch(x, kx + 1), len(y), ky, *simhash.sketch(y, ky), *simhash.sketch(y, ky + 1))
+        (rows if j >= 0.8 else far if j < 0.6 else []).append(row)
+    assert len(rows) > 250 and len(far) > 100
+    names = [f"{p}{c}" for p in ("a_", "b_") for c in ("n", "level", *[f"{x}{k}" for x in "st" for k in range(8)])]
+
+    def passed(some):
+        d = spark.createDataFrame(some, ", ".join(f"{c} long" for c in names))
+        d = d.select(F.struct(*[F.col(c).alias(c[2:]) for c in names[:18]]).alias("a"), F.struct(*[F.col(c).alias(c[2:]) for c in names[18:]]).alias("b"))
+        return d.where(simhash.alike("a", "b", 0.8)).count()
+
+    assert passed(rows) == len(rows)
+    assert passed(far) < 0.2 * len(far)

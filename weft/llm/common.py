@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,18 +10,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.lineage import cut
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder stands in for it.
+    The folder is the session's ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return cut(df)
+
+
+#: Rows of a few longs that are sent to all tasks at most; more are joined by a shuffle.
+SENT = 250_000
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """``few``, checkpointed, and marked for a broadcast if it is counted to have at most ``SENT`` rows."""
+    few = checkpointed(few)
+    return F.broadcast(few) if few.limit(SENT + 1).count() <= SENT else few
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

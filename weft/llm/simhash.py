@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import LOT, checkpointed, connected_components, lots
+from weft.llm.common import LOT, checkpointed, connected_components, lots, sent
 
 BITS = 64
 #: XXH64 values that are turned to bits at a time.
 _STEP = 1 << 16
-#: Standard deviations beyond which sketches tell two texts apart; by the binomial distribution less than one pair in ten million that counts is beyond.
-SURE = 6
+#: Shingles of a text that a sketch is made of, at most; larger sets are halved. Standard deviations beyond which the sketches of halved sets tell two texts apart.
+SKETCHED, SURE = 512, 6
+_NO_ID = -(1 << 63)
 #: MinHash bands and values in each: of pairs at Jaccard similarity 0.8 all bands differ for 3 in a million.
 BANDS, ROWS = 24, 4
 
@@ -174,25 +175,39 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > max(len(hashes), 1), bitorder="little").view("<i8")[0])
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits, one of the least hash in each of 128 ranges (one-permutation MinHash), as two signed longs.
+def level(n: int) -> int:
+    """Halvings after which about ``SKETCHED`` or fewer of ``n`` hashes are left."""
+    return max(0, (n - 1).bit_length() - (SKETCHED - 1).bit_length()) if n > SKETCHED else 0
+
+
+def sketch(hashes: np.ndarray, halvings: int) -> list[int]:
+    """Odd sketch (Mitzenmacher, Pagh and Pham, 2014) of sorted hashes as 8 signed longs: of 512 bits each is the parity of the hashes that fall on it.
 
-    Two sets with Jaccard similarity j differ in about 64 * (1 - j) of them.
+    A hash that only one of two sets holds changes one bit, so that two sketches never differ in more bits
+    than the sets do in members. Of larger sets only the least hashes, a share of 2 ** -halvings, are looked at.
     """
-    low = np.arange(128, dtype=np.uint64) << np.uint64(57)
-    at = np.searchsorted(hashes, low)
-    held = at < np.append(at[1:], len(hashes))
-    bits = np.zeros(128, np.uint8)
-    bits[held] = (hashes[at[held]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    a, b = np.packbits(bits, bitorder="little").view("<i8")
-    return int(a), int(b)
+    few = hashes[: np.searchsorted(hashes, np.uint64((1 << (64 - halvings)) - 1), "right")]
+    place = (few * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+    odd = np.bincount(place.astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def most_bits(n: Column, similarity: float) -> Column:
-    """In so many bits the :func:`sketch` of two sets can differ, one of which has ``n`` members, where they have that Jaccard similarity."""
-    # Of 128 ranges so many hold a shingle; the least similar texts that count differ in a share of them, give or take.
-    least = 128 * (1 - F.exp(-n / 128)) * (1 - similarity) / 2
-    return F.ceil(least + SURE * F.sqrt(least))
+def _most_bits(n: Column, halvings: Column, similarity: float) -> Column:
+    """In so many bits the sketches of two sets with ``n`` members together can differ that have the Jaccard similarity.
+
+    Exact for sets that were not halved; ``SURE`` standard deviations for others.
+    """
+    apart = n * (1 - similarity) / (1 + similarity) / F.pow(F.lit(2.0), halvings)
+    return apart + F.when(halvings > 0, SURE * F.sqrt(apart)).otherwise(0.0) + 1e-6
+
+
+def alike(x: str, y: str, similarity: float) -> Column:
+    """Rows ``x`` and ``y`` (aliases) with columns n, level, s0.. and t0.. of :func:`_sketched` may have that similarity."""
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    sized = (a("n") >= similarity * b("n")) & (b("n") >= similarity * a("n"))
+    above = lambda one, other, k: F.when(one("level") < other("level"), one(f"t{k}")).otherwise(one(f"s{k}"))
+    bits = sum((F.bit_count(above(a, b, k).bitwiseXOR(above(b, a, k))) for k in range(1, 8)), F.bit_count(above(a, b, 0).bitwiseXOR(above(b, a, 0))))
+    return sized & (F.abs(a("level") - b("level")) <= 1) & (bits <= _most_bits(a("n") + b("n"), F.greatest(a("level"), b("level")), similarity))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -211,16 +226,21 @@ def bands(hashes: np.ndarray) -> list[int]:
     return low.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
+_PRINT = "id long, one long, two long, fp long, n long, level int, sketches array<long>, bands array<long>"
+
+
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for whole in batches for x in lots(whole, 2, LOT)):
+        for b in (x for whole in batches for x in lots(whole, 3, LOT)):
             made = []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 h = word_hashes(t, shingle)
-                made.append((majority(word_hashes(t, 1)), *sketch(h), len(h), bands(h)))
-            *cols, banded = list(zip(*made, strict=True)) or [()] * 5
-            cols = [*[pa.array(c, pa.int64()) for c in cols], pa.array(banded, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "node", "fp", "s", "t", "n", "bands"])
+                k = level(len(h))
+                made.append((majority(word_hashes(t, 1)), len(h), k, [*sketch(h, k), *sketch(h, k + 1)], bands(h)))
+            fp, n, k, sketches, banded = list(zip(*made, strict=True)) or [()] * 5
+            longs = pa.list_(pa.int64())
+            cols = [pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(sketches, longs), pa.array(banded, longs)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["id", "one", "two", "fp", "n", "level", "sketches", "bands"])
 
     return run
 
@@ -229,9 +249,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3).compress
-    for b in (x for whole in batches for x in lots(whole, 1, LOT)):
-        texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+    for b in (x for whole in batches for x in lots(whole, 2, LOT)):
+        texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["one", "two", "packed"])
 
 
 def _shingle_sets(shingle: int):
@@ -246,78 +266,129 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _really_similar(pairs: DataFrame, packed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingle sets have that Jaccard similarity; texts are looked up for these nodes only."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = packed.join(involved, "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
-    sets = checkpointed(texts.mapInArrow(_shingle_sets(shingle), "node long, set array<long>"))
+def _sketched(nodes: DataFrame) -> DataFrame:
+    """(node, fp, n, level, s0.., t0..): the sketch of each node, and that after one halving more, which is compared with a larger text's."""
+    return nodes.select("node", "fp", "n", "level", *[F.get("sketches", F.lit(k)).alias(f"{c}{k % 8}") for k, c in enumerate("s" * 8 + "t" * 8)])
+
+
+def _really_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingle sets have that Jaccard similarity."""
     x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(x, "a").join(y, "b")
     return checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-_NO_ID = -(1 << 63)
+def _distinct_texts(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, row, node) of every row, node being the least row of its text, told apart by 128 bits; and the prints of the nodes."""
+    rows = prints.select("id", "one", "two", F.monotonically_increasing_id().alias("row"))
+    least = rows.groupBy("one", "two").agg(F.min("row").alias("node"))
+    members = checkpointed(rows.join(least, ["one", "two"]))
+    copies = sent(members.where("row <> node").select("row"))
+    return members, prints.withColumn("node", F.monotonically_increasing_id()).join(copies, F.col("node") == F.col("row"), "left_anti")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, blocks: int = 7, before: int = 4) -> DataFrame:
+def _blocks(nodes: DataFrame, max_distance: int, blocks: int, part: int = 512) -> DataFrame:
+    """(block, mask, part, node, fp) of nodes that share a block with others: the bits of the fingerprint under a mask, or a band of MinHash values.
+
+    Blocks of more than ``part`` nodes fall into parts of about that size, others each time.
+    """
+    masks = [_long(m) for m, _ in block_masks(blocks, max_distance)]
+    keys = F.posexplode(F.concat(F.array(*[F.col("fp").bitwiseAND(m) for m in masks]), F.col("bands"))).alias("mask", "key")
+    keyed = nodes.where("n > 0").select("node", keys).select("node", "mask", F.xxhash64("mask", "key").alias("block"))
+    shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    kept = keyed.join(shared, "block").join(nodes.select("node", "fp"), "node")
+    return kept.select("block", "mask", F.pmod(F.xxhash64("node", "block"), F.ceil(F.col("size") / part)).alias("part"), "node", "fp")
+
+
+def _near_by_words(max_distance: int, n_masks: int) -> Column:
+    """Rows a and b of one block: by a band, or with words' fingerprints that are as near as that."""
+    return (F.col("a.mask") >= n_masks) | (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance)
+
+
+def _groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, max_distance: int, blocks: int) -> DataFrame:
+    """(node, component) of nodes that links connect with others."""
+    n_masks = len(block_masks(blocks, max_distance))
+    sketches = _sketched(nodes)
+    met = checkpointed(_blocks(nodes, max_distance, blocks))
+    sets = checkpointed(sets_of(met.select("node").distinct()))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        a, b = (sketches.select([F.col(c).alias(c if c != "node" else k) for c in sketches.columns]) for k in "ab")
+        both = pairs.join(a, "a").alias("x").join(b.alias("y"), F.col("x.b") == F.col("y.b"))
+        return both.where(alike("x", "y", similarity)).select("x.a", "x.b")
+
+    # First each node meets the first one of its part of a block and the one before it there.
+    order = Window.partitionBy("block", "part").orderBy("fp", "node")
+    me = F.struct("mask", "node", "fp")
+    near = met.select(me.alias("a"), F.array(F.first(me).over(order), F.lag(me).over(order)).alias("bs"))
+    near = near.select("a", F.explode("bs").alias("b"))
+    near = near.where((F.col("a.node") != F.col("b.node")) & _near_by_words(max_distance, n_masks))
+    some = checkpointed(possible(near.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()))
+    tied = checkpointed(connected_components(_really_similar(some, sets, similarity), "a", "b"))
+
+    # Then, in blocks with several components, all that are not of the largest one meet all of other components.
+    size = tied.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    tied_size = tied.join(size, "component").select("node", "component", "size")
+    placed = met.drop("part").join(tied_size, "node", "left")
+    placed = checkpointed(placed.select("block", "mask", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size")))
+    mixed = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("largest"))
+    mixed = mixed.where("low <> high").select("block", F.col("largest.component").alias("largest"))
+    rest = checkpointed(placed.join(mixed, "block").join(sketches, "node"))
+    once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node"))
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & once & _near_by_words(max_distance, n_masks) & alike("a", "b", similarity)
+    pairs = rest.where("component <> largest").alias("a").join(rest.alias("b"), on)
+    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    pairs = checkpointed(pairs.join(some, ["a", "b"], "left_anti"))
+    links = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(links.union(_really_similar(pairs, sets, similarity)), "a", "b")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 3, blocks: int = 6) -> DataFrame:
     """The rows of ``docs``, columns unchanged, without near-duplicates: of each group one row stays.
 
     Two texts are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
     ``similarity`` or more, which is compared exactly; a group is what links connect. Pairs are proposed
     by the SimHash of their distinct words, within ``max_distance`` bits, which is much nearer for
     edited copies than that of shingles, and, however far apart that is, by equal :func:`bands` of
-    the shingles. A sketch of the shingles passes over pairs that are clearly less similar.
+    the shingles. Sketches of the shingles pass over pairs that can't be as similar.
 
-    All pairs of a large group would be many. So first each text meets the first of its
-    block and the ``before`` ones before it (one in a band), and what is similar becomes one component; then all
-    pairs in different components meet. Groups come out as if all pairs had been compared.
+    All pairs of a large group would be many. So first each text meets two of its
+    block, and what is similar becomes one component; then those outside of a block's largest
+    component meet all in other components. Groups come out as if all pairs had been compared.
 
     Equal texts, null and empty ones being equal, are one from the start; texts without words
     hold no shingle and link with nothing else. The row with the least id stays, one of equal rows; a null
-    id only in a group without others.
+    id only in a group without others. An empty table gives an empty result; columns of any name stay as they are.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), node.alias("node"), F.col(text_col).cast("string").alias("text"))
-    prints = checkpointed(rows.mapInArrow(_prints(shingle), "id long, node long, fp long, s long, t long, n long, bands array<long>"))
-    nodes = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s").alias("s"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("bands").alias("bands")).where("n > 0")
-    packed = rows.select("node", "text").mapInArrow(_packed, "node long, packed binary")
-    nodes = nodes.withColumn("most", most_bits(F.col("n"), similarity))
-
-    def alike(x: str, y: str) -> Column:
-        a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-        sized = (a("n") >= similarity * b("n")) & (b("n") >= similarity * a("n"))
-        return sized & (F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t"))) <= F.greatest(a("most"), b("most")))
-
-    masks = [_long(m) for m, _ in block_masks(blocks, max_distance)]
-    keys = F.posexplode(F.concat(F.array(*[F.col("fp").bitwiseAND(m) for m in masks]), F.col("bands"))).alias("mask", "key")
-    banded = F.col("a.mask") >= len(masks)
-    block = Window.partitionBy("mask", "key").orderBy("fp", "node")
-    me = F.struct("node", "fp", "n", "mask")
-    met = nodes.select("node", "fp", "n", keys).select(me.alias("a"), F.array(F.first(me).over(block), *[F.lag(me, k).over(block) for k in range(1, before + 1)]).alias("bs"))
-    met = met.select("a", F.posexplode("bs").alias("k", "b"))
-    met = met.where((F.col("a.node") != F.col("b.node")) & F.when(banded, F.col("k") <= 1).otherwise(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance))
-    met = met.where((F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n")))
-    some = checkpointed(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-    linked = _really_similar(some, packed, shingle, similarity)
-    tied = checkpointed(connected_components(linked, "a", "b"))
-
-    placed = nodes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keyed = placed.select("node", "fp", "s", "t", "n", "most", "component", keys)
-    on = _same_key() & (banded | _first_meeting(max_distance, blocks)) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & alike("a", "b")
-    rest = checkpointed(keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(some, ["a", "b"], "left_anti"))
-    links = tied.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(_really_similar(rest, packed, shingle, similarity))
-    groups = connected_components(links, "a", "b")
-
-    members = prints.select("id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("first"))
-    first = first.select(F.coalesce("first.id", F.lit(_NO_ID)).alias("_first_id"), F.col("first.node").alias("_first_node"))
-    held = docs.withColumns({"_text_node": node, "_text_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))})
-    kept = held.join(first, (F.col("_text_node") == F.col("_first_node")) & (F.col("_text_id") == F.col("_first_id")), "left_semi")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), one.alias("one"), two.alias("two"), text.alias("text"))
+    prints = checkpointed(rows.mapInArrow(_prints(shingle), _PRINT))
+    members, nodes = _distinct_texts(prints)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = sent(members.where("row = node").select("node", "one", "two").join(some, "node"))
+        texts = rows.select("one", "two", "text").join(wanted.select("one", "two"), ["one", "two"], "left_semi")
+        packed = texts.mapInArrow(_packed, "one long, two long, packed binary").groupBy("one", "two").agg(F.max("packed").alias("packed"))
+        return packed.join(wanted, ["one", "two"]).select("node", "packed").mapInArrow(_shingle_sets(shingle), "node long, set array<long>")
+
+    groups = _groups(nodes, sets_of, similarity, max_distance, blocks)
+    grouped = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    me = F.struct(F.col("id").isNull().alias("no"), F.coalesce("id", F.lit(_NO_ID)).alias("id"), "one", "two")
+    first = grouped.groupBy("component").agg(F.min(me).alias("first"))
+    mine = grouped.groupBy("component", me.alias("me")).agg(F.count(F.lit(1)).alias("rows")).join(first, "component")
+    keys = [F.col(f"me.{c}").alias(f"_text_{c}") for c in ("id", "one", "two")]
+    keyed = mine.select(*keys, "rows", (F.col("me") == F.col("first")).alias("stays"))
+    # Rows to be left out, and those of which one of several equal ones stays; both are few beside all rows.
+    gone = sent(keyed.where("not stays or rows > 1").drop("rows"))
+    on = ["_text_id", "_text_one", "_text_two"]
+    held = docs.withColumns({"_text_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_text_one": one, "_text_two": two})
     kinds = dict(docs.dtypes)
     order = [F.col(c) for c in docs.columns if c != text_col and kinds[c] != "variant" and "map<" not in kinds[c]]
-    place = F.row_number().over(Window.partitionBy("_text_node", "_text_id").orderBy(*order))
-    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy(*on).orderBy(*order))
+    several = held.join(gone.where("stays"), on, "left_semi").withColumn("_place", place).where("_place = 1")
+    return held.join(gone, on, "left_anti").select(*docs.columns).union(several.select(*docs.columns))
 
 
 def hexadecimal(fp: Column) -> Column:
