@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -93,3 +94,11 @@ def test_empty_tables(spark):
 def test_longest_overlap():
     assert decontam.longest_overlap(np.array([0, 1, 1, 0, 1, 1, 1, 0], bool), 0.8) == (1, 6, 5)
     assert decontam.longest_overlap(np.zeros(4, bool), 0.8) == (0, 0, 0)
+
+
+def test_repetitive_texts_against_repetitive_items():
+    index = decontam.SeedIndex([(1, "a " * 100), (2, "a b " * 40), (None, "a b c " * 5)])
+    start = time.time()
+    assert index.match("a " * 300_000) == [(1, 0, 100, 100)]
+    assert index.match("c " + "a b " * 150_000) == [(2, 1, 80, 80)]
+    assert time.time() - start < 20

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from weft.llm import chat, line_dedup
 
 
-def brute_lines(rows, least, share):
+def brute_lines(rows, least, keep_whole):
     sites = {}
     for r in rows:
         for line in (r["text"] or "").split("\n"):
@@ -19,20 +20,19 @@ def brute_lines(rows, least, share):
     for r in rows:
         lines = (r["text"] or "").split("\n")
         own = [x for x in lines if x.strip(" \t\r") not in bad]
-        cut = sum(map(len, lines)) - sum(map(len, own))
-        whole = len(own) == len(lines) or cut > share * sum(map(len, lines))
+        whole = len(own) == len(lines) or keep_whole and not any(x.strip(" \t\r") for x in own)
         out.append((r["doc_id"], r["text"] if whole else "\n".join(own)))
     return out
 
 
-@pytest.mark.parametrize("least", [2, 5])
-def test_lines(spark, least):
+@pytest.mark.parametrize(("least", "keep_whole"), [(2, False), (5, True)])
+def test_lines(spark, least, keep_whole):
     rows = [(i, f"start {i}\nshared by all \nfoot {i % 4}\n\nend {i % 2}", f"s{i % 7}") for i in range(40)]
-    rows += [(50, None, "s1"), (51, "", "s2"), (52, "shared by all", "s3"), (None, "x y z\nshared by all", "s4"), (53, "shared by all\nlong own text of this document", None), (1, rows[1][1], "s1")]
+    rows += [(50, None, "s1"), (51, "", "s2"), (52, "shared by all", "s3"), (None, "x y z\nshared by all", "s4"), (53, "shared by all\nlong own text of this document", None), (1, rows[1][1], "s1"), (1, "other text\nshared by all", "s1")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("old"))
-    out = line_dedup.remove_spread_lines(d, min_sites=least)
+    out = line_dedup.remove_spread_lines(d, min_sites=least, keep_whole=keep_whole)
     assert sorted(out.columns) == sorted([*d.columns, "n_spread", "n_removed"])
-    want = brute_lines(d.collect(), least, 0.5)
+    want = brute_lines(d.collect(), least, keep_whole)
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
     assert line_dedup.remove_spread_lines(d.limit(0)).count() == 0
 
@@ -67,3 +67,17 @@ def test_digests(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(mine), hashlib.sha256(told.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.format_turns(d.limit(0))).count() == 0
+
+
+def test_long_documents_take_little_longer(spark):
+    site = F.concat(F.lit("s"), (F.col("id") % 9).cast("string"))
+    d = spark.range(18).select(F.col("id").alias("doc_id"), site.alias("source"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n").alias("text"))
+    start = time.time()
+    assert line_dedup.remove_spread_lines(d).agg(F.sum("n_removed")).first()[0] == 18 * 20_001
+    assert time.time() - start < 60
+
+
+def test_a_long_turn(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "word " * 200_000), (1, 1, "assistant", "<|im_end|>" * 50_000)], "conv_id long, turn long, role string, text string")
+    r = chat.digests(chat.format_turns(turns)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, 500_000, hashlib.sha256(b"<|im_end|>" * 50_000).hexdigest())

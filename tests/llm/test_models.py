@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import textwrap
 import zlib
 
@@ -110,6 +111,56 @@ def test_pieces_table(spark, corpus):
     assert pieces.encode(named.limit(0)).count() == 0
 
 
+def _as_unigram(folder):
+    """The public model's pieces and scores as a model of the unigram kind, for which the best path is that of the greatest sum."""
+    raw = bytearray(open(pieces.MODEL, "rb").read())
+
+    def fields(i, end):
+        def varint(i):
+            x = shift = 0
+            while raw[i] > 127:
+                x, shift, i = x | (raw[i] & 127) << shift, shift + 7, i + 1
+            return x | raw[i] << shift, i + 1
+
+        while i < end:
+            tag, i = varint(i)
+            if tag & 7 == 2:
+                n, i = varint(i)
+            else:
+                n = varint(i)[1] - i if tag & 7 == 0 else 4 if tag & 7 == 5 else 8
+            yield tag >> 3, i, i + n
+            i += n
+
+    kind = next(a for number, lo, hi in fields(0, len(raw)) if number == 2 for n, a, _ in fields(lo, hi) if n == 3)
+    raw[kind] = pieces.UNIGRAM
+    path = folder / "unigram.model"
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_paths_are_the_best(tmp_path):
+    path = _as_unigram(tmp_path)
+    m, lib = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert m.kind == pieces.UNIGRAM
+    r = random.Random(4)
+    words = {"".join(r.choice("aeionrstlhdä.,-'") for _ in range(r.randint(1, 12))) for _ in range(800)}
+    total = lambda parts: sum(m.scores[m.ids[p]] for p in parts)
+    for word, parts in m.segment([pieces.MARK + w for w in words]):
+        best = lib.nbest_encode_as_pieces(word[1:], 2)[0]
+        assert "".join(parts) == word and total(parts) == total(best), word
+    # The same sums are not what merging by rank gives, which is why the state of such models is another.
+    bpe = pieces.model(pieces.MODEL)
+    assert sum(bpe.merged(w) != parts for w, parts in m.segment([pieces.MARK + w for w in words])) > 0.2 * len(words)
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, "a" * 300_000, "  " + "ab" * 150_000, "x" + " " * 50_000 + "y"])
+def test_long_runs_are_the_librarys(text):
+    m, lib = pieces.model(pieces.MODEL), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    start = time.time()
+    assert m.encode_batch([text])[0].tolist() == lib.encode(text)
+    assert time.time() - start < 20
+
+
 # HTML
 
 
@@ -127,6 +178,14 @@ def test_main_text(page, text):
     assert html_text.extract([page], html_text.fitted()) == [text]
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<p><button>" + "<div>" * 100_000, "<ul><li>" + "<div><li>" * 50_000, "<b>" * 100_000 + "</i>" * 100_000])
+def test_deep_pages(page):
+    start = time.time()
+    root = html_text.parse(page + "text")
+    assert len(html_text._listed(root)) <= 100_010
+    assert time.time() - start < 20
+
+
 def test_pages_of_other_seeds():
     w, model, wrong, total = html_text._Writer(77), html_text.fitted(), 0, 0
     for _ in range(60):

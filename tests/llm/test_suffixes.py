@@ -53,7 +53,7 @@ def documents():
 def test_matches_brute_force(spark, monkeypatch, crowd):
     rows = documents()
     monkeypatch.setattr(suffixes, "CROWD", crowd)
-    monkeypatch.setattr(suffixes.repeated_stretches, "__defaults__", ("doc_id", "text", 100, crowd))
+    monkeypatch.setattr(suffixes.repeated_stretches, "__defaults__", (100, crowd))
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = suffixes.deduplicated(d).collect()
     assert len(got) == len(rows)

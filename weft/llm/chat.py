@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import LOT, lots
+
 #: Control strings in the order of their reserved ids, which follow the vocabulary.
 CONTROL = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 #: The pre-tokenization pattern of the 50k byte-level vocabularies: a fixed value.
@@ -76,7 +78,7 @@ def format_turns(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (y for whole in batches for x in lots(whole, 3, LOT) for y in lots(x, 2, LOT)):
             made = [assemble(r or "", t or "", vocabulary, learned) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             ids = pa.array([x for x, _ in made], pa.list_(pa.int32()))
             loss = pa.array([m for _, m in made], pa.list_(pa.int8()))
@@ -98,10 +100,12 @@ def read_turn(ids: list[int], loss: list[int], path: str) -> tuple[str, str, str
 
 
 def digests(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """What each conversation says, read back from its tokens.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): what each conversation says, read back from its tokens.
 
-    Rows are dealt by conversation and sorted; each task reads them as a stream
-    and holds two running digests and one turn, however long a conversation is.
+    Rows are dealt by conversation and sorted by turn, equal turns by their ids; each task reads them as a stream
+    and holds two running digests and one turn, however long a conversation is. Rows with a null
+    conv_id are one conversation, null turns come first, repeated rows count each time. A conversation
+    without learned text has the digest of nothing; an empty table gives an empty result.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -118,7 +122,7 @@ def digests(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, ids, loss in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for conv, ids, loss in (row for part in lots(b, 2, LOT // 4) for row in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 if state is not None and conv != current:
                     rows.append(done())
                     state = None

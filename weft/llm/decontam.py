@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations, repeat
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import LOT, lots
 
 _WORD = re.compile(r"[^\W_]+")
+#: Hits that are looked at together.
+_HITS = 1 << 20
 RESULT = "doc_id long, item_id long, first_word long, n_words int, n_equal int"
 #: A benchmark with more text than this is matched in several passes, each over a part no larger.
 BLOCK_BYTES = 16 << 20
@@ -129,10 +132,12 @@ class SeedIndex:
                     who.append(np.full(len(x), k, np.int64))
                     at.append(np.arange(len(x)))
             h, who, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, who, at))
+            h = h.astype(np.uint64)
+            before = np.where(at > 0, np.roll(h, 1), np.uint64(0))  # the item's hash one word earlier
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
-            bits[(h.astype(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((h[order].astype(np.uint64), who[order], at[order], bits))
+            bits[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.tables.append((h[order], who[order], at[order], before[order], bits))
 
     def _hash(self, ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
         n = len(ids) - mask[-1]
@@ -149,29 +154,59 @@ class SeedIndex:
         x[~known] = 0
         return x
 
+    def _diagonals(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item hit, the shifts between its words and the text's at which a seed hits, ascending.
+
+        Hits that follow another one on their diagonal add nothing and are passed over, a bounded number at a time.
+        """
+        found: dict[int, list[np.ndarray]] = {}
+        for mask, (table, who, at, before, bits) in zip(self.masks, self.tables, strict=True):
+            h = self._hash(ids, mask)
+            pos = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & (h != 0)) if len(table) else np.zeros(0, np.int64)
+            lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
+            pos, lo, n = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(pos):
+                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _HITS, "right")), first + 1)
+                p, count = np.repeat(pos[first:last], n[first:last]), n[first:last]
+                entry = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[first:last], count)
+                new = (p == 0) | (before[entry] == 0) | (h[np.maximum(p - 1, 0)] != before[entry])
+                k, shift = who[entry[new]], p[new] - at[entry[new]]
+                for item in np.unique(k).tolist():
+                    found.setdefault(item, []).append(np.unique(shift[k == item]))
+                first = last
+        return {k: np.unique(np.concatenate(x)) for k, x in found.items()}
+
+    def _windows(self, ids: np.ndarray, size: int, shifts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shift, text words beside the item's, 0 beyond the text) in ascending order, of equal ones the first only."""
+        around = np.concatenate((np.zeros(size, np.int64), ids, np.zeros(size, np.int64)))
+        seen: set[bytes] = set()
+        step = max(1, _HITS // size)
+        for i in range(0, len(shifts), step):
+            rows = around[(shifts[i : i + step] + size)[:, None] + np.arange(size)]
+            for shift, row in zip(shifts[i : i + step].tolist(), rows, strict=True):
+                key = blake2b(row.tobytes(), digest_size=16).digest()
+                if key not in seen:
+                    seen.add(key)
+                    yield shift, row
+
     def match(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, first word, words, equal words) of the longest overlap with every item found in ``text``."""
         tokens = words(text)
         ids = np.fromiter(map(self.vocab.get, tokens, repeat(0)), np.int64, len(tokens))
-        lines: set[tuple[int, int]] = set()
-        for mask, (table, who, at, bits) in zip(self.masks, self.tables, strict=True):
-            h = self._hash(ids, mask)
-            pos = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & (h != 0)) if len(table) else ()
-            if len(pos):
-                lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
-                for p, a, b in zip(pos[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    lines.update(zip(who[a:b].tolist(), (p - at[a:b]).tolist(), strict=True))
         best: dict[int, tuple[int, int, int]] = {}
-        for k, shift in lines:
+        for k, shifts in self._diagonals(ids).items():
             item_id, item = self.items[k]
-            a, b = max(0, -shift), min(len(item), len(ids) - shift)
-            same = item[a:b] == ids[a + shift : b + shift]
-            start, n, equal = longest_overlap(same, self.similarity)
-            need = self.min_words if len(item) >= self.min_words else len(item)
-            enough = n >= need and (equal == n or len(item) >= self.min_words)
-            if enough and (item_id not in best or (n, equal, -(a + shift + start)) > (best[item_id][1], best[item_id][2], -best[item_id][0])):
-                best[item_id] = (a + shift + start, n, equal)
-        return [(i, *v) for i, v in sorted(best.items())]
+            whole = len(item) >= self.min_words
+            need = self.min_words if whole else len(item)
+            for shift, row in self._windows(ids, len(item), shifts):
+                start, n, equal = longest_overlap(row == item, self.similarity)
+                if n >= need and (equal == n or whole) and (item_id not in best or (n, equal, -(shift + start)) > (best[item_id][1], best[item_id][2], -best[item_id][0])):
+                    best[item_id] = (shift + start, n, equal)
+                    if equal == len(item):
+                        break  # nothing is longer, and what follows is later
+        return [(i, *v) for i, v in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
 
 def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
@@ -206,7 +241,11 @@ def _indexes(benchmark: DataFrame, min_words: int, similarity: float, weight: in
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_words: int = 13, similarity: float = 0.8, weight: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that :func:`contaminated` finds no overlap in. Narrow."""
+    """The rows of ``docs``, columns unchanged, that :func:`contaminated` finds no overlap in. Narrow.
+
+    Null and empty texts overlap with nothing and stay; null ids and repeated rows are kept as they are. An empty
+    benchmark keeps all rows, an empty table gives an empty result.
+    """
     out = docs
     for index in _indexes(benchmark, min_words, similarity, weight, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import LOT, lots
 from weft.llm.trees import BoostedTrees
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
@@ -58,8 +59,9 @@ def parse(page: str) -> Node:
     """The tree of block elements. Text in no block element, but in inline ones, belongs to the block around it."""
     root = Node("body", "", None)
     stack: list[tuple[str, Node]] = [("body", root)]  # open elements, each with the block that its text goes to
+    places: dict[str, list[int]] = {}  # of each name, those of the stack, so that no step looks through it
     silent: str | None = None
-    links, at = 0, 0
+    at = 0
 
     def put(text: str) -> None:
         if text and silent is None:
@@ -67,13 +69,19 @@ def parse(page: str) -> Node:
             block.parts.append(text)
             n = len(text.strip())
             block.text += n
-            if links:
+            if places.get("a"):
                 block.link += n
 
+    def open_(name: str, block: Node) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, block))
+
     def close(index: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[index:])
-        del stack[index:]
+        while len(stack) > index:
+            places[stack.pop()[0]].pop()
+
+    def last(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -88,11 +96,8 @@ def parse(page: str) -> Node:
         if m[1]:
             if silent is not None:
                 silent = None if name == silent else silent
-            elif name not in VOID:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
+            elif places.get(name):
+                close(places[name][-1])
             continue
         if silent is not None:
             continue
@@ -110,21 +115,16 @@ def parse(page: str) -> Node:
             put(" ")
             continue
         if name in INLINE:
-            links += name == "a"
-            stack.append((name, stack[-1][1]))
+            open_(name, stack[-1][1])
             continue
         for closed, stop in ((CLOSES.get(name, ()), CONTAINER.get(name, ())), (("p",), ("td", "th", "button", "body"))):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in closed:
-                    close(i)
-                    break
+            if last(closed) > last(stop):
+                close(last(closed))
         parent = stack[-1][1]
         node = Node(name, m[3], parent)
         parent.children.append(node)
         parent.parts.append(node)
-        stack.append((name, node))
+        open_(name, node)
     return root
 
 
@@ -395,8 +395,7 @@ def main_text(pages: DataFrame, html_col: str = "html", model: BoostedTrees | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in (x for i in range(0, b.num_rows, 256) for x in lots(b.slice(i, 256), b.num_columns - 1, LOT)):
                 texts = extract(part.column(part.num_columns - 1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, "text"])
 

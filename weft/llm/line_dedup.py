@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed
-
-#: So many line hashes, 16 bytes each, are sent to all tasks at most; more are joined by a shuffle.
-SENT = 250_000
+from weft.llm.common import sent
 
 
 def _key(line: Column) -> Column:
@@ -59,37 +56,39 @@ def remove_spread_lines(
     site_col: str = "source",
     text_col: str = "text",
     min_sites: int = 8,
-    max_share: float = 0.5,
+    keep_whole: bool = False,
     lg_k: int = 12,
 ) -> DataFrame:
     """``docs`` without the lines that :func:`spread_lines` finds, plus n_lines, n_spread and n_removed (long).
 
-    ``text_col`` becomes the remaining lines joined by a newline. Boilerplate
-    surrounds a document's own text; a document of which spread lines make up
-    more than ``max_share`` of the characters is a copy as a whole, which is
-    left to near-duplicate removal and stays as it is. No row is dropped. A null
+    ``text_col`` becomes the remaining lines joined by a newline. With ``keep_whole`` a document in which
+    no line but white space would remain stays as it is: it is a copy as a whole, which is
+    left to near-duplicate removal. No row is dropped. A null
     text stays null and counts 0 lines; an empty one has 1 line. Null ids and
     repeated rows are handled as any other; columns of the input called n_lines,
     n_spread or n_removed are replaced, all others kept.
     """
-    spread = checkpointed(spread_lines(docs, site_col, text_col, min_sites, lg_k).select("key"))
-    spread = F.broadcast(spread) if spread.limit(SENT + 1).count() <= SENT else spread
-    mine = docs.select(F.col(id_col).alias("_id"), F.explode(_lines(text_col)).alias("line"))
-    mine = mine.select("_id", _key(_trimmed(F.col("line"))).alias("key"))
-    hit = mine.join(spread, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("_spread"))
+    spread = sent(spread_lines(docs, site_col, text_col, min_sites, lg_k).select("key"))
+    text = F.xxhash64(text_col)
+    mine = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.posexplode(_lines(text_col)).alias("at", "line"))
+    mine = mine.select("_id", "_text", "at", _key(_trimmed(F.col("line"))).alias("key"))
+    hit = mine.join(spread, "key", "left_semi").groupBy("_id", "_text").agg(F.collect_list("at").alias("_spread"))
     out = docs.drop("n_lines", "n_spread", "n_removed")
-    out = out.join(hit, out[id_col].eqNullSafe(hit["_id"]), "left").drop("_id")
+    out = out.join(hit, out[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(out[text_col]) == hit["_text"]), "left").drop("_id", "_text")
     lines = _lines(text_col)
-    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    own = F.filter(lines, lambda x: ~F.array_contains(F.col("_spread"), _key(_trimmed(x))))
+    # Places are told apart by a hash set, so that a long document costs no more than its lines.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_spread"))
+    own = F.transform(left, lambda i: F.get(lines, i))
     out = out.withColumn("_own", F.when(F.col("_spread").isNotNull(), own))
-    whole = F.col("_own").isNull() | (size(lines) - size(F.col("_own")) > max_share * size(lines))
+    stays = F.col("_own").isNull()
+    if keep_whole:
+        stays = stays | ~F.exists("_own", lambda x: _trimmed(x) != "")
     return out.select(
         *[c for c in docs.columns if c not in (text_col, "n_lines", "n_spread", "n_removed")],
-        F.when(whole, F.col(text_col)).otherwise(F.array_join("_own", "\n")).alias(text_col),
+        F.when(stays, F.col(text_col)).otherwise(F.array_join("_own", "\n")).alias(text_col),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size("_own"), F.lit(0)).cast("long").alias("n_spread"),
-        F.when(whole, 0).otherwise(F.size(lines) - F.size("_own")).cast("long").alias("n_removed"),
+        F.when(stays, 0).otherwise(F.size(lines) - F.size("_own")).cast("long").alias("n_removed"),
     )
 
 
@@ -103,10 +102,9 @@ spread AS (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source
 marked AS (SELECT l.*, s.t IS NOT NULL AS gone FROM l LEFT JOIN spread s ON l.t = s.t),
 per AS (
   SELECT doc_id, any_value(text) AS text, CASE WHEN any_value(text) IS NULL THEN 0 ELSE count(*) END AS n_lines,
-    count(*) FILTER (gone) AS n_spread, coalesce(sum(length(line)) FILTER (gone), 0) AS cut, sum(length(line)) AS total,
+    count(*) FILTER (gone) AS n_spread,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS own
   FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, n_spread, CASE WHEN cut > {max_share} * total THEN 0 ELSE n_spread END AS n_removed,
-  sha256(CASE WHEN n_spread = 0 OR cut > {max_share} * total THEN text ELSE own END) AS kept_sha256
+SELECT doc_id, n_lines, n_spread, n_spread AS n_removed, sha256(CASE WHEN n_spread = 0 THEN text ELSE own END) AS kept_sha256
 FROM per
 """

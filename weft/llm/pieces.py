@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from struct import pack
 
 import numpy as np
@@ -115,18 +116,36 @@ class Pieces:
     # Segmentation of one word ------------------------------------------------
 
     def merged(self, word: str) -> list[str]:
-        """The merge procedure itself: best-scored adjacent pair first, the leftmost of ties."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The merge procedure itself: best-scored adjacent pair first, the leftmost of ties.
+
+        Pairs wait in a heap; one is stale if either part has been merged since. So a word takes n log n steps.
+        """
+        parts: list[str] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def wait(k: int) -> None:
+            j = after[k]
+            if j < len(parts):
+                i = self.ids.get(parts[k] + parts[j])
+                if i is not None:
+                    heappush(heap, (-self.scores[i], k, i))
+
+        for k in range(len(parts) - 1):
+            wait(k)
+        while heap:
+            _, k, i = heappop(heap)
+            j = after[k]
+            if not parts[k] or j >= len(parts) or parts[k] + parts[j] != self.pieces[i]:
+                continue
+            parts[k], parts[j] = self.pieces[i], ""
+            after[k] = after[j]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            wait(k)
+            if before[k] >= 0:
+                wait(before[k])
+        return [p for p in parts if p]
 
     def _beside(self, left: str, right: str) -> bool:
         """Merging ``left + right`` gives just these two pieces."""
@@ -306,7 +325,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, n_pieces, ids_sha256 over little-endian 32-bit ids, decoded_sha256, decoded_chars), and ids if asked for.
 
     Each text is encoded as by :func:`encode` and decoded again from its ids in the same pass, so that neither
-    texts nor ids leave the worker.
+    texts nor ids leave the worker. Null and empty texts have no pieces and the digests of nothing; null ids and
+    repeated rows are kept; an empty table gives an empty result; other columns are not read.
     """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["n_pieces", "ids_sha256", "decoded_sha256", "decoded_chars"]

@@ -32,12 +32,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MIN_SITES, MAX_SHARE = 8, 0.5
+MIN_SITES = 8
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.remove_spread_lines(docs, min_sites=MIN_SITES, max_share=MAX_SHARE)
+    out = line_dedup.remove_spread_lines(docs, min_sites=MIN_SITES)
     return out.select("doc_id", "n_lines", "n_spread", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -88,7 +88,7 @@ s AS (SELECT x.doc_id, x.item_id, x.shift, x.j + x.shift AS first_word, y.j - x.
   WHERE y.j - x.j + 1 >= 13 AND y.k - x.k + 1 >= 0.8 * (y.j - x.j + 1)
   QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.item_id, x.shift ORDER BY n_words DESC, x.j) = 1)
 SELECT doc_id, item_id, first_word, n_words, n_equal FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, n_equal DESC, first_word) = 1""",
-    "op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES, max_share=MAX_SHARE),
+    "op5_line_dedup": line_dedup.SQL.format(min_sites=MIN_SITES),
     "op6_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,

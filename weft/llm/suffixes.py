@@ -393,25 +393,30 @@ def _strings(length: int):
     return run
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = CROWD) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _with_lists(packed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Compressed texts beside their lists. Both uses deal the texts alike, whatever the size of the lists, so that they are dealt once."""
+    return packed.join(lists.withColumnRenamed("doc", "_doc").hint("merge"), F.col("_key") == F.col("_doc"), how)
+
+
+def repeated_stretches(texts: DataFrame, packed: DataFrame, length: int = 100, crowd: int = CROWD) -> DataFrame:
     """(doc, at, n): stretches of n bytes that strings of ``length`` bytes with an earlier start elsewhere cover; they may overlap.
 
-    ``at`` holds the byte position in its low 40 bits. A null id reads as the least long.
+    ``texts`` has id and text, ``packed`` the same with the text compressed. ``at`` holds the byte position in
+    its low 40 bits. A null id reads as the least long.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    long_enough = texts.where(F.octet_length("text") >= length)
-    rows = long_enough.mapInArrow(_scan(length), _ROW)
+    rows = texts.where(F.octet_length("text") >= length).mapInArrow(_scan(length), _ROW)
     dealt = rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "at")
     found = checkpointed(dealt.mapInArrow(_compare(length), "doc long, at long, n long, key long"))
     whole = found.where("n < 0").select("doc", "at", (-F.col("n")).alias("n"))
     part = found.where("n > 0")
     wanted = part.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "key")).alias("wanted"))
-    wanted = wanted.withColumnRenamed("doc", "_doc")
-    packed = long_enough.mapInArrow(_packed, "id long, packed binary").withColumn("_key", F.coalesce("id", F.lit(_NO_ID)))
-    joined = packed.join(wanted, F.col("_key") == F.col("_doc")).select("id", "packed", "wanted")
-    parts = joined.mapInArrow(_cut_out(length), "key long, doc long, at long, part binary")
+    parts = _with_lists(packed, wanted, "inner").select("id", "packed", "wanted").mapInArrow(_cut_out(length), "key long, doc long, at long, part binary")
     many = checkpointed(part.groupBy("key").count().where(F.col("count") > crowd).select("key"))
     # Each gram's parts go to one task, which takes them gram by gram; crowded grams are spread by string.
     few = parts.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "at")
@@ -468,9 +473,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same document and get the same result; different texts of one id are ordered by
     a hash. Columns other than the id and text are not read.
     """
-    spans = repeated_stretches(docs, id_col, text_col, length)
-    listed = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts(docs, id_col, text_col)
     packed = texts.mapInArrow(_packed, "id long, packed binary").withColumn("_key", F.coalesce("id", F.lit(_NO_ID)))
-    joined = packed.join(listed, F.col("_key") == F.col("_doc"), "left")
-    return joined.select("id", "packed", "spans").mapInArrow(_digest(id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = repeated_stretches(texts, packed, length)
+    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return _with_lists(packed, listed, "left").select("id", "packed", "spans").mapInArrow(_digest(id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
