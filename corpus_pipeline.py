@@ -19,8 +19,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, documents stay; n_chars follows the text."""
-    out = line_dedup.remove_spread_lines(docs, min_sites=8, max_share=0.5)
+    """Boilerplate lines go, documents stay; n_chars follows the text. One with no other lines is left to the next stage as it is.
+
+    A null text stays null, and n_chars with it; rows with null or repeated ids are handled as any other.
+    """
+    out = line_dedup.remove_spread_lines(docs, min_sites=8, keep_whole=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
