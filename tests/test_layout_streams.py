@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import layout
-from weft.operators import graphs, hooks
+from weft.operators import graphs, hooks, measures
 from weft.plans.more import select_context
-from weft.plans.tables import quality_gates
 from weft.streaming import tasks
 
 SF = "/root/testdata/sf0.001"
@@ -68,7 +67,7 @@ def test_select_context(spark):
 
 def test_gates(spark):
     e = spark.createDataFrame([("scope_guard", 1.0), ("citation_coverage", 0.7)], "name string, score double")
-    got = {r["name"]: r["passed"] for r in quality_gates(spark, e).collect()}
+    got = {r["name"]: r["passed"] for r in measures.quality_gates(e).collect()}
     assert got == {"scope_guard": True, "citation_coverage": False, "report_traceability": False, "innovation_specificity": True, "generic_text": True, "redaction": False}
 
 
@@ -100,12 +99,15 @@ def test_stream_is_the_batch(spark, tmp_path):
     batch = events.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = tasks.event_stream(spark, str(folder), "*.parquet")
     key = lambda df: sorted(map(str, df.collect()))
-    assert key(tasks.drained(tasks.tumbling(stream, "1 day").withColumn("total", F.round("total", 3)), "t_tumbling")) == key(tasks.tumbling(batch, "1 day").withColumn("total", F.round("total", 3)))
-    assert key(tasks.drained(tasks.last_states(tasks.event_stream(spark, str(folder), "*.parquet")), "t_last")) == key(tasks.last_states(batch))
-    assert key(tasks.drained(tasks.sessions(tasks.event_stream(spark, str(folder), "*.parquet"), "4 hours"), "t_sessions")) == key(tasks.sessions(batch, "4 hours"))
-    n = tasks.drained(tasks.numbered_states(tasks.event_stream(spark, str(folder), "*.parquet")), "t_states", "update")
-    final = n.groupBy("user_id").agg(F.max("n").alias("n"))
-    assert key(final) == key(batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
-    build = lambda d: graphs.build_nodes(d, "state", F.col("event_type"), F.col("user_id"), F.col("event_id"))
-    kept = tasks.maintained(tasks.event_stream(spark, str(folder), "*.parquet"), build, str(tmp_path / "graph"))
+    again = lambda: tasks.event_stream(spark, str(folder), "*.parquet")
+    whole = lambda df, name: tasks.settled(df, str(tmp_path / name))
+    assert key(whole(tasks.tumbling(stream, "1 day").withColumn("total", F.round("total", 3)), "tumbling")) == key(tasks.tumbling(batch, "1 day").withColumn("total", F.round("total", 3)))
+    assert key(whole(tasks.last_states(again()), "last")) == key(tasks.last_states(batch))
+    assert key(whole(tasks.sessions(again(), "4 hours"), "sessions")) == key(tasks.sessions(batch, "4 hours"))
+    n = tasks.settled(tasks.numbered_states(again()), str(tmp_path / "states"), ["user_id"])
+    assert key(n.select("user_id", "n")) == key(batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+    build = lambda d: graphs.mentions(d, "state", F.col("event_type"), F.col("user_id"), F.col("event_id"))
+    kept = tasks.maintained(again(), build, str(tmp_path / "graph"))
     assert key(kept.select(*sorted(kept.columns))) == key(build(batch).select(*sorted(kept.columns)))
+    # A stream that is started again goes on after what it has seen, and gives the same.
+    assert key(tasks.maintained(again(), build, str(tmp_path / "graph"))) == key(kept)

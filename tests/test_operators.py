@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
-from weft.operators import chunks, graphs, ranking, records, reports, store
+from weft.operators import chunks, collections, evidence, graphs, ranking, records, reports, scopes, store
 
 
 def one(spark, c, **columns):
@@ -155,11 +155,125 @@ def test_graph(spark):
 
 def test_incremental_build_is_the_full_one(spark):
     rows = spark.createDataFrame([(f"m{i % 4}", i, 10 * i) for i in range(20)] + [("unknown", 1, 1), (" ", 2, 2)], "m string, p long, e long")
-    make = lambda d: graphs.build_nodes(d, "method", F.col("m"), F.col("p"), F.col("e"))
+    make = lambda d: graphs.mentions(d, "method", F.col("m"), F.col("p"), F.col("e"))
     full = sorted(map(tuple, make(rows).collect()))
     assert sorted(map(tuple, graphs.merge_graphs(make(rows.where("p < 7")), make(rows.where("p >= 7"))).collect())) == full
     kept, _ = graphs.without_paper(make(rows.where("p < 4")), spark.createDataFrame([], "src string, dst string"), 1)
     assert {r["label"] for r in kept.collect()} == {"m0", "m2", "m3"}
+    assert {(r["label"], r["papers"], r["evidence"]) for r in graphs.counted(make(rows)).collect()} == {(f"m{k}", 5, 5) for k in range(4)}
+
+
+def test_labels_come_to_rest(spark):
+    """A bipartite graph, on which labels that all change at once swap for ever."""
+    e = spark.createDataFrame([(f"a{i}", f"b{j}", "x") for i in range(6) for j in range(6) if (i < 3) == (j < 3)] + [("a0", "b5", "x")], "src string, dst string, edge_type string")
+    n = spark.createDataFrame([(f"{c}{i}",) for c in "ab" for i in range(6)] + [("alone",)], "node_id string")
+    label = {r["node_id"]: r["community"] for r in graphs.label_propagation(n, e).collect()}
+    around = {}
+    for r in e.collect():
+        around.setdefault(r["src"], []).append(label[r["dst"]])
+        around.setdefault(r["dst"], []).append(label[r["src"]])
+    assert label["alone"] == "alone"
+    assert all(near.count(label[k]) == max(map(near.count, near)) for k, near in around.items())
+
+
+def brute_keep(ids, pairs):
+    kept, at = [], {}
+    for a, b in pairs:
+        at.setdefault(b, set()).add(a)
+    for i in sorted(ids):
+        if not at.get(i, set()) & set(kept):
+            kept.append(i)
+    return kept
+
+
+def test_greedy_passes(spark):
+    r = random.Random(8)
+    pairs = {tuple(sorted(r.sample(range(60), 2))) for _ in range(90)}
+    ids = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    d = spark.createDataFrame(sorted(pairs), "a long, b long")
+    kept = brute_keep(range(60), pairs)
+    assert sorted(x["id"] for x in records.keep_first(ids, d).collect()) == kept
+    for x in records.merged_into(ids, d).collect():
+        assert x["kept"] == (x["id"] in kept)
+        assert x["into"] == (x["id"] if x["kept"] else min(a for a, b in pairs if b == x["id"] and a in kept))
+    assert records.keep_first(ids, d.limit(0)).count() == 60 and records.keep_first(ids.limit(0), d.limit(0)).count() == 0
+
+
+def test_near_texts_and_vectors(spark):
+    r = random.Random(2)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice((0, 3, 40, 200)))) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base + [t[:-2] + "zz" for t in base] + base[:5])] + [(99, None)]
+    grams = lambda t: {t.lower()[i : i + 5] for i in range(max(len(t) - 4, 1))} if t else set()
+    alike = lambda x, y: bool(x and y) and len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))
+    pairs = {(a, b) for a, x in rows for b, y in rows if a < b and alike(x, y)}
+    got = chunks.without_near_copies(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert sorted(x["id"] for x in got) == brute_keep([i for i, _ in rows], pairs)
+    vectors = [(i, i % 2, [r.gauss(0, 1) for _ in range(3)]) for i in range(50)] + [(50, 0, [0.0] * 3), (51, 0, None)]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True))
+    cos = lambda x, y: dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if x and y and any(x) and any(y) else 0
+    pairs = {(a, b) for a, k, x in vectors for b, m, y in vectors if a < b and k == m and cos(x, y) >= 0.85}
+    out = records.vector_merges(spark.createDataFrame(vectors, "id long, k int, v array<double>"), "id", "k", "v").collect()
+    assert sorted(x["id"] for x in out if x["kept"]) == brute_keep([i for i, _, _ in vectors], pairs) and len(out) == 52
+
+
+def test_quotes_and_counter_evidence(spark):
+    r = random.Random(6)
+    q = [(i, r.sample("abcdefghij", r.randint(0, 6))) for i in range(20)]
+    t = [(i, r.sample("abcdefghijkl", r.randint(0, 9))) for i in range(40)]
+    kind = "{} long, words array<string>"
+    a, b = spark.createDataFrame(q, kind.format("q")), spark.createDataFrame(t, kind.format("t"))
+    got = {(x["q"], x["t"]): round(x["share"], 6) for x in records.quotes_held(a, "q", F.col("words"), b, "t", F.col("words")).collect()}
+    assert got == {(i, j): round(len(set(x) & set(y)) / len(x), 6) for i, x in q for j, y in t if x and len(set(x) & set(y)) >= 0.6 * len(x)}
+    both = {tuple(x) for x in evidence.counter_evidence(a, b, "q", "t").collect()}
+    assert both == {(i, j) for i, x in q for j, y in t if len(set(x) & set(y)) >= 2}
+
+
+def test_scopes(spark):
+    p = spark.createDataFrame([(1, 2000, "a", False), (2, 2001, "a", None), (3, None, "b", True), (None, 2000, "a", False), (1, 2000, "a", False)], "paper_id long, year int, project string, out boolean")
+    ids = lambda d: sorted(x["paper_id"] for x in d.collect())
+    assert ids(scopes.all_papers(p, F.col("out"))) == [1, 2]
+    assert ids(scopes.by_years(p, 2001, "2000")) == [1, 2] and ids(scopes.by_years(p, None, 2000)) == [1] and ids(scopes.by_years(p, "n", None)) == [1, 2]
+    want = spark.createDataFrame([(1,), (3,), (3,), (9,), (None,)], "paper_id long")
+    got = {x["paper_id"]: x["reason"] for x in scopes.selected(want, p.where("paper_id is not null").dropDuplicates(), F.col("project") == "a", F.col("out")).collect()}
+    assert got == {1: "valid", 3: "project_mismatch", 9: "not_found"}
+    assert ids(scopes.in_all(scopes.scope_of(p), p.where("year = 2000"))) == [1]
+    said = spark.createDataFrame([("x", 1), ("x", 5), ("y", 1)], "answer string, paper_id long")
+    assert {x["answer"]: (x["violations"], x["score"]) for x in scopes.violations(said, scopes.scope_of(p)).collect()} == {"x": (1, 0.9), "y": (0, 1.0)}
+    assert scopes.by_topics(spark.createDataFrame([(1, "Big Data"), (2, None)], "paper_id long, topic string"), ["data"]).count() == 1
+    assert scopes.widened(p, F.col("year") == 2001, 2).count() == 5 and scopes.widened(p, F.col("year") == 2001, 1).count() == 1
+    assert scopes.all_papers(p.limit(0), F.col("out")).count() == 0
+
+
+def test_evidence(spark):
+    refs = spark.createDataFrame([(1, 2), (1, 7), (2, 2), (3, 7), (4, None)], "citing long, key long")
+    known = spark.createDataFrame([(2,)], "key long")
+    assert sorted(tuple(x) for x in evidence.cites(refs.where("key is not null"), known, "citing", "key").collect()) == [(1, "2"), (1, "ghost:7"), (3, "ghost:7")]
+    assert [tuple(x) for x in evidence.ghosts(refs, known, "citing", "key").collect()] == [(7, 2)]
+    assert tuple(evidence.traceability(refs.where("key is not null"), known, "key").first()) == (2, 1, 0.5)
+    assert evidence.traceability(refs.limit(0), known, "key").first()["coverage"] == 1.0
+    e = spark.createDataFrame([(1, "a", "high"), (2, "a", "low"), (2, "a", "low"), (3, "b", None)], "paper_id long, topic string, strength string")
+    c = {x["key"]: (x["n"], x["papers"], x["confidence"]) for x in evidence.clustered(e, F.col("topic"), 0.4, 0.1, 0.9, 2).collect()}
+    assert c == {"a": (3, 2, 0.6)}
+    assert {x["node"]: (x["papers"], x["first"]) for x in evidence.provenance(e.select(F.col("topic").alias("node"), "paper_id"), "node", 1).collect()} == {"a": (2, [1]), "b": (1, [3])}
+    s = evidence.consensus(e, "topic", F.col("paper_id") == 1, F.col("paper_id") == 2).orderBy("topic").collect()
+    assert s[0]["score"] == round((1 - 0.8) / 1.8, 4) and s[1]["score"] is None
+
+
+def test_collections(spark):
+    d = spark.createDataFrame([("p", "1", "b"), ("p", "1", "a"), ("q", "1", "c"), ("p", None, "d")], "project_id string, document_id string, text string")
+    c = collections.put(collections.empty(spark), d)
+    assert sorted(x["text"] for x in c.collect()) == ["b", "c", "d"]
+    c = collections.put(c, d.where("text = 'a'"))
+    assert sorted(x["text"] for x in c.collect()) == ["a", "c", "d"] and c.columns == collections.empty(spark).columns
+
+
+def test_packed_paragraphs(spark):
+    long = " ".join(f"Sentence number {i} is here." for i in range(60))
+    cases = [None, " ", "one short text", "a b\n\nc d", f"intro here\n\n{long}\n\nend", "\n\n".join(["word " * 30] * 9)]
+    got = [x["c"] for x in spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").orderBy("i").select(chunks.packed_paragraphs(F.col("t"), 100).alias("c")).collect()]
+    assert got[:4] == [[], [], ["one short text"], ["a b\n\nc d"]]
+    assert all(len(c) // 4 <= 125 for x in got for c in x)
+    assert "".join("".join(got[4]).split()) == "".join(cases[4].split()) and len(got[5]) == 5
 
 
 def brute_packed(sentences, most):

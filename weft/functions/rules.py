@@ -196,3 +196,6 @@ HEADINGS = {
 #: Tokens of a context by section, in the order in which sections are taken.
 SECTION_BUDGETS = {"abstract": 800, "introduction": 1200, "method": 1200, "result": 1800, "discussion": 1500, "conclusion": 1000, "limitation": 800, "future_work": 600, "related_work": 800, "background": 800}
 SECTION_ORDER = (*SECTION_BUDGETS, "body", "")
+
+#: How much a field counts in word search.
+FIELD_WEIGHTS = {"abstract": 3.5, "title": 2.0, "keywords": 2.0, "concepts": 1.0, "venue": 0.5}

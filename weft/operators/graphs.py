@@ -17,30 +17,31 @@ def edge_id(edge_type: str, src: Column, dst: Column) -> Column:
     return F.concat(F.lit(f"edge:{edge_type}:"), short_hash(src), F.lit(":"), short_hash(dst))
 
 
-def build_nodes(rows: DataFrame, node_type: str, label: Column, paper: Column, evidence: Column, cut_at: int = 50) -> DataFrame:
-    """(node_id, node_type, label, paper_ids, evidence_ids): one node for each distinct label that isn't missing or unknown."""
+def mentions(rows: DataFrame, node_type: str, label: Column, paper: Column, evidence: Column, cut_at: int = 50) -> DataFrame:
+    """(node_id, node_type, label, paper_id, evidence_id): where each label that isn't missing or unknown is said, every place once.
+
+    This edge table is the provenance of the nodes; it stays flat, so that a label that all papers have is many
+    short rows instead of one long one. Labels are cut to ``cut_at`` characters. Null papers or evidence stay null.
+    """
     key = F.left(label, F.lit(cut_at))
     known = rows.where(F.coalesce((F.trim(label) != "") & (F.lower(label) != "unknown"), F.lit(False)))
-    each = known.select(node_id(node_type, key).alias("node_id"), key.alias("label"), paper.alias("p"), evidence.alias("e"))
-    return each.groupBy("node_id").agg(
-        F.lit(node_type).alias("node_type"), F.min("label").alias("label"),
-        F.array_sort(F.collect_set("p")).alias("paper_ids"), F.array_sort(F.collect_set("e")).alias("evidence_ids"),
-    )
+    return known.select(node_id(node_type, key).alias("node_id"), F.lit(node_type).alias("node_type"), key.alias("label"), paper.alias("paper_id"), evidence.alias("evidence_id")).distinct()
+
+
+def counted(said: DataFrame) -> DataFrame:
+    """(node_id, node_type, label, papers, evidence): nodes with the numbers of different papers and pieces of evidence of their mentions."""
+    return said.groupBy("node_id", "node_type").agg(F.min("label").alias("label"), F.count_distinct("paper_id").alias("papers"), F.count_distinct("evidence_id").alias("evidence"))
 
 
-def build_edges(rows: DataFrame, edge_type: str, src: Column, dst: Column, evidence: Column) -> DataFrame:
-    """(edge_id, edge_type, src, dst, evidence_ids): one edge for each pair of ends."""
-    each = rows.where(src.isNotNull() & dst.isNotNull()).select(src.alias("src"), dst.alias("dst"), evidence.alias("e"))
-    return each.groupBy("src", "dst").agg(F.array_sort(F.collect_set("e")).alias("evidence_ids")).select(edge_id(edge_type, F.col("src"), F.col("dst")).alias("edge_id"), F.lit(edge_type).alias("edge_type"), "src", "dst", "evidence_ids")
+def edge_mentions(rows: DataFrame, edge_type: str, src: Column, dst: Column, evidence: Column) -> DataFrame:
+    """(edge_id, edge_type, src, dst, evidence_id): the evidence of each edge, every piece once; rows without either end are passed over."""
+    each = rows.where(src.isNotNull() & dst.isNotNull()).select(src.alias("src"), dst.alias("dst"), evidence.alias("evidence_id")).distinct()
+    return each.select(edge_id(edge_type, F.col("src"), F.col("dst")).alias("edge_id"), F.lit(edge_type).alias("edge_type"), "src", "dst", "evidence_id")
 
 
 def merge_graphs(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """Nodes or edges of both by id, arrays of provenance united."""
-    key = "node_id" if "node_id" in base.columns else "edge_id"
-    lists = [c for c, t in base.dtypes if t.startswith("array")]
-    both = base.unionByName(delta)
-    out = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) if c in lists else F.min(c).alias(c) for c in base.columns if c != key]
-    return both.groupBy(key).agg(*out).select(*base.columns)
+    """Mentions of both, of nodes or of edges, each once; columns that only one side has are null in the other's rows."""
+    return base.unionByName(delta, allowMissingColumns=True).distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -69,13 +70,15 @@ def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
 def paths(pairs: DataFrame, edges: DataFrame, most_hops: int = 3, most: int = 10) -> DataFrame:
     """(src, dst, path array, hops): simple undirected paths between each pair (src, dst), shortest first, at most ``most`` a pair.
 
-    Paths grow from the sources of the stated pairs only; equal ends give the trivial path.
+    Paths grow from the sources of the stated pairs only, no longer once a pair has ``most`` shorter ones; equal ends give the trivial path.
     """
     adj = both_ways(edges.select("src", "dst")).select("a", "b").distinct()
     grown = pairs.select("src", "dst", F.array("src").alias("path")).distinct()
     done = grown.where("src = dst").withColumn("hops", F.lit(0))
     grown = grown.where("src <> dst")
     for hop in range(1, most_hops + 1):
+        full = done.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("src", "dst")
+        grown = grown.join(full, ["src", "dst"], "left_anti")
         grown = grown.join(adj, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b")))
         grown = grown.select("src", "dst", F.concat("path", F.array("b")).alias("path"))
         done = done.unionByName(grown.where(F.element_at("path", -1) == F.col("dst")).withColumn("hops", F.lit(hop)))
@@ -84,33 +87,37 @@ def paths(pairs: DataFrame, edges: DataFrame, most_hops: int = 3, most: int = 10
     return done.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node_id, community): each node takes the most frequent label around it, the least of ties, all at once, until nothing changes.
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node_id, community): labels such that no node has a label less often around it than another one.
 
-    Each round is one join and one aggregation with a checkpoint behind it.
+    A node takes the most frequent label around it, the least of ties, if its own is rarer; in each round about
+    half of the nodes may, by a hash of their id and the round, so that neighbours don't swap labels for ever. Each round is one
+    join and one aggregation with a checkpoint behind it. Not having come to rest after ``rounds`` is an error. Isolated
+    nodes keep their own label; edges to nodes that don't exist count for nothing.
     """
     adj = cut(both_ways(edges.select("src", "dst")).select("a", "b").distinct())
-    label = cut(nodes.select("node_id", F.col("node_id").alias("community")))
-    for _ in range(rounds):
+    label = cut(nodes.select("node_id", F.col("node_id").alias("community")).distinct())
+    for k in range(rounds):
         votes = adj.join(label, F.col("b") == F.col("node_id")).groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("a").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("new"))
-        new = label.join(best, F.col("node_id") == F.col("a"), "left").select("node_id", F.coalesce("new", "community").alias("community"), F.col("community").alias("old"))
-        new = cut(new)
-        changed = not new.where("community <> old").isEmpty()
+        mine = label.select(F.col("node_id").alias("a"), F.col("community").alias("own"))
+        best = votes.join(mine, "a").groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("n"))).alias("have"))
+        wants = -F.col("top.n") > F.coalesce("have", F.lit(0))
+        best = best.where(wants).select("a", F.col("top.community").alias("new"), (F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0).alias("may"))
+        new = label.join(best, F.col("node_id") == F.col("a"), "left")
+        new = cut(new.select("node_id", F.when(F.col("may"), F.col("new")).otherwise(F.col("community")).alias("community"), F.col("new").isNotNull().alias("restless")))
         label = new.select("node_id", "community")
-        if not changed:
-            break
-    return label
+        if new.where("restless").isEmpty():
+            return label
+    raise RuntimeError(f"labels have not come to rest in {rounds} rounds")
 
 
-def without_paper(nodes: DataFrame, edges: DataFrame, paper: object) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after a paper is taken out of the provenance; nodes that only it supported go, with their edges."""
-    left = nodes.withColumn("paper_ids", F.array_remove("paper_ids", F.lit(paper)))
-    had = nodes.where(F.array_contains("paper_ids", F.lit(paper)) & (F.size("paper_ids") == 1) & (F.col("node_type") != "community"))
-    gone = had.select("node_id")
-    kept = left.join(gone, "node_id", "left_anti")
+def without_paper(said: DataFrame, edges: DataFrame, paper: object) -> tuple[DataFrame, DataFrame]:
+    """Mentions and edges after a paper is taken out; nodes that only it mentioned go, with their edges, communities excepted."""
+    left = said.where(~F.col("paper_id").eqNullSafe(F.lit(paper)))
+    gone = said.where((F.col("paper_id") == F.lit(paper)) & (F.col("node_type") != "community")).select("node_id").distinct()
+    gone = gone.join(left, "node_id", "left_anti")
     e = edges.join(gone.withColumnRenamed("node_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("node_id", "dst"), "dst", "left_anti")
-    return kept, e.select(*edges.columns)
+    return left, e.select(*edges.columns)
 
 
 def contracted(edges: DataFrame, merged: DataFrame) -> DataFrame:
@@ -138,10 +145,12 @@ def missing_pairs(left: DataFrame, right: DataFrame, together: DataFrame, most:
     t = together.select("l", "r").distinct().join(left.select("l"), "l", "left_semi").join(right.select("r"), "r", "left_semi")
     nl, nr, nt = (x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((left.select("l").distinct(), "a"), (right.select("r").distinct(), "b"), (t, "c")))
     total = nl.crossJoin(nr).crossJoin(nt).select((F.col("a") * F.col("b") - F.col("c")).alias("n_missing"))
-    have = t.groupBy("l").agg(F.collect_set("r").alias("have"))
-    enough = right.select("r").distinct().agg(F.count(F.lit(1)).alias("b"))
-    gap = left.select("l").distinct().join(have, "l", "left").crossJoin(enough).withColumn("gap", F.col("b") - F.coalesce(F.size("have"), F.lit(0)))
-    some = gap.where("gap > 0").orderBy("l").limit(most)
+    have = t.groupBy("l").agg(F.count(F.lit(1)).alias("have"))
+    gap = left.select("l").distinct().join(have, "l", "left").crossJoin(nr).where(F.col("b") > F.coalesce("have", F.lit(0)))
+    some = gap.select("l").orderBy("l").limit(most)
+    # Only the first of the right side matter: as many as the most that one of these can have, and those missing.
+    room = some.join(have, "l", "left").agg((F.coalesce(F.max("have"), F.lit(0)) + most).alias("room"))
     rights = right.select("r").distinct()
-    pairs = rights.join(F.broadcast(some), F.lit(True)).where(~F.array_contains(F.coalesce("have", F.array().cast(dict(have.dtypes)["have"])), F.col("r")))
+    rights = rights.orderBy("r").limit(room.first()["room"])
+    pairs = rights.crossJoin(some).join(t, ["l", "r"], "left_anti")
     return pairs.select("l", "r").orderBy("l", "r").limit(most), total

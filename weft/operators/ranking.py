@@ -86,6 +86,50 @@ def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
     return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
 
 
+def field_postings(docs: DataFrame, id_col: str, fields: list[tuple[Column, float]], queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings (id, term, tf, size) of the terms that ``queries`` (query_id, term) ask for, one row with n and avg of all sizes).
+
+    Each field is an array of terms with a weight, by which its terms and its length count. Sizes
+    come with the row, so that only asked terms are shuffled. A document without terms counts for nothing;
+    null fields are empty; repeated rows of one id are one document.
+    """
+    empty = F.array().cast("array<string>")
+    size = sum((F.size(F.coalesce(t, empty)) * w for t, w in fields), F.lit(0.0))
+    weighed = lambda w: lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w"))
+    each = F.concat(*[F.transform(F.coalesce(t, empty), weighed(w)) for t, w in fields])
+    rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), each.alias("_t")).where("size > 0")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg"))
+    flat = rows.select("id", "size", F.explode("_t").alias("t")).select("id", "size", "t.term", "t.w")
+    wanted = flat.join(queries.select("term").distinct(), "term", "left_semi")
+    return wanted.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("size").alias("size")), stats
+
+
+def asked_postings(docs: DataFrame, id_col: str, terms: Column, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`field_postings` of one field of weight 1."""
+    return field_postings(docs, id_col, [(terms, 1.0)], queries)
+
+
+def phrase_bonus(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, id_col: str, points: dict[str, float]) -> DataFrame:
+    """(query_id, id_col, bonus): for each phrase of two or three words of a query the ``points`` of every field that has it.
+
+    Words are runs of letters and digits in lower case. Phrases meet in an equi-join, each once a query and a field,
+    so no text is looked through for another's. Null texts have no phrases.
+    """
+    empty = F.array().cast("array<string>")
+
+    def phrases(c: str) -> Column:
+        w = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+        join = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.array_distinct(F.concat(F.when(F.size(w) >= 2, join(2)).otherwise(empty), F.when(F.size(w) >= 3, join(3)).otherwise(empty)))
+
+    asked = queries.select(query_id, F.explode(phrases(query_text)).alias("phrase")).distinct()
+    found = None
+    for field, value in points.items():
+        mine = docs.select(id_col, F.explode(phrases(field)).alias("phrase"), F.lit(float(value)).alias("p"))
+        found = mine if found is None else found.union(mine)
+    return asked.join(found, "phrase").groupBy(query_id, id_col).agg(F.sum("p").alias("bonus"))
+
+
 def tf_idf(p: DataFrame, n_docs: DataFrame, most_features: int = 10_000) -> DataFrame:
     """(id, term, weight): sublinear term frequency, smooth inverse document frequency, unit length; the most frequent terms only."""
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
@@ -102,13 +146,10 @@ def sparse_matches(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
 
 
-def bm25(queries: DataFrame, p: DataFrame, k1: float = 1.5, b: float = 0.4) -> DataFrame:
-    """(query_id, id, score) of Okapi BM25; queries are (query_id, term). Frequencies and lengths may be weighted sums over fields."""
-    sizes = p.select("id", "size").distinct()
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg"))
+def bm25(queries: DataFrame, p: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.4) -> DataFrame:
+    """(query_id, id, score) of Okapi BM25; queries are (query_id, term), postings and ``stats`` those of :func:`field_postings`."""
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = queries.select("term").distinct()
-    idf = df.join(wanted, "term", "left_semi").crossJoin(F.broadcast(stats)).select("term", "avg", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.crossJoin(F.broadcast(stats)).select("term", "avg", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hit = p.join(idf, "term").select("id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg")))).alias("s"))
     return hit.join(queries, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.functions import rules
-from weft.functions.text import clean
+from weft.functions.text import clean, fuzzy_match
 
 
 def known(c: Column) -> Column:
@@ -40,6 +40,17 @@ def candidate_score(novelty: Column, evidence: Column, feasibility: Column, risk
     return total + F.when(verdict == "verified", 0.05).when(verdict == "contradicted", -0.15).otherwise(0.0)
 
 
+def validated_spans(spans: DataFrame, known: DataFrame, key: str, least: float = 0.6) -> DataFrame:
+    """``spans`` (key, quote, ...) with ``status``: missing if no text of ``known`` (key, text) has the key, held if it has the quote, fuzzy if a share ``least`` of its words, else unheld.
+
+    A quote is looked for in the text that it names, whole and in lower case, so that the join is on the key. An empty or null quote is held.
+    """
+    j = spans.join(known.select(key, F.lower("text").alias("_text")), key, "left")
+    quote = F.lower(F.coalesce(F.col("quote"), F.lit("")))
+    status = F.when(F.col("_text").isNull(), "missing").when(F.contains("_text", quote), "held").when(fuzzy_match(quote, F.col("_text")) >= least, "fuzzy").otherwise("unheld")
+    return j.withColumn("status", status).drop("_text")
+
+
 def verdicts(df: DataFrame, key: str, outcome: str) -> DataFrame:
     """(key, verdict): contradicted if any outcome is, verified if all are, else unverified."""
     c = F.col(outcome)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import graphs, records, store
+from weft.operators import evidence as evidence_ops
+from weft.operators import graphs, measures, records, scopes, store
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, PAPERS, evidence, papers, vocabulary
 
-#: Parts joined to the suppliers of their largest deliveries, and to their brands.
-EDGES = "edges AS (SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, 'SUPPLIED_BY' AS edge_type FROM lineitem WHERE l_quantity >= 50), nodes AS (SELECT DISTINCT src AS node_id, 'part' AS node_type FROM edges UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier), adj AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)"
+#: Parts joined to the suppliers of their deliveries.
+EDGES = "edges AS (SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, 'SUPPLIED_BY' AS edge_type FROM lineitem), nodes AS (SELECT DISTINCT src AS node_id, 'part' AS node_type FROM edges UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier' FROM supplier), adj AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)"
 
 
 def sample_graph(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_quantity >= 50")
+    line = table(spark, sf, "lineitem")
     e = line.select(F.concat(F.lit("part:"), F.col("l_partkey")).alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("dst"), F.lit("SUPPLIED_BY").alias("edge_type")).distinct()
     n = e.select(F.col("src").alias("node_id")).distinct().withColumn("node_type", F.lit("part"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("node_id"), F.lit("supplier").alias("node_type"))
@@ -22,22 +23,22 @@ def sample_graph(spark, sf):
 
 @query("g01_topic_nodes", f"WITH {EVIDENCE} SELECT 'topic:' || left(md5(topic), 10) AS node_id, topic AS label, count(DISTINCT paper_id) AS papers, count(DISTINCT evidence_id) AS evidence FROM evidence GROUP BY topic")
 def g01(spark, sf):
-    n = graphs.build_nodes(evidence(spark, sf), "topic", F.col("topic"), F.col("paper_id"), F.col("evidence_id"))
-    return n.select("node_id", "label", F.size("paper_ids").cast("long").alias("papers"), F.size("evidence_ids").cast("long").alias("evidence"))
+    said = graphs.mentions(evidence(spark, sf), "topic", F.col("topic"), F.col("paper_id"), F.col("evidence_id"))
+    return graphs.counted(said).drop("node_type")
 
 
 @query("g02_method_edges", f"WITH {EVIDENCE} SELECT 'edge:USES_METHOD:' || left(md5('paper:' || paper_id), 10) || ':' || left(md5('method:' || left(md5(method), 10)), 10) AS edge_id, count(DISTINCT evidence_id) AS evidence FROM evidence WHERE strength = 'high' GROUP BY paper_id, method")
 def g02(spark, sf):
     e = evidence(spark, sf).where("strength = 'high'")
-    out = graphs.build_edges(e, "USES_METHOD", F.concat(F.lit("paper:"), F.col("paper_id")), graphs.node_id("method", F.col("method")), F.col("evidence_id"))
-    return out.select("edge_id", F.size("evidence_ids").cast("long").alias("evidence"))
+    out = graphs.edge_mentions(e, "USES_METHOD", F.concat(F.lit("paper:"), F.col("paper_id")), graphs.node_id("method", F.col("method")), F.col("evidence_id"))
+    return out.groupBy("edge_id").agg(F.count(F.lit(1)).alias("evidence"))
 
 
 @query("g04_incremental", f"WITH {EVIDENCE} SELECT 'method:' || left(md5(method), 10) AS node_id, count(DISTINCT paper_id) AS papers FROM evidence GROUP BY method")
 def g04(spark, sf):
     e = evidence(spark, sf)
-    make = lambda d: graphs.build_nodes(d, "method", F.col("method"), F.col("paper_id"), F.col("evidence_id"))
-    return graphs.merge_graphs(make(e.where("paper_id % 2 = 0")), make(e.where("paper_id % 2 = 1"))).select("node_id", F.size("paper_ids").cast("long").alias("papers"))
+    make = lambda d: graphs.mentions(d, "method", F.col("method"), F.col("paper_id"), F.col("evidence_id"))
+    return graphs.counted(graphs.merge_graphs(make(e.where("paper_id % 2 = 0")), make(e.where("paper_id % 2 = 1")))).select("node_id", "papers")
 
 
 @query("g05_neighbours", f"WITH {EDGES}, s AS (SELECT 'supplier:' || s_suppkey AS seed FROM supplier WHERE s_suppkey <= 5), h1 AS (SELECT DISTINCT seed, b AS node FROM s JOIN adj ON seed = a), h2 AS (SELECT DISTINCT seed, b AS node FROM h1 JOIN adj ON node = a) SELECT seed, node, min(hop) AS hop FROM (SELECT seed, seed AS node, 0 AS hop FROM s UNION ALL SELECT seed, node, 1 FROM h1 UNION ALL SELECT seed, node, 2 FROM h2) GROUP BY seed, node")
@@ -56,7 +57,7 @@ def g06(spark, sf):
     return near.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(inside.agg(F.count(F.lit(1)).alias("edges")))
 
 
-@query("g07_paths", f"WITH {EDGES}, p AS (SELECT 'supplier:' || s_suppkey AS src, 'supplier:' || (s_suppkey + 1) AS dst FROM supplier WHERE s_suppkey <= 8), x AS (SELECT p.src, p.dst, p.src || '>' || a1.b || '>' || a2.b AS path FROM p JOIN adj a1 ON a1.a = p.src JOIN adj a2 ON a2.a = a1.b AND a2.b = p.dst) SELECT src, dst, path FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY path) AS k FROM x) WHERE k <= 10")
+@query("g07_paths", f"WITH {EDGES}, p AS (SELECT 'supplier:' || s_suppkey AS src, 'supplier:' || (s_suppkey + 1) AS dst FROM supplier WHERE s_suppkey <= 8), x AS (SELECT p.src, p.dst, p.src || '>' || a1.b || '>' || a2.b AS path, a1.b AS mid FROM p JOIN adj a1 ON a1.a = p.src JOIN adj a2 ON a2.a = a1.b AND a2.b = p.dst) SELECT src, dst, path FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY mid) AS k FROM x) WHERE k <= 10")
 def g07(spark, sf):
     _, e = sample_graph(spark, sf)
     s = F.col("s_suppkey")
@@ -67,27 +68,23 @@ def g07(spark, sf):
 @query("g08_remove_paper", f"WITH {EVIDENCE}, n AS (SELECT finding, count(DISTINCT paper_id) AS papers, bool_or(paper_id = 10) AS had FROM evidence GROUP BY finding) SELECT finding AS label, papers - had::INT AS papers FROM n WHERE papers - had::INT > 0")
 def g08(spark, sf):
     e = evidence(spark, sf)
-    n = graphs.build_nodes(e, "finding", F.col("finding"), F.col("paper_id"), F.col("evidence_id"), 80)
-    kept, _ = graphs.without_paper(n, spark.createDataFrame([], "src string, dst string"), 10)
-    return kept.select("label", F.size("paper_ids").cast("long").alias("papers"))
+    said = graphs.mentions(e, "finding", F.col("finding"), F.col("paper_id"), F.col("evidence_id"), 80)
+    kept, _ = graphs.without_paper(said, spark.createDataFrame([], "src string, dst string"), 10)
+    return graphs.counted(kept).select("label", "papers")
 
 
 @query("g09_merge_similar")
 def g09(spark, sf):
     """Words merged into the earliest kept word at edit distance two or less; greedy in the order of the words."""
-    v = vocabulary(spark, sf).select(F.col("w").alias("id"), F.left("w", F.lit(3)).alias("p"))
-    a, b = v.select(F.col("id").alias("a"), "p"), v.select(F.col("id").alias("b"), "p")
-    pairs = a.join(b, "p").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b")
-    kept = records.keep_first(v.select("id"), pairs)
-    into = pairs.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("into"))
-    return v.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").join(into, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"), F.when(F.col("kept"), F.col("id")).otherwise(F.col("into")).alias("into"))
+    v = vocabulary(spark, sf).select("w")
+    return records.merged_into(v.select(F.col("w").alias("id")), records.edit_pairs(v))
 
 
 @query("g11_label_propagation")
 def g11(spark, sf):
     """Communities of parts and suppliers; iterative."""
     n, e = sample_graph(spark, sf)
-    return graphs.label_propagation(n, e, 10)
+    return graphs.label_propagation(n, e)
 
 
 _METHOD = "m AS (SELECT o_custkey AS method, max(CAST(year(o_orderdate) AS INTEGER)) AS y, count(*) AS papers FROM orders GROUP BY 1)"
@@ -95,8 +92,7 @@ _METHOD = "m AS (SELECT o_custkey AS method, max(CAST(year(o_orderdate) AS INTEG
 
 @query("g13_temporal_gaps", f"WITH {_METHOD} SELECT method, y AS last_year, 2002 - y AS idle FROM m WHERE papers >= 2 AND 2002 - y >= 3")
 def g13(spark, sf):
-    m = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("method")).agg(F.max(F.year("o_orderdate")).alias("last_year"), F.count(F.lit(1)).alias("papers"))
-    return m.where("papers >= 2").withColumn("idle", 2002 - F.col("last_year")).where("idle >= 3").select("method", "last_year", "idle")
+    return evidence_ops.idle_since(table(spark, sf, "orders").withColumnRenamed("o_custkey", "method"), "method", F.year("o_orderdate"), 2002)
 
 
 @query("j12_missing_pairs", f"WITH {EDGES}, l AS (SELECT DISTINCT dst AS l FROM edges), r AS (SELECT DISTINCT src AS r FROM edges) SELECT l, r, (SELECT count(*) FROM l, r) - (SELECT count(*) FROM edges) AS n_missing FROM l, r WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = l AND src = r) ORDER BY l, r LIMIT 20")
@@ -150,9 +146,7 @@ def a06(spark, sf):
 
 @query("a07_graph_quality", f"WITH {EDGES} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, round(2.0 * (SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes), 6) AS average_degree, (SELECT count(DISTINCT node_type) FROM nodes) AS types")
 def a07(spark, sf):
-    n, e = sample_graph(spark, sf)
-    both = n.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("node_type").alias("types")).crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))
-    return both.select("nodes", "edges", F.round(2.0 * F.col("edges") / F.col("nodes"), 6).alias("average_degree"), "types")
+    return measures.graph_quality(*sample_graph(spark, sf))
 
 
 @query("a08_graph_traceability", f"WITH {EDGES} SELECT 'missing_node' AS error, count(*) AS n FROM edges WHERE dst NOT IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_suppkey % 4 > 0) UNION ALL SELECT 'orphan', count(*) FROM nodes WHERE node_id NOT IN (SELECT a FROM adj)")
@@ -178,15 +172,12 @@ def a10(spark, sf):
 
 @query("a13_gap_clusters", f"WITH {EVIDENCE} SELECT limitation || '/' || topic AS label, count(DISTINCT paper_id) AS papers, max_by(finding, length(finding) * 1000000 - paper_id) AS statement FROM evidence GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT paper_id) >= 2")
 def a13(spark, sf):
-    e = evidence(spark, sf)
-    g = e.groupBy(F.concat_ws("/", "limitation", "topic").alias("label")).agg(F.count_distinct("paper_id").alias("papers"), F.count(F.lit(1)).alias("n"), F.max_by("finding", F.length("finding") * 1000000 - F.col("paper_id")).alias("statement"))
-    return g.where("n >= 2 AND papers >= 2").drop("n")
+    return evidence_ops.gap_clusters(evidence(spark, sf), F.concat_ws("/", "limitation", "topic"), "finding")
 
 
 @query("a19_communities", f"WITH {EVIDENCE} SELECT topic || ':' || strength AS community, count(DISTINCT method) AS members, count(DISTINCT paper_id) AS papers FROM evidence GROUP BY 1 HAVING count(DISTINCT method) >= 2")
 def a19(spark, sf):
-    g = evidence(spark, sf).groupBy(F.concat_ws(":", "topic", "strength").alias("community")).agg(F.count_distinct("method").alias("members"), F.count_distinct("paper_id").alias("papers"))
-    return g.where("members >= 2")
+    return evidence_ops.communities(evidence(spark, sf), F.concat_ws(":", "topic", "strength"), "method")
 
 
 @query("j14_adjacency", f"WITH {EDGES} SELECT a, count(*) AS n, min(b) AS first FROM adj GROUP BY a")
@@ -202,9 +193,7 @@ def j28(spark, sf):
 
 @query("p29_graph_page", f"WITH {EDGES} SELECT src, dst FROM edges WHERE contains(src, '7') AND dst IN (SELECT node_id FROM nodes WHERE contains(node_id, '1'))")
 def p29(spark, sf):
-    n, e = sample_graph(spark, sf)
-    parts, sup = n.where(F.contains("node_id", F.lit("7"))), n.where(F.contains("node_id", F.lit("1")))
-    return e.join(parts.select(F.col("node_id").alias("src")), "src", "left_semi").join(sup.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return scopes.graph_page(*sample_graph(spark, sf), "7", "1")
 
 
 # Scopes -----------------------------------------------------------------------------
@@ -212,66 +201,61 @@ def p29(spark, sf):
 
 @query("p13_scope_all", "SELECT DISTINCT p_partkey AS paper_id FROM part WHERE p_size <> 7")
 def p13(spark, sf):
-    return table(spark, sf, "part").where(F.coalesce(F.col("p_size") != 7, F.lit(True))).select(F.col("p_partkey").alias("paper_id")).distinct()
+    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "paper_id")
+    return scopes.all_papers(p, F.col("p_size") == 7)
 
 
 @query("p14_scope_selected", "SELECT k AS paper_id, CASE WHEN p_partkey IS NULL THEN 'not_found' WHEN p_brand NOT LIKE 'Brand#1%' THEN 'project_mismatch' WHEN p_size = 7 THEN 'excluded' ELSE 'valid' END AS reason FROM (SELECT DISTINCT l_partkey * 3 AS k FROM lineitem) LEFT JOIN part ON k = p_partkey")
 def p14(spark, sf):
-    wanted = table(spark, sf, "lineitem").select((F.col("l_partkey") * 3).alias("paper_id")).distinct()
-    j = wanted.join(table(spark, sf, "part"), F.col("paper_id") == F.col("p_partkey"), "left")
-    reason = F.when(F.col("p_partkey").isNull(), "not_found").when(~F.col("p_brand").startswith("Brand#1"), "project_mismatch").when(F.col("p_size") == 7, "excluded").otherwise("valid")
-    return j.select("paper_id", reason.alias("reason"))
+    wanted = table(spark, sf, "lineitem").select((F.col("l_partkey") * 3).alias("paper_id"))
+    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "paper_id")
+    return scopes.selected(wanted, p, F.col("p_brand").startswith("Brand#1"), F.col("p_size") == 7)
 
 
 @query("p15_scope_topics", f"WITH {EVIDENCE} SELECT DISTINCT paper_id FROM evidence WHERE contains(lower(topic), 'econom') OR contains(lower(topic), 'promo')")
 def p15(spark, sf):
-    target = F.array(F.lit("econom"), F.lit("promo"))
-    return evidence(spark, sf).where(F.exists(target, lambda t: F.contains(F.lower("topic"), t))).select("paper_id").distinct()
+    return scopes.by_topics(evidence(spark, sf), ["Econom", "promo"])
 
 
 @query("p16_scope_methods", "SELECT DISTINCT l_partkey AS paper_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey IN (1, 2, 3)")
 def p16(spark, sf):
-    s = table(spark, sf, "supplier").where(F.arrays_overlap(F.array("s_nationkey"), F.array(F.lit(1), F.lit(2), F.lit(3)))).select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf, "lineitem").join(s, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("paper_id")).distinct()
+    s = table(spark, sf, "supplier").where(F.col("s_nationkey").isin(1, 2, 3)).select(F.col("s_suppkey").alias("l_suppkey"))
+    return scopes.by_methods(table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "paper_id"), s, "l_suppkey")
 
 
 @query("p17_scope_graph", f"WITH {EDGES} SELECT DISTINCT src AS node FROM edges WHERE dst IN ('supplier:1', 'supplier:2')")
 def p17(spark, sf):
     seeds = spark.createDataFrame([("supplier:1",), ("supplier:2",)], "node_id string")
-    return graphs.neighbours(seeds, sample_graph(spark, sf)[1], 1).where(F.col("node").startswith("part:")).select("node").distinct()
+    return scopes.by_graph(seeds, sample_graph(spark, sf)[1], "part:")
 
 
 @query("p18_scope_years", f"WITH {PAPERS} SELECT paper_id FROM papers WHERE year BETWEEN 1999 AND 2000")
 def p18(spark, sf):
-    a, b = F.try_to_number(F.lit("2000"), F.lit("9999")).cast("int"), F.try_to_number(F.lit("1999"), F.lit("9999")).cast("int")
-    return papers(spark, sf).where(F.col("year").between(F.least(a, b), F.greatest(a, b))).select("paper_id")
+    return scopes.by_years(papers(spark, sf), "2000", "1999")
 
 
 @query("p12_scope", f"WITH {EVIDENCE}, {PAPERS} SELECT DISTINCT paper_id FROM evidence JOIN papers USING (paper_id) WHERE evidence.topic = 'PROMO' AND method LIKE '%1' AND year >= 2000")
 def p12(spark, sf):
-    e = evidence(spark, sf).where((F.col("topic") == "PROMO") & F.col("method").endswith("1")).select("paper_id").distinct()
-    return papers(spark, sf).where("year >= 2000").join(e, "paper_id", "left_semi").select("paper_id")
+    e = evidence(spark, sf)
+    return scopes.in_all(scopes.by_years(papers(spark, sf), 2000, None), scopes.scope_of(e.where((F.col("topic") == "PROMO") & F.col("method").endswith("1"))))
 
 
 @query("p19_cross_filter", f"WITH {EVIDENCE} SELECT p_partkey AS paper_id FROM part WHERE p_partkey IN (SELECT paper_id FROM evidence WHERE topic = 'SMALL') AND p_partkey IN (SELECT paper_id FROM evidence WHERE strength = 'low')")
 def p19(spark, sf):
-    e = evidence(spark, sf)
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"))
-    return p.join(e.where("topic = 'SMALL'").select("paper_id"), "paper_id", "left_semi").join(e.where("strength = 'low'").select("paper_id"), "paper_id", "left_semi")
+    e, p = evidence(spark, sf), table(spark, sf, "part")
+    return scopes.in_all(scopes.scope_of(p, "p_partkey"), e.where("topic = 'SMALL'"), e.where("strength = 'low'"))
 
 
 @query("p20_scope_evidence", f"WITH {EVIDENCE} SELECT evidence_id FROM evidence WHERE paper_id IN (SELECT p_partkey FROM part WHERE p_size = 5) AND strength = 'high'")
 def p20(spark, sf):
-    scope = table(spark, sf, "part").where("p_size = 5").select(F.col("p_partkey").alias("paper_id"))
-    return evidence(spark, sf).where("strength = 'high'").join(scope, "paper_id", "left_semi").select("evidence_id")
+    scope = scopes.scope_of(table(spark, sf, "part").where("p_size = 5"), "p_partkey")
+    return scopes.evidence_within(evidence(spark, sf), scope, F.col("strength") == "high").select("evidence_id")
 
 
-@query("p22_scope_guard", "SELECT l_suppkey AS answer, count(*) FILTER (p_size > 25) AS violations, round(greatest(0, 1 - 0.1 * count(*) FILTER (p_size > 25)), 6) AS score FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 GROUP BY 1")
+@query("p22_scope_guard", "SELECT l_suppkey AS answer, count(*) FILTER (p_size > 25) AS violations, round(greatest(0, 1 - 0.1 * count(*) FILTER (p_size > 25)), 6) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def p22(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_quantity >= 50").select("l_suppkey", "l_partkey")
-    out = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("leak"))
-    g = line.join(out, "l_partkey", "left").groupBy(F.col("l_suppkey").alias("answer")).agg(F.count("leak").alias("violations"))
-    return g.withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - 0.1 * F.col("violations")), 6))
+    cited = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("answer"), F.col("l_partkey").alias("paper_id"))
+    return scopes.violations(cited, scopes.scope_of(table(spark, sf, "part").where("p_size <= 25"), "p_partkey"))
 
 
 @query("p23_evidence_query", f"WITH {EVIDENCE} SELECT evidence_id FROM evidence WHERE paper_id IN (1, 2, 3, 5, 8) AND strength = 'medium'")

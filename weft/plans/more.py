@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import layout, rules, scores, text
-from weft.operators import chunks, graphs, ranking, records, reports, store
+from weft.operators import chunks, graphs, measures, ranking, records, reports, store
+from weft.operators import evidence as evidence_ops
 from weft.plans.registry import query, table
 from weft.plans.retrieval import near, sparse_near
 from weft.plans.tables import EVIDENCE, PAPERS, SCORED, evidence, papers, with_quality
@@ -39,9 +40,9 @@ def f22(spark, sf):
     return put.select("doc_id", "i", layout.heading(F.col("line"), cues).alias("section")).where("section is not null")
 
 
-@query("f25_page_flags", r"SELECT source, array_to_string(list_filter([CASE WHEN c < 100 THEN 'empty_pdf' WHEN c < 500 THEN 'low_text_coverage' END, CASE WHEN n > 10 AND s > 0.6 * n THEN 'too_many_short_lines' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT doc_id AS source, length(text) AS c, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) BETWEEN 1 AND 19)) AS s FROM documents WHERE lang <> 'xx') WHERE c > 0")
+@query("f25_page_flags", r"SELECT source, array_to_string(list_filter([CASE WHEN c < 100 THEN 'empty_pdf' WHEN c < 500 THEN 'low_text_coverage' END, CASE WHEN n > 10 AND s > 0.6 * n THEN 'too_many_short_lines' END, CASE WHEN g > 0.3 * c THEN 'garbled_text' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT doc_id AS source, length(text) AS c, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) BETWEEN 1 AND 19)) AS s, length(regexp_replace(text, '[\x{00}-\x{7f}\p{L}\p{N}\p{P}\s]', '', 'g')) AS g FROM documents WHERE lang <> 'xx') WHERE c > 0")
 def f25(spark, sf):
-    flags = F.filter(layout.page_flags(F.array("text")), lambda x: x != "garbled_text")
+    flags = layout.page_flags(F.array("text"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.array_join(flags, ",").alias("flags"))
 
 
@@ -81,8 +82,8 @@ def f28(spark, sf):
 
 @query("f41_explain", "SELECT p_partkey AS paper_id, array_to_string(list_filter([CASE WHEN p_size > 25 THEN 'size' END, CASE WHEN p_type = 'PROMO' THEN 'topic' END, CASE WHEN contains(p_name, 'al') THEN 'label' END], lambda x: x IS NOT NULL), '; ') AS why FROM part")
 def f41(spark, sf):
-    why = F.array_compact(F.array(F.when(F.col("p_size") > 25, "size"), F.when(F.col("p_type") == "PROMO", "topic"), F.when(F.contains("p_name", F.lit("al")), "label")))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.array_join(why, "; ").alias("why"))
+    why = measures.explained({"size": F.col("p_size") > 25, "topic": F.col("p_type") == "PROMO", "label": F.contains("p_name", F.lit("al"))})
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), why.alias("why"))
 
 
 @query("f42_summary", "SELECT p_partkey AS section, '[' || p_type || '] ' || CASE WHEN p_partkey % 2 = 0 THEN 'Methods: ' || p_name || '. Gaps: ' || p_brand || ', b' ELSE p_name END AS summary FROM part")
@@ -106,8 +107,9 @@ def p21(spark, sf):
 
 @query("j09_flat_fallback", "SELECT vec_id AS hit, source AS paper, lang AS section FROM embeddings LEFT JOIN documents ON vec_id = doc_id WHERE label = 2")
 def j09(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("paper"), F.col("lang").alias("section"))
-    return table(spark, sf, "embeddings").where("label = 2").join(d, "vec_id", "left").select(F.col("vec_id").alias("hit"), "paper", "section")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("hit"), F.col("source").alias("paper"), F.col("lang").alias("section"))
+    hits = table(spark, sf, "embeddings").where("label = 2").select(F.col("vec_id").alias("hit"))
+    return evidence_ops.enriched(hits, d.select("hit", "section"), d.select("hit", "paper"), "hit", "hit")
 
 
 _W = r"list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
@@ -123,9 +125,9 @@ def j18(spark, sf):
     return store.first_of(s, ["asked"], [F.desc("similarity"), F.asc("known")]).select("asked", "known", "similarity")
 
 
-@query("j26_relations", "SELECT DISTINCT l.l_orderkey AS section, 'topic:' || left(md5(lower(p_type)), 10) AS src, 'topic:' || left(md5(lower(p_brand)), 10) AS dst FROM lineitem l JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1")
+@query("j26_relations", "SELECT DISTINCT l.l_orderkey AS section, 'topic:' || left(md5(lower(p_type)), 10) AS src, 'topic:' || left(md5(lower(p_brand)), 10) AS dst FROM lineitem l JOIN part ON l_partkey = p_partkey")
 def j26(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_linenumber = 1").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     names = line.select(F.col("l_orderkey").alias("section"), F.explode(F.array("p_type", "p_brand")).alias("name")).select("section", F.lower("name").alias("key"), graphs.node_id("topic", F.lower("name")).alias("node")).distinct()
     said = line.select(F.col("l_orderkey").alias("section"), F.lower("p_type").alias("a"), F.lower("p_brand").alias("b"))
     j = said.join(names.select("section", F.col("key").alias("a"), F.col("node").alias("src")), ["section", "a"]).join(names.select("section", F.col("key").alias("b"), F.col("node").alias("dst")), ["section", "b"])
@@ -137,10 +139,10 @@ def a02(spark, sf):
     return papers(spark, sf).groupBy("venue").agg(F.max("citations").alias("most"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a05_edge_provenance", "SELECT l_suppkey AS edge, count(*) AS chunks, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS strengths FROM lineitem WHERE l_quantity >= 50 GROUP BY 1")
+@query("a05_edge_provenance", "SELECT l_suppkey AS edge, l_partkey AS paper, count(*) AS chunks, count(*) FILTER (l_returnflag = 'R') AS low, count(*) FILTER (l_returnflag = 'A') AS medium FROM lineitem GROUP BY 1, 2")
 def a05(spark, sf):
-    g = table(spark, sf, "lineitem").where("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("edge"))
-    return g.agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.array_sort(F.collect_list("l_returnflag")), "").alias("strengths"))
+    line = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("paper"), F.when(F.col("l_returnflag") == "R", "low").when(F.col("l_returnflag") == "A", "medium").otherwise("high").alias("strength"))
+    return evidence_ops.edge_provenance(line, "edge", "paper", "strength").drop("high")
 
 
 @query("w01_source_ranks", "SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS source_rank FROM part")
@@ -261,15 +263,16 @@ def v10(spark, sf):
 @query("g03_section_nodes", "SELECT 'venue:' || left(md5(p_brand), 10) AS node_id, p_brand AS label, count(DISTINCT p_partkey) AS papers FROM part GROUP BY p_brand UNION ALL SELECT 'gap:' || left(md5(o_orderpriority), 10), o_orderpriority, count(DISTINCT o_custkey) FROM orders GROUP BY o_orderpriority")
 def g03(spark, sf):
     p, o = table(spark, sf, "part"), table(spark, sf, "orders")
-    v = graphs.build_nodes(p, "venue", F.col("p_brand"), F.col("p_partkey"), F.col("p_partkey"))
-    g = graphs.build_nodes(o, "gap", F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderkey"))
-    return v.unionByName(g).select("node_id", "label", F.size("paper_ids").cast("long").alias("papers"))
+    v = graphs.mentions(p, "venue", F.col("p_brand"), F.col("p_partkey"), F.col("p_partkey"))
+    g = graphs.mentions(o, "gap", F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderkey"))
+    return graphs.counted(graphs.merge_graphs(v, g)).select("node_id", "label", "papers")
 
 
 @query("g15_graph_scope", f"WITH {EVIDENCE} SELECT method, count(DISTINCT paper_id) AS papers, count(DISTINCT evidence_id) AS evidence FROM evidence WHERE method IN (SELECT s_name FROM supplier WHERE s_suppkey <= 10) GROUP BY 1")
 def g15(spark, sf):
     seeds = table(spark, sf, "supplier").where("s_suppkey <= 10").select(F.col("s_name").alias("method"))
-    return evidence(spark, sf).join(F.broadcast(seeds), "method", "left_semi").groupBy("method").agg(F.count_distinct("paper_id").alias("papers"), F.count_distinct("evidence_id").alias("evidence"))
+    said = graphs.mentions(evidence(spark, sf).join(seeds, "method", "left_semi"), "method", F.col("method"), F.col("paper_id"), F.col("evidence_id"))
+    return graphs.counted(said).select(F.col("label").alias("method"), "papers", "evidence")
 
 
 @query("g17_community_search", f"WITH {EVIDENCE}, c AS (SELECT topic || ':' || strength AS community, count(DISTINCT finding) AS findings, bool_or(contains(finding, 'al')) AS hit FROM evidence GROUP BY 1) SELECT community, findings FROM c WHERE hit")
@@ -286,9 +289,7 @@ def r01(spark, sf):
 
 @query("d06_schema_check", "SELECT event_type AS node_type, event_type IN ('click', 'view', 'purchase') AS valid, count(*) AS n FROM events GROUP BY 1")
 def d06(spark, sf):
-    known = spark.createDataFrame([("click",), ("view",), ("purchase",)], "event_type string").withColumn("ok", F.lit(True))
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "event_type", "left")
-    return g.select(F.col("event_type").alias("node_type"), F.coalesce("ok", F.lit(False)).alias("valid"), "n")
+    return measures.schema_check(table(spark, sf, "events").withColumnRenamed("event_type", "node_type"), "node_type", ("click", "view", "purchase"))
 
 
 @query("x07_sql_function", "SELECT p_partkey, upper(p_name) || '!' AS shout FROM part")

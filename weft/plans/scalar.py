@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
+from weft.operators import records
 from weft.plans.registry import query, table
 
 WS = r"'^\s+|\s+$', '', 'g'"
@@ -102,10 +103,10 @@ def f13(spark, sf):
     return a.join(b, "a").select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-@query("f14_levenshtein", "SELECT a.s_suppkey AS a, p.p_partkey AS b, levenshtein(a.s_name, p.p_name) AS distance FROM supplier a JOIN part p ON p.p_partkey % 100 = a.s_suppkey % 100")
+@query("f14_levenshtein", "SELECT s_suppkey AS a, c_custkey AS b, levenshtein(s_name, c_name) AS distance FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def f14(spark, sf):
-    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
-    return s.join(p, F.col("p_partkey") % 100 == F.col("s_suppkey") % 100).select(F.col("s_suppkey").alias("a"), F.col("p_partkey").alias("b"), F.levenshtein("s_name", "p_name").alias("distance"))
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"), F.levenshtein("s_name", "c_name").alias("distance"))
 
 
 @query("f15_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -123,10 +124,12 @@ def f16(spark, sf):
     return t.withColumnRenamed("doc_id", "a").join(b, ["a", "w"]).groupBy("a").agg(F.count(F.lit(1)).alias("dot")).select("a", (F.col("a") + 1).alias("b"), "dot")
 
 
-@query("f17_fuzzy_match", r"WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS q FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, item_id, round(len(list_intersect(q, w)) * 1.0 / len(q), 6) AS share FROM q JOIN d ON doc_id % 40 = item_id % 40")
+@query("f17_fuzzy_match", r"WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS q FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) AS w FROM documents), u AS (SELECT item_id, len(q) AS n, unnest(q) AS w FROM q) SELECT item_id, doc_id, round(count(*) * 1.0 / any_value(n), 6) AS share FROM u JOIN d USING (w) GROUP BY item_id, doc_id HAVING count(*) >= 0.6 * any_value(n)")
 def f17(spark, sf):
-    d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id") % 40).select("doc_id", "item_id", F.round(text.fuzzy_match(F.col("quote"), F.col("text")), 6).alias("share"))
+    """Every quote in every document; the expression for one pair is :func:`text.fuzzy_match`."""
+    w = text.words(F.lower("text"))
+    held = records.quotes_held(table(spark, sf, "benchmark"), "item_id", w, table(spark, sf, "documents"), "doc_id", w)
+    return held.withColumn("share", F.round("share", 6))
 
 
 @query("f18_tokens", "SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM documents")
@@ -248,9 +251,9 @@ def f44(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (100 - F.when(n < 200, 40).when(n < 1000, 20).otherwise(0) - F.when(lines < 3, 20).otherwise(0)).alias("score"))
 
 
-@query("p02_abstract", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS abstract FROM documents WHERE length(text) < 300")
+@query("p02_abstract", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS abstract FROM documents WHERE regexp_matches(text, '\S')")
 def p02(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text") < 300)
+    d = table(spark, sf, "documents")
     w = d.select("doc_id", F.posexplode(text.words(F.col("text"))).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("i"))
     return index.select("doc_id", text.abstract_of(F.col("i")).alias("abstract"))

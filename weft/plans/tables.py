@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
-from weft.operators import ranking, records, store
+from weft.operators import evidence as evidence_ops
+from weft.operators import measures, ranking, records, scopes, store
 from weft.plans.registry import query, table
 
 #: Parts as papers: cited by line items, last dated by them.
@@ -131,8 +132,7 @@ def s18(spark, sf):
 
 @query("s23_scanned", "SELECT source, count(*) FILTER (n_chars < 400) > 0.2 * count(*) AND count(*) FILTER (n_chars > 5000) < 0.3 * count(*) AS scanned FROM documents GROUP BY source")
 def s23(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.avg((F.col("n_chars") < 400).cast("double")).alias("image"), F.avg((F.col("n_chars") > 5000).cast("double")).alias("text"))
-    return d.select("source", ((F.col("image") > 0.2) & (F.col("text") < 0.3)).alias("scanned"))
+    return measures.scanned(table(spark, sf, "documents"), "source", "n_chars")
 
 
 @query("s27_index_rows", "SELECT conv_id, turn, md5(text) AS text FROM conversations WHERE role <> 'system'")
@@ -291,9 +291,9 @@ def j01(spark, sf):
     return out.withColumn("authors", F.array_join("authors", ","))
 
 
-@query("j02_title_duplicates", r"WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS s FROM documents WHERE length(text) BETWEEN 200 AND 3000) SELECT a.doc_id AS a, b.doc_id AS b, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.s) BETWEEN 0.85 * len(b.s) AND len(b.s) / 0.85 WHERE len(list_intersect(a.s, b.s)) >= 0.85 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))")
+@query("j02_title_duplicates", r"WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS s FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.s) BETWEEN 0.85 * len(b.s) AND len(b.s) / 0.85 WHERE len(list_intersect(a.s, b.s)) >= 0.85 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))")
 def j02(spark, sf):
-    d = table(spark, sf, "documents").where(F.length("text").between(200, 3000))
+    d = table(spark, sf, "documents")
     return records.similar_word_sets(d, "doc_id", text.words(F.lower("text")), 0.85).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -307,7 +307,7 @@ def j03(spark, sf):
 def j04(spark, sf):
     p = table(spark, sf, "part")
     a, b = p.alias("a"), p.alias("b")
-    action = F.when(F.col("a.p_brand") == F.col("b.p_brand"), "merge").when(F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1, "possible_duplicate").otherwise("new")
+    action = evidence_ops.pair_decision("a", "b", F.col("a.p_brand") == F.col("b.p_brand"), F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1)
     on = (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
     return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), action.alias("action"))
 
@@ -321,25 +321,24 @@ def j05(spark, sf):
 
 @query("j06_pool_join", "SELECT c_custkey, coalesce(n_name, c_name) AS label FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
 def j06(spark, sf):
-    n = table(spark, sf, "nation").where("n_regionkey < 3")
-    return table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", "c_name").alias("label"))
+    n = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
+    return evidence_ops.labelled(table(spark, sf, "customer"), n, "c_nationkey", "c_name").select("c_custkey", "label")
 
 
-@query("j07_cites", "WITH r AS (SELECT l_orderkey AS citing, l_partkey AS ref FROM lineitem WHERE l_linenumber = 1), p AS (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) SELECT citing, coalesce(CAST(p_partkey AS VARCHAR), 'ghost:' || ref) AS cited FROM r LEFT JOIN p ON ref = p_partkey WHERE citing IS DISTINCT FROM p_partkey")
+@query("j07_cites", "WITH r AS (SELECT l_orderkey AS citing, l_partkey AS ref FROM lineitem), p AS (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) SELECT citing, coalesce(CAST(p_partkey AS VARCHAR), 'ghost:' || ref) AS cited FROM r LEFT JOIN p ON ref = p_partkey WHERE citing IS DISTINCT FROM p_partkey")
 def j07(spark, sf):
-    r = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("ref"))
-    p = table(spark, sf, "part").where("p_partkey % 2 = 0").select("p_partkey")
-    j = r.join(p, F.col("ref") == F.col("p_partkey"), "left").where(~F.col("citing").eqNullSafe(F.col("p_partkey")))
-    return j.select("citing", F.coalesce(F.col("p_partkey").cast("string"), F.concat(F.lit("ghost:"), F.col("ref"))).alias("cited"))
+    r = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("key"))
+    return evidence_ops.cites(r, table(spark, sf, "part").where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "key"), "citing", "key")
 
 
-@query("j08_enrich", "SELECT l_orderkey, l_linenumber, o_orderpriority AS section, c_name AS paper, round(l_quantity + o_totalprice, 2) AS score FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45")
+@query("j08_enrich", "SELECT l_orderkey, l_linenumber, o_orderpriority AS section, c_name AS paper, round(l_quantity + o_totalprice, 2) AS score FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")
 def j08(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_quantity > 45")
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    j = line.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    layers = F.create_map(F.lit("chunk"), F.col("l_quantity"), F.lit("section"), F.col("o_totalprice"))
-    return j.select("l_orderkey", "l_linenumber", F.col("o_orderpriority").alias("section"), F.col("c_name").alias("paper"), F.round(layers["chunk"] + layers["section"], 2).alias("score"))
+    line = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("section"), "o_custkey", "o_totalprice")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("paper"))
+    j = evidence_ops.enriched(line, o, c, "o_orderkey", "o_custkey")
+    score = evidence_ops.layered_score({"chunk": F.col("l_quantity"), "section": F.col("o_totalprice")})
+    return j.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "section", "paper", F.round(score, 2).alias("score"))
 
 
 @query("j10_first_evidence", f"WITH {EVIDENCE}, f AS (SELECT paper_id, min(evidence_id) AS evidence_id FROM evidence GROUP BY 1) SELECT vec_id AS hit, f.evidence_id FROM embeddings JOIN f ON paper_id = vec_id")
@@ -351,8 +350,7 @@ def j10(spark, sf):
 @query("j11_parents", "SELECT a.conv_id, a.turn, md5(coalesce(b.text, a.text)) AS text FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - a.turn % 2 AND a.turn % 2 = 1")
 def j11(spark, sf):
     c = table(spark, sf, "conversations").withColumn("parent", F.when(F.col("turn") % 2 == 1, F.col("turn") - 1))
-    p = c.select(F.col("conv_id").alias("pc"), F.col("turn").alias("pt"), F.col("text").alias("ptext"))
-    return c.join(p, (F.col("conv_id") == F.col("pc")) & (F.col("parent") == F.col("pt")), "left").select("conv_id", "turn", F.md5(F.coalesce("ptext", "text").cast("binary")).alias("text"))
+    return evidence_ops.in_place_of_parents(c, ["conv_id", "turn"], "parent", "text").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("j15_intersection", "WITH a AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) - 1 AS k FROM embeddings), b AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[2] DESC, vec_id) - 1 AS k FROM embeddings) SELECT a.label, a.vec_id, round(1 - (a.k + b.k) / 40.0, 6) AS score FROM a JOIN b USING (label, vec_id) WHERE a.k < 20 AND b.k < 20")
@@ -382,21 +380,20 @@ def j17(spark, sf):
 @query("j19_exclude_local", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09 AND l_tax > 0.07) ORDER BY s_suppkey LIMIT 10")
 def j19(spark, sf):
     local = table(spark, sf, "lineitem").where("l_quantity >= 50 AND l_discount > 0.09 AND l_tax > 0.07").select(F.col("l_suppkey").alias("s_suppkey"))
-    return table(spark, sf, "supplier").join(local, "s_suppkey", "left_anti").select("s_suppkey").orderBy("s_suppkey").limit(10)
+    return evidence_ops.not_local(table(spark, sf, "supplier").select("s_suppkey"), local, "s_suppkey", 10)
 
 
 @query("j20_source_index", "SELECT o_custkey AS id, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS sections, count(*) AS uses FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def j20(spark, sf):
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
-    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("sections"), F.count(F.lit(1)).alias("uses"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    out = evidence_ops.source_index(table(spark, sf, "orders").withColumnRenamed("o_custkey", "id"), c, "id", "o_orderpriority")
+    return out.withColumn("sections", F.array_join("sections", "|"))
 
 
 @query("j21_traceability", "SELECT count(*) AS cited, count(*) FILTER (p_partkey IS NULL) AS missing, round(count(p_partkey) * 1.0 / count(*), 6) AS coverage FROM (SELECT DISTINCT l_partkey FROM lineitem) LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 10 > 0) ON l_partkey = p_partkey")
 def j21(spark, sf):
-    cited = table(spark, sf, "lineitem").select("l_partkey").distinct()
-    known = table(spark, sf, "part").where("p_partkey % 10 > 0").select("p_partkey")
-    j = cited.join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return j.agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("p_partkey").isNull()).alias("missing"), F.round(F.count("p_partkey") / F.count(F.lit(1)), 6).alias("coverage"))
+    known = table(spark, sf, "part").where("p_partkey % 10 > 0").select(F.col("p_partkey").alias("paper_id"))
+    return evidence_ops.traceability(table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "paper_id"), known, "paper_id")
 
 
 _VOC = r"v AS (SELECT w, count(DISTINCT doc_id) AS f FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) >= 4 GROUP BY w HAVING count(DISTINCT doc_id) >= 40)"
@@ -409,43 +406,36 @@ def vocabulary(spark, sf):
 
 @query("j22_edit_pairs", f"WITH {_VOC} SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w) AS distance FROM v a JOIN v b ON left(a.w, 3) = left(b.w, 3) AND a.w < b.w WHERE levenshtein(a.w, b.w) <= 2")
 def j22(spark, sf):
-    v = vocabulary(spark, sf).select("w", F.left("w", F.lit(3)).alias("p"))
-    a, b = v.select(F.col("w").alias("a"), "p"), v.select(F.col("w").alias("b"), "p")
-    return a.join(b, "p").where("a < b").select("a", "b", F.levenshtein("a", "b", 2).alias("distance")).where("distance >= 0")
+    return records.edit_pairs(vocabulary(spark, sf))
 
 
-@query("j23_vector_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35")
+@query("j23_vector_pairs")
 def j23(spark, sf):
-    n = F.sqrt(scores.dot(F.col("embedding"), F.col("embedding")))
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") / n).alias("u"))
-    a, b = e.alias("a"), e.alias("b")
-    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")) & (scores.dot(F.col("a.u"), F.col("b.u")) >= 0.35)
-    return a.join(b, on).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
+    """Greedy merging at a cosine of 0.85; tested against a plain loop."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    return records.vector_merges(e, "vec_id", "label", "embedding", 0.85)
 
 
 @query("j24_counter_evidence", "SELECT c.s_suppkey AS candidate, p.p_partkey AS finding FROM supplier c JOIN part p ON c.s_nationkey = p.p_size % 25 WHERE contains(p_name, 'al') AND c.s_suppkey % 2 = p.p_partkey % 2")
 def j24(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("candidate"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("m"), (F.col("s_suppkey") % 2).cast("string"))).alias("x"))
-    p = table(spark, sf, "part").where(F.contains("p_name", F.lit("al"))).select(F.col("p_partkey").alias("finding"), F.array(F.concat(F.lit("n"), (F.col("p_size") % 25).cast("string")), F.concat(F.lit("m"), (F.col("p_partkey") % 2).cast("string"))).alias("y"))
-    # Two common words: pairs meet on one and count the words they meet on.
-    both = s.select("candidate", F.explode("x").alias("w")).join(p.select("finding", F.explode("y").alias("w")), "w")
-    return both.groupBy("candidate", "finding").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("candidate"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("m"), (F.col("s_suppkey") % 2).cast("string"))).alias("words"))
+    p = table(spark, sf, "part").where(F.contains("p_name", F.lit("al"))).select(F.col("p_partkey").alias("finding"), F.array(F.concat(F.lit("n"), (F.col("p_size") % 25).cast("string")), F.concat(F.lit("m"), (F.col("p_partkey") % 2).cast("string"))).alias("words"))
+    return evidence_ops.counter_evidence(s, p, "candidate", "finding")
 
 
 @query("j25_dangling", "SELECT DISTINCT l_partkey AS edge, 'target' AS side FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 > 0) UNION ALL SELECT DISTINCT l_partkey, 'source' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 > 0)")
 def j25(spark, sf):
-    e = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    s = table(spark, sf, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    p = table(spark, sf, "part").where("p_partkey % 9 > 0").select(F.col("p_partkey").alias("l_partkey"))
-    left = lambda d, on, side: e.join(d, on, "left_anti").select(F.col("l_partkey").alias("edge")).distinct().withColumn("side", F.lit(side))
-    return left(s, "l_suppkey", "target").union(left(p, "l_partkey", "source"))
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("edge")).distinct()
+    s = table(spark, sf, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("target"))
+    p = table(spark, sf, "part").where("p_partkey % 9 > 0").select(F.col("p_partkey").alias("source"))
+    return evidence_ops.dangling(e, {"target": s, "source": p}, "edge")
 
 
-@query("j27_backfill", f"WITH {EVIDENCE} SELECT s_suppkey AS edge, count(DISTINCT evidence_id) AS n, min(evidence_id) AS first FROM supplier JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity >= 50 JOIN evidence e ON e.paper_id = l_partkey GROUP BY 1")
+@query("j27_backfill", f"WITH {EVIDENCE} SELECT s_suppkey AS edge, count(DISTINCT evidence_id) AS n, min(evidence_id) AS first FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey JOIN evidence e ON e.paper_id = l_partkey GROUP BY 1")
 def j27(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("edge")).agg(F.collect_set("l_partkey").alias("papers"))
-    each = line.select("edge", F.explode("papers").alias("paper_id")).join(evidence(spark, sf).select("paper_id", "evidence_id"), "paper_id")
-    return each.groupBy("edge").agg(F.count_distinct("evidence_id").alias("n"), F.min("evidence_id").alias("first"))
+    drawn = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("paper_id"))
+    out = evidence_ops.backfilled(drawn, evidence(spark, sf), "edge")
+    return out.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min("evidence_id").alias("first"))
 
 
 # Aggregates -------------------------------------------------------------------------
@@ -458,37 +448,36 @@ def a03(spark, sf):
 
 @query("a04_provenance", "SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS papers, list_aggregate(list_sort(list(DISTINCT l_partkey))[1:3], 'string_agg', ',') AS first3 FROM lineitem GROUP BY 1")
 def a04(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
-    return g.select("node", F.size("p").cast("long").alias("papers"), F.array_join(F.transform(F.slice("p", 1, 3), lambda x: x.cast("string")), ",").alias("first3"))
+    said = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("paper_id"))
+    out = evidence_ops.provenance(said, "node")
+    return out.select("node", "papers", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first3"))
 
 
 @query("a11_limitations", f"WITH {EVIDENCE}, e AS (SELECT lower(left(limitation || ' ' || finding, 80)) AS key, paper_id FROM evidence) SELECT key, count(*) AS n, count(DISTINCT paper_id) AS papers, round(least(0.9, 0.4 + 0.1 * count(DISTINCT paper_id)), 6) AS confidence FROM e GROUP BY key HAVING count(DISTINCT paper_id) >= 2 OR count(*) >= 2")
 def a11(spark, sf):
-    e = evidence(spark, sf).select(F.lower(F.left(F.concat_ws(" ", "limitation", "finding"), F.lit(80))).alias("key"), "paper_id")
-    g = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("paper_id").alias("papers")).where("papers >= 2 OR n >= 2")
-    return g.withColumn("confidence", F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("papers")), 6))
+    return evidence_ops.clustered(evidence(spark, sf), F.lower(F.left(F.concat_ws(" ", "limitation", "finding"), F.lit(80))), 0.4, 0.1, 0.9, 2)
 
 
 @query("a12_future_works", f"WITH {EVIDENCE} SELECT future_work || ' ' || topic AS key, count(*) AS n, round(least(0.85, 0.3 + 0.15 * count(DISTINCT paper_id)), 6) AS confidence FROM evidence GROUP BY 1")
 def a12(spark, sf):
-    g = evidence(spark, sf).groupBy(F.concat_ws(" ", "future_work", "topic").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("paper_id").alias("papers"))
-    return g.select("key", "n", F.round(F.least(F.lit(0.85), 0.3 + 0.15 * F.col("papers")), 6).alias("confidence"))
+    return evidence_ops.clustered(evidence(spark, sf), F.concat_ws(" ", "future_work", "topic"), 0.3, 0.15, 0.85).drop("papers")
 
 
 @query("a14_ghosts", "SELECT l_partkey AS ghost, count(DISTINCT l_orderkey) AS cited_by FROM lineitem WHERE l_partkey % 2 = 1 GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2")
 def a14(spark, sf):
-    return table(spark, sf, "lineitem").where("l_partkey % 2 = 1").groupBy(F.col("l_partkey").alias("ghost")).agg(F.count_distinct("l_orderkey").alias("cited_by")).where("cited_by >= 2")
+    cited = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "ghost")
+    return evidence_ops.ghosts(cited, table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ghost")), "l_orderkey", "ghost")
 
 
 @query("a15_matrix", f"WITH {EVIDENCE} SELECT topic, count(DISTINCT finding) AS findings, count(DISTINCT limitation) AS limitations, string_agg(DISTINCT future_work, '|' ORDER BY future_work) AS future FROM evidence GROUP BY topic")
 def a15(spark, sf):
-    return evidence(spark, sf).groupBy("topic").agg(F.count_distinct("finding").alias("findings"), F.count_distinct("limitation").alias("limitations"), F.array_join(F.array_sort(F.collect_set("future_work")), "|").alias("future"))
+    m = evidence_ops.matrix(evidence(spark, sf), "topic", ["finding", "limitation"], "future_work")
+    return m.select("topic", F.col("finding").alias("findings"), F.col("limitation").alias("limitations"), F.array_join("future_work", "|").alias("future"))
 
 
 @query("a16_facets", f"WITH {EVIDENCE} SELECT 'topic' AS facet, topic AS value, count(*) AS n FROM evidence GROUP BY 2 UNION ALL SELECT 'method', method, count(*) FROM evidence GROUP BY 2 UNION ALL SELECT 'strength', strength, count(*) FROM evidence GROUP BY 2")
 def a16(spark, sf):
-    e = evidence(spark, sf).select("topic", "method", "strength")
-    return e.unpivot([], ["topic", "method", "strength"], "facet", "value").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    return evidence_ops.facets(evidence(spark, sf), ["topic", "method", "strength"])
 
 
 @query("a17_topics", "SELECT CASE p_type WHEN 'ECONOMY' THEN 'cheap' ELSE lower(p_type) END AS topic, count(DISTINCT p_partkey) AS papers FROM part GROUP BY 1")
@@ -498,14 +487,12 @@ def a17(spark, sf):
 
 @query("a18_consensus", f"WITH {EVIDENCE}, w AS (SELECT topic, future_work = 'F' AS pro, future_work = 'O' AS con, CASE strength WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END AS w FROM evidence) SELECT topic, round(sum(w) FILTER (pro), 4) AS supports, round(sum(w) FILTER (con), 4) AS contradicts, round((sum(w) FILTER (pro) - sum(w) FILTER (con)) / (sum(w) FILTER (pro) + sum(w) FILTER (con)), 4) AS score FROM w GROUP BY topic")
 def a18(spark, sf):
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in rules.STRENGTH_WEIGHT.items() for x in kv]), F.col("strength"))
-    g = evidence(spark, sf).groupBy("topic").agg(F.sum(F.when(F.col("future_work") == "F", weight)).alias("s"), F.sum(F.when(F.col("future_work") == "O", weight)).alias("c"))
-    return g.select("topic", F.round("s", 4).alias("supports"), F.round("c", 4).alias("contradicts"), F.round((F.col("s") - F.col("c")) / (F.col("s") + F.col("c")), 4).alias("score"))
+    return evidence_ops.consensus(evidence(spark, sf), "topic", F.col("future_work") == "F", F.col("future_work") == "O")
 
 
 @query("a20_metrics", "SELECT event_type AS name, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def a20(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.sum("value"), 2).alias("total"))
+    return measures.summaries(table(spark, sf, "events").withColumnRenamed("event_type", "name"), "name", "value")
 
 
 @query("a21_sections", "SELECT conv_id, role AS section, md5(string_agg(text, chr(10) ORDER BY turn)) AS text, max(turn) AS last, sum(length(text) // 4)::BIGINT AS tokens, dense_rank() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS place FROM conversations GROUP BY conv_id, role")
@@ -521,66 +508,49 @@ _LINES = "l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS li
 
 @query("a22_headers", f"WITH {_LINES} SELECT source, line, n FROM h")
 def a22(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> '' AND length(line) < 50")
-    return lines.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n")).where("n >= 2")
+    return measures.repeated_lines(table(spark, sf, "documents"), "source", "doc_id", "text")
 
 
 @query("a23_watermark", "WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT source, bool_or(contains(lower(line), 'license')) OR max(n) >= 3 AS watermark FROM (SELECT *, CASE WHEN length(line) BETWEEN 1 AND 19 THEN count(*) OVER (PARTITION BY source, line) ELSE 0 END AS n FROM l) GROUP BY source")
 def a23(spark, sf):
-    lines = table(spark, sf, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    often = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    return often.groupBy("source").agg((F.bool_or(F.contains(F.lower("line"), F.lit("license"))) | (F.max(F.when(F.length("line").between(1, 19), F.col("n")).otherwise(0)) >= 3)).alias("watermark"))
+    return measures.watermarked(table(spark, sf, "documents"), "source", "text", ["license"])
 
 
 @query("a24_diagnostics", "SELECT f AS field, count(*) AS n FROM (SELECT unnest([CASE WHEN l_quantity > 25 THEN 'finding' END, CASE WHEN l_tax > 0.04 THEN 'limitation' END]) AS f FROM lineitem) WHERE f IS NOT NULL GROUP BY 1")
 def a24(spark, sf):
-    matched = F.array_compact(F.array(F.when(F.col("l_quantity") > 25, "finding"), F.when(F.col("l_tax") > 0.04, "limitation")))
-    return table(spark, sf, "lineitem").select(F.explode(matched).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    return measures.matched_fields(table(spark, sf, "lineitem"), {"finding": F.col("l_quantity") > 25, "limitation": F.col("l_tax") > 0.04})
 
 
 @query("a25_project_stats", "SELECT source AS project, count(*) AS papers, count(*) FILTER (lang = 'en') AS parsed, count(DISTINCT lang) AS kinds FROM documents GROUP BY 1")
 def a25(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("lang") == "en").alias("parsed"), F.count_distinct("lang").alias("kinds"))
+    return measures.project_stats(table(spark, sf, "documents").withColumnRenamed("source", "project"), "project", F.col("lang") == "en", "lang")
 
 
 @query("a26_coverage", "SELECT o_orderstatus AS report, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0 END), 6) AS coverage, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0 END) >= 0.5 AS passed FROM orders GROUP BY 1")
 def a26(spark, sf):
-    share = F.avg((F.col("o_totalprice") > 100000).cast("double"))
-    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("report")).agg(F.round(share, 6).alias("coverage"), (share >= 0.5).alias("passed"))
+    return measures.coverage(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "report"), "report", F.col("o_totalprice") > 100000)
 
 
 @query("a27_revise", "SELECT l_shipdate AS day, round(avg(CASE WHEN l_returnflag IN ('R', 'A') THEN 1.0 ELSE 0 END), 6) AS ratio, avg(CASE WHEN l_returnflag IN ('R', 'A') THEN 1.0 ELSE 0 END) > 0.1 AS revise FROM lineitem GROUP BY 1")
 def a27(spark, sf):
-    share = F.avg(F.col("l_returnflag").isin("R", "A").cast("double"))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").alias("day")).agg(F.round(share, 6).alias("ratio"), (share > 0.1).alias("revise"))
+    return measures.to_revise(table(spark, sf, "lineitem").withColumnRenamed("l_shipdate", "day"), "day", F.col("l_returnflag").isin("R", "A"))
 
 
 @query("a28_entities", "SELECT lower(p_name) AS name, p_type AS kind, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS description FROM part GROUP BY 1, 2")
 def a28(spark, sf):
-    return table(spark, sf, "part").groupBy(F.lower("p_name").alias("name"), F.col("p_type").alias("kind")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "; ").alias("description"))
+    return measures.described(table(spark, sf, "part"), F.lower("p_name"), "p_type", "p_brand")
 
 
 @query("a29_rates", "SELECT 'redaction' AS name, 1.0 - avg(contains(text, '@')::INT) AS score FROM documents UNION ALL SELECT 'generic_text', 1.0 - avg(contains(lower(text), 'that the')::INT) FROM documents UNION ALL SELECT 'innovation_specificity', avg((length(text) > 300)::INT) FROM documents")
 def a29(spark, sf):
-    d = table(spark, sf, "documents")
-    rates = {"redaction": 1.0 - F.avg(F.contains("text", F.lit("@")).cast("int")), "generic_text": 1.0 - F.avg(F.contains(F.lower("text"), F.lit("that the")).cast("int")), "innovation_specificity": F.avg((F.length("text") > 300).cast("int"))}
-    return d.agg(*[x.alias(k) for k, x in rates.items()]).unpivot([], list(rates), "name", "score")
+    shares = {"redaction": ~F.contains("text", F.lit("@")), "generic_text": ~F.contains(F.lower("text"), F.lit("that the")), "innovation_specificity": F.length("text") > 300}
+    return measures.rates(table(spark, sf, "documents"), shares)
 
 
 @query("a30_gates", "WITH e AS (SELECT 'redaction' AS name, 1.0 - avg(contains(text, '@')::INT) AS score FROM documents UNION ALL SELECT 'generic_text', 1.0 - avg(contains(lower(text), 'that the')::INT) FROM documents), g AS (SELECT * FROM (VALUES ('scope_guard', 1.0, true), ('citation_coverage', 0.8, true), ('report_traceability', 0.8, true), ('innovation_specificity', 0.7, false), ('generic_text', 0.8, false), ('redaction', 1.0, true)) t(name, expected, required)) SELECT g.name, g.required, CASE WHEN e.name IS NULL THEN NOT g.required WHEN g.expected = 1.0 THEN score = 1.0 ELSE score >= expected END AS passed FROM g LEFT JOIN e USING (name)")
 def a30(spark, sf):
-    d = table(spark, sf, "documents")
-    rates = {"redaction": 1.0 - F.avg(F.contains("text", F.lit("@")).cast("int")), "generic_text": 1.0 - F.avg(F.contains(F.lower("text"), F.lit("that the")).cast("int"))}
-    e = d.agg(*[x.alias(k) for k, x in rates.items()]).unpivot([], list(rates), "name", "score")
-    return quality_gates(spark, e)
-
-
-def quality_gates(spark, evaluations):
-    """Each gate with whether it is passed: a missing evaluation passes only a gate that is not required."""
-    g = spark.createDataFrame(rules.GATES, "name string, expected double, operator string, required boolean")
-    s, x = F.col("score"), F.col("expected")
-    by = F.when(F.col("operator") == ">=", s >= x).when(F.col("operator") == "<=", s <= x).when(F.col("operator") == "==", s == x).when(F.col("operator") == ">", s > x).when(F.col("operator") == "<", s < x).otherwise(False)
-    return g.join(evaluations, "name", "left").select("name", "required", F.when(s.isNull(), ~F.col("required")).otherwise(by).alias("passed"))
+    shares = {"redaction": ~F.contains("text", F.lit("@")), "generic_text": ~F.contains(F.lower("text"), F.lit("that the"))}
+    return measures.quality_gates(measures.rates(table(spark, sf, "documents"), shares))
 
 
 @query("a31_retrieval_metrics", "SELECT o_custkey AS query, round(avg((o_orderstatus = 'F')::INT), 6) AS precision, round(avg((o_orderstatus = 'F')::INT) FILTER (k <= 3), 6) AS precision_at_3, count(*) FILTER (o_orderstatus = 'F') AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) GROUP BY 1")
@@ -592,7 +562,7 @@ def a31(spark, sf):
 
 @query("a32_next_version", "SELECT conv_id, max(turn) + 1 AS version FROM conversations GROUP BY 1")
 def a32(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("version"))
+    return measures.next_versions(table(spark, sf, "conversations").withColumnRenamed("turn", "version"), "conv_id", "version")
 
 
 @query("a33_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -630,23 +600,18 @@ def w10(spark, sf):
 
 @query("w11_dual_column", "WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, length(unnest(x)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), p AS (SELECT doc_id, n, lead(n) OVER (PARTITION BY doc_id ORDER BY i) AS m FROM l) SELECT doc_id, round(avg((n < 140 AND m < 140 AND abs(n - m) < 60)::INT), 6) AS share FROM p WHERE m IS NOT NULL GROUP BY 1 HAVING count(*) > 3")
 def w11(spark, sf):
-    n = F.transform(F.split("text", "\n"), F.length)
-    pairs = F.zip_with(F.slice(n, F.lit(1), F.size(n) - 1), F.slice(n, F.lit(2), F.size(n) - 1), lambda a, b: ((a < 140) & (b < 140) & (F.abs(a - b) < 60)).cast("int"))
     d = table(spark, sf, "documents").where(F.size(F.split("text", "\n")) > 4)
-    return d.select("doc_id", F.round(F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / F.size(pairs), 6).alias("share"))
+    return d.select("doc_id", F.round(measures.column_share(F.col("text")), 6).alias("share"))
 
 
 @query("w12_inversions", "SELECT o_custkey, count(*) AS inversions FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE o_totalprice > b GROUP BY 1")
 def w12(spark, sf):
-    o = table(spark, sf, "orders").withColumn("b", F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return o.where("o_totalprice > b").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("inversions"))
+    return measures.ascents(table(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("w13_versions", "SELECT conv_id, turn AS version, false AS current FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, true FROM conversations GROUP BY 1")
 def w13(spark, sf):
-    c = table(spark, sf, "conversations")
-    now = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("version"), F.lit(True).alias("current"))
-    return c.select("conv_id", F.col("turn").alias("version"), F.lit(False).alias("current")).unionByName(now)
+    return measures.with_current(table(spark, sf, "conversations").withColumnRenamed("turn", "version"), "conv_id", "version")
 
 
 @query("w14_latest", "SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1")
@@ -670,8 +635,8 @@ def t06(spark, sf):
 
 @query("t07_section_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS place FROM conversations")
 def t07(spark, sf):
-    first = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(first, "turn")).cast("long").alias("place"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return measures.in_section_order(c, "conv_id", "role", "turn", ("system", "user")).drop("role")
 
 
 @query("u01_union", "SELECT p_partkey AS id, 'part' AS source FROM part UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")
@@ -696,9 +661,7 @@ def u04(spark, sf):
 
 @query("u05_widen", "WITH h AS (SELECT vec_id FROM embeddings WHERE label = 1) SELECT vec_id FROM embeddings WHERE (SELECT count(*) FROM h) < 100 UNION SELECT vec_id FROM h")
 def u05(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    few = e.where("label = 1").agg((F.count(F.lit(1)) < 100).alias("few"))
-    return e.crossJoin(F.broadcast(few)).where("label = 1 OR few").select("vec_id").distinct()
+    return scopes.widened(table(spark, sf, "embeddings").select("vec_id", "label"), F.col("label") == 1, 100).select("vec_id").distinct()
 
 
 # Scopes, texts and designs ----------------------------------------------------------

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weft.sources.readers import RESULT
 
 
+def _lines(path: str) -> io.BufferedReader:
+    """A file by path, or by the address of a store that Arrow can open."""
+    store, name = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+    return io.BufferedReader(store.open_input_stream(name))
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.value = path
@@ -27,7 +35,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.value:
             return
-        with open(partition.value, encoding="utf-8") as f:
+        with _lines(partition.value) as f:
             for line in f:
                 x = json.loads(line)
                 yield (
@@ -37,7 +45,7 @@ class _Reader(DataSourceReader):
 
 
 class RecordSource(DataSource):
-    """Options: path (files of JSON lines that every executor can open, separated by commas), source."""
+    """Options: path (files of JSON lines, or addresses of them, that every executor can open, separated by commas), source."""
 
     @classmethod
     def name(cls) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weft.operators.graphs import merge_graphs
+from weft.operators.store import first_of
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -59,23 +59,24 @@ def numbered_states(events: DataFrame) -> DataFrame:
 
 
 def maintained(stream: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """Nodes or edges kept up to date by a stream: what ``build`` makes of each batch is merged by id into the version before.
+    """Mentions of nodes or edges kept up to date by a stream: of what ``build`` makes of each batch, what is new is added.
 
-    Each batch writes a version of its own under ``folder``, which all machines share, so that one that is run again
-    writes the same version again; returns the last after all that is there now.
+    Each batch writes a version of its own under ``folder``, which all machines share, and reads those before it, so that one that is run again
+    writes the same rows again; no row is written twice. The stream's progress is kept there as well. Returns all rows after all that is there now.
     """
     spark = stream.sparkSession
 
     def put(batch: DataFrame, epoch: int) -> None:
-        made = build(batch)
-        before = spark.read.parquet(f"{folder}/version={epoch - 1}") if epoch else made.limit(0)
-        merge_graphs(before, made).write.mode("overwrite").parquet(f"{folder}/version={epoch}")
-
-    q = stream.writeStream.foreachBatch(put).trigger(availableNow=True).start()
+        made = build(batch).distinct()
+        if epoch:
+            before = spark.read.schema(made.schema).parquet(*[f"{folder}/rows/version={k}" for k in range(epoch)])
+            on = [made[c].eqNullSafe(before[c]) for c in made.columns]
+            made = made.join(before, on, "left_anti")
+        made.write.mode("overwrite").parquet(f"{folder}/rows/version={epoch}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{folder}/progress").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    every = spark.read.parquet(folder)
-    last = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == last).drop("version")
+    return spark.read.parquet(f"{folder}/rows").drop("version")
 
 
 def rate_gaps(events: DataFrame, least_seconds: float) -> DataFrame:
@@ -86,9 +87,26 @@ def rate_gaps(events: DataFrame, least_seconds: float) -> DataFrame:
     return events.withColumn("gap", gap).groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("gap") < least_seconds * 1e6).alias("too_soon"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return the rows that its memory sink holds. For tests and small results."""
+def settled(stream: DataFrame, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """The rows of a streaming aggregate after all that is there now.
+
+    Each batch's rows are written under ``folder``, which all machines share, beside the stream's progress, so nothing is
+    gathered on the driver and a stream that is started again goes on. Without ``keys`` each batch gives the whole
+    result and the last one counts; with them it gives the rows that changed and of each key the last one does.
+    """
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    empty = spark.createDataFrame([], stream.schema)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    w = stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{folder}/progress")
+    q = w.foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if q.lastProgress is None:
+        return empty
+    every = spark.read.parquet(f"{folder}/rows")
+    if keys:
+        return first_of(every, keys, [F.desc("epoch")]).select(*stream.columns)
+    last = every.agg(F.max("epoch").alias("last"))
+    return every.join(F.broadcast(last), F.col("epoch") == F.col("last")).select(*stream.columns)
