@@ -186,12 +186,34 @@ def test_deep_pages(page):
     assert time.time() - start < 20
 
 
+_SAID = "It is a long paragraph with several words in it, and it goes on for a while. Then there is more."
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><div class='comment-policy'><p>Our essay is about policies. {_SAID}</p><p>{_SAID}</p></div></article>", f"Our essay is about policies. {_SAID}\n{_SAID}"),
+        (f"<body><div class='c7'><p>{_SAID}</p></div><div class='c7'><p>Second. {_SAID}</p></div></body>", f"{_SAID}\nSecond. {_SAID}"),
+        (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be a number. {_SAID}</p></article>", f"Let x=2 be a number. {_SAID}"),
+        (f"<article><p>See <svg><title>no</title><text>A to B</text></svg> here. {_SAID}</p></article>", f"See A to B here. {_SAID}"),
+        (f"<article><h1>T</h1><p>{_SAID}</p><div class='comments'><p>Nice post, thanks.</p><p>Me too!</p></div></article>", f"T\n{_SAID}"),
+    ],
+)
+def test_misleading_names_and_plain_pages(page, text):
+    assert html_text.extract([page], html_text.fitted()) == [text]
+
+
+def test_rare_tokens_hardly_move():
+    w = html_text.token_weights([[[1], [1], [2]]] * 50 + [[[3]]], [np.array([1.0, 1.0, 0.0])] * 50 + [np.array([1.0])])
+    assert w[1] > 2 > w[3] > 0 > -2 > w[2] and w[4] == 0
+
+
 def test_pages_of_other_seeds():
     w, model, wrong, total = html_text._Writer(77), html_text.fitted(), 0, 0
     for _ in range(60):
         page, mark = w.page()
         nodes = html_text._listed(html_text.parse(page))
-        kept = html_text.decode(nodes, model.logits(html_text.features(nodes)))
+        kept = html_text.decode(nodes, model.logits([nodes]))
         assert all(id(n.parent) in kept for n in nodes if id(n) in kept and n.parent)
         wrong += sum((id(n) in kept) != (i == 0 or mark in n.attributes) for i, n in enumerate(nodes))
         total += len(nodes)

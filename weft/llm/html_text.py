@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,25 +23,16 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _TOKENS = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements without content, with content that is no text, and within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template title textarea iframe svg math object canvas head".split())
+NO_TEXT = frozenset("script style noscript template title textarea iframe head".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math svg object canvas".split())
+#: Elements in which all others are within the line as well.
+GRAPHIC = ("math", "svg")
 #: An element that starts closes open ones of these names up to the nearest container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 CONTAINER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",)}
-#: Words of class, id and role attributes that one feature counts together.
-GROUPS = {
-    "main": "article main content post entry story body text hentry prose page".split(),
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar tabs toc skip".split(),
-    "edge": "header footer masthead topbar bottom foot head copyright legal colophon".split(),
-    "side": "aside sidebar side widget rail related recommended more trending popular also".split(),
-    "advert": "ad ads advert advertisement sponsor sponsored promo banner adsense outbrain".split(),
-    "notice": "cookie cookies consent gdpr notice alert modal popup overlay subscribe newsletter signup paywall".split(),
-    "talk": "comment comments disqus reply replies discussion respond reviews thread".split(),
-    "share": "share social sharing follow twitter facebook tags meta byline author".split(),
-    "form": "form search login input contact".split(),
-}
-_GROUP_OF = {w: k for k, words in enumerate(GROUPS.values()) for w in words}
+#: Buckets that tokens of class, id, role and itemprop attributes, and names of elements, are hashed to.
+BUCKETS = 1 << 12
 TAGS = "article main section div p h1 h2 h3 ul ol li table tr td form nav header footer aside blockquote pre figure figcaption body button".split()
 _TAG_OF = {t: k for k, t in enumerate(TAGS)}
 
@@ -114,7 +107,7 @@ def parse(page: str) -> Node:
         if name in VOID:
             put(" ")
             continue
-        if name in INLINE:
+        if name in INLINE or any(places.get(g) for g in GRAPHIC):
             open_(name, stack[-1][1])
             continue
         for closed, stop in ((CLOSES.get(name, ()), CONTAINER.get(name, ())), (("p",), ("td", "th", "button", "body"))):
@@ -139,11 +132,32 @@ def _listed(root: Node) -> list[Node]:
 
 
 _END = re.compile(r"[.!?…。](?:\s|$)")
-N_FEATURES = len(TAGS) + 2 * len(GROUPS) + 20
+#: What the tokens of a node, and those above it, say: their sum, the least and the greatest.
+N_TOKENS = 6
+N_FEATURES = len(TAGS) + N_TOKENS + 20
+
+
+def tokens(node: Node) -> list[int]:
+    """Buckets of the distinct tokens of a node's attributes, and of its name."""
+    found = {f"<{node.tag}>"}
+    for key, a, b, c in _ATTRIBUTE.findall(node.attributes) if node.attributes else ():
+        if key.lower() in ("class", "id", "role", "itemprop"):
+            found.update(_TOKENS.findall((a or b or c).lower()))
+    return sorted({zlib.crc32(w.encode()) % BUCKETS for w in found})
+
 
+def token_weights(pages: list[list[list[int]]], labels: list[np.ndarray], prior: float = 4.0) -> np.ndarray:
+    """How much more likely a node of each bucket is to be kept, as log odds that rare tokens hardly move."""
+    n = np.zeros((2, BUCKETS))
+    for page, y in zip(pages, labels, strict=True):
+        for buckets, keep in zip(page, y, strict=True):
+            n[int(keep), buckets] += 1
+    share = sum(float(y.sum()) for y in labels) / max(sum(map(len, labels)), 1)
+    return np.log((n[1] + prior * share) / (n[0] + prior * (1 - share))) - np.log(max(share, 1e-6) / max(1 - share, 1e-6))
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node of one page: tag, attribute tokens of itself and above, subtree densities, depth, siblings."""
+
+def features(nodes: list[Node], weights: np.ndarray) -> np.ndarray:
+    """A row for each node of one page: name, what the tokens of itself and above say, subtree densities, depth, siblings."""
     index = {id(n): i for i, n in enumerate(nodes)}
     n = len(nodes)
     own = np.zeros((n, 7))  # characters, linked ones, sentence ends, capitals, digits, text runs, signs
@@ -162,28 +176,18 @@ def features(nodes: list[Node]) -> np.ndarray:
     before = np.concatenate(([0], np.cumsum(own[:, 0])[:-1]))
     total = max(sub[0, 0], 1)
     out = np.zeros((n, N_FEATURES))
-    words = np.zeros((n, len(GROUPS)))
+    said = np.zeros((n, N_TOKENS))
     for i, x in enumerate(nodes):
-        row = out[i]
         if x.tag in _TAG_OF:
-            row[_TAG_OF[x.tag]] = 1
-        for key, a, b, c in _ATTRIBUTE.findall(x.attributes) if x.attributes else ():
-            if key.lower() in ("class", "id", "role", "itemprop"):
-                for w in _TOKENS.findall((a or b or c).lower()):
-                    if w in _GROUP_OF:
-                        words[i, _GROUP_OF[w]] += 1
-        if x.tag in ("nav", "header", "footer", "aside", "form"):
-            words[i, {"nav": 1, "header": 2, "footer": 2, "aside": 3, "form": 8}[x.tag]] += 1
-        if x.tag in ("article", "main"):
-            words[i, 0] += 1
-    above = np.zeros_like(words)
-    for i, x in enumerate(nodes[1:], 1):
-        j = index[id(x.parent)]
-        above[i] = np.minimum(above[j] + words[j], 3)
+            out[i, _TAG_OF[x.tag]] = 1
+        w = weights[tokens(x)]
+        said[i, :3] = w.sum(), w.min(), w.max()
+        if i:
+            j = index[id(x.parent)]
+            said[i, 3:] = said[j, 3] + said[j, 0], min(said[j, 4], said[j, 1]), max(said[j, 5], said[j, 2])
     k = len(TAGS)
-    out[:, k : k + len(GROUPS)] = words
-    out[:, k + len(GROUPS) : k + 2 * len(GROUPS)] = above
-    k += 2 * len(GROUPS)
+    out[:, k : k + N_TOKENS] = said
+    k += N_TOKENS
     size = np.maximum(sub[:, 0], 1)
     sibling = np.zeros((n, 4))
     for x in nodes:
@@ -246,6 +250,20 @@ def blocks(root: Node, kept: set[int]) -> list[str]:
 # Training pages -----------------------------------------------------------------
 
 
+#: Words that the invented pages have in their attributes, by what they stand at; one in twelve elements has those of something else.
+WORDS = {
+    "main": "article main content post entry story body text hentry prose page".split(),
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar tabs toc skip".split(),
+    "edge": "header footer masthead topbar bottom foot head copyright legal colophon".split(),
+    "side": "aside sidebar side widget rail related recommended more trending popular also".split(),
+    "advert": "ad ads advert advertisement sponsor sponsored promo banner adsense outbrain".split(),
+    "notice": "cookie cookies consent gdpr notice alert modal popup overlay subscribe newsletter signup paywall".split(),
+    "talk": "comment comments disqus reply replies discussion respond reviews thread".split(),
+    "share": "share social sharing follow twitter facebook tags meta byline author".split(),
+    "form": "form search login input contact".split(),
+}
+
+
 class _Writer:
     """Invented pages whose nodes are known to be main text or not."""
 
@@ -255,17 +273,19 @@ class _Writer:
         self.words = ["".join(self.r.choice(letters) for _ in range(self.r.randint(1, 9))) for _ in range(400)]
 
     def sentence(self, low: int = 4, high: int = 22) -> str:
-        w = [self.r.choice(self.words) for _ in range(self.r.randint(low, high))]
-        odd = self.r.random()
-        if odd < 0.05:
-            w = [x + self.r.choice(("***", "###", "!!", "%%%")) for x in w]
+        r = self.r
+        w = [r.choice(self.words) for _ in range(r.randint(low, high))]
+        odd = r.random()
+        if odd < 0.05:  # signs anywhere, as in lists, tables, code and shouting
+            sign = r.choice("*#!%$=|/+~_:;&^")
+            w = [x + sign * r.randint(1, 3) if r.random() < 0.8 else x for x in w]
         elif odd < 0.08:
             w = [x.upper() for x in w]
-        elif odd < 0.11:
-            return " | ".join(w) + self.r.choice(("", ".", " |"))
-        elif odd < 0.13:
-            return f'{w[0]} = "{self.r.getrandbits(160):x}"'
-        return " ".join(w).capitalize() + self.r.choice(".....!?")
+        elif odd < 0.12:
+            return r.choice((" | ", " / ", " - ", ", ")).join(w) + r.choice(("", ".", " |"))
+        elif odd < 0.14:
+            return f'{w[0]} {r.choice(("=", ":", "<-"))} "{r.getrandbits(r.choice((40, 160))):x}"{r.choice(("", ";"))}'
+        return " ".join(w).capitalize() + r.choice(".....!?")
 
     def heading(self) -> str:
         """A few words or a sentence; like the titles of many sites it may be cut off, without a full stop, or begin the text."""
@@ -278,7 +298,9 @@ class _Writer:
     def attributes(self, *groups: str, chance: float = 0.8) -> str:
         if self.r.random() > chance or not groups:
             return f' class="{self.r.choice(self.words)}"' if self.r.random() < 0.3 else ""
-        w = "-".join(self.r.choice(GROUPS[g]) for g in groups[: self.r.randint(1, len(groups))])
+        if self.r.random() < 1 / 12:
+            groups = (self.r.choice(sorted(WORDS)),)
+        w = "-".join(self.r.choice((*WORDS[g], *self.r.sample(self.words, 2))) if self.r.random() < 0.15 else self.r.choice(WORDS[g]) for g in groups[: self.r.randint(1, len(groups))])
         return f' {self.r.choice(("class", "class", "id"))}="{w}{self.r.choice(("", "", " " + self.r.choice(self.words), "-box"))}"'
 
     def links(self, low: int, high: int) -> str:
@@ -345,8 +367,15 @@ class _Writer:
             at = at[r.randrange(len(at))] if at else 0
             open_list = tagged[:at].count("<ul") > tagged[:at].count("</ul") or tagged[:at].count("<blockquote") > tagged[:at].count("</blockquote")
             tagged = tagged if open_list else tagged[:at] + self.noise() + tagged[at:]
-        tag, attributes = r.choice((("article", ""), ("article", self.attributes("main")), ("main", self.attributes("main")), ("div", self.attributes("main", chance=1)), ("section", self.attributes("main"))))
-        inner = f"<{tag} data-k='{mark}'{attributes}>{tagged}</{tag}>"
+        if r.random() < 0.25:  # no container: blocks that stand by themselves, or each in an element of its own
+            parts = re.split(r"(?=<(?:h1|h2|p|ul|blockquote|table|pre) data-k)", tagged) if "<ul" not in tagged and "<blockquote" not in tagged and "<table" not in tagged else [tagged]
+            own = self.attributes("main", chance=0.2)
+            inner = "".join(f"<div data-k='{mark}'{own}>{x}</div>" if r.random() < 0.95 else x for x in parts if x) if r.random() < 0.7 else tagged
+        else:
+            tag, attributes = r.choice((("article", ""), ("article", self.attributes("main")), ("main", self.attributes("main")), ("div", self.attributes("main", chance=1)), ("section", self.attributes("main"))))
+            if r.random() < 0.3:  # one more element inside, of any name
+                tagged = f"<div data-k='{mark}'{self.attributes(r.choice(sorted(WORDS)), r.choice(sorted(WORDS)), chance=0.8)}>{tagged}</div>"
+            inner = f"<{tag} data-k='{mark}'{attributes}>{tagged}</{tag}>"
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             inner = f"<div data-k='{mark}'{self.attributes('main', chance=0.2)}>{self.noise() if r.random() < 0.3 else ''}{inner}{self.noise() if r.random() < 0.4 else ''}</div>"
         top = "".join(self.noise() for _ in range(r.choice((0, 1, 2, 2, 3))))
@@ -356,23 +385,41 @@ class _Writer:
         return page[: -r.randint(1, 30)] if r.random() < 0.1 else page, mark
 
 
+@dataclass(frozen=True)
+class Extractor:
+    """Boosted trees over node features, and the weights of hashed tokens that some of these are made of."""
+
+    trees: BoostedTrees
+    weights: np.ndarray
+
+    def logits(self, listed: list[list[Node]]) -> np.ndarray:
+        return self.trees.logits(np.concatenate([np.zeros((0, N_FEATURES)), *[features(n, self.weights) for n in listed]]))
+
+
 @lru_cache(maxsize=2)
-def fitted(pages: int = 350, seed: int = 5) -> BoostedTrees:
-    """Trees fitted on invented pages, whose nodes are known; deterministic, and the same on every machine."""
-    writer, rows, labels = _Writer(seed), [], []
+def fitted(pages: int = 900, seed: int = 5) -> Extractor:
+    """Trees fitted on invented pages, whose nodes are known; deterministic, and the same on every machine.
+
+    Tokens' weights are learned from the same pages; the trees see those that the other half of the pages gives, as they will
+    have to do with tokens on pages that they were not fitted on.
+    """
+    writer, listed, labels = _Writer(seed), [], []
     for _ in range(pages):
         page, mark = writer.page()
         nodes = _listed(parse(page))
-        y = np.array([float(i == 0 or mark in n.attributes) for i, n in enumerate(nodes)])
-        rows.append(features(nodes))
-        labels.append(y)
-    return BoostedTrees().fit(np.concatenate(rows), np.concatenate(labels))
+        listed.append(nodes)
+        labels.append(np.array([float(i == 0 or mark in n.attributes) for i, n in enumerate(nodes)]))
+    found = [[tokens(n) for n in nodes] for nodes in listed]
+    half = [token_weights(found[k::2], labels[k::2]) for k in (1, 0)]
+    rows = [features(nodes, half[i % 2]) for i, nodes in enumerate(listed)]
+    return Extractor(BoostedTrees(n_trees=100).fit(np.concatenate(rows), np.concatenate(labels)), token_weights(found, labels))
 
 
-def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
+def extract(pages: list[str | None], model: Extractor) -> list[str]:
+    """Main text of each page; a null page is empty."""
     trees = [parse(p or "") for p in pages]
     listed = [_listed(t) for t in trees]
-    logits = model.logits(np.concatenate([np.zeros((0, N_FEATURES)), *[features(n) for n in listed]]))
+    logits = model.logits(listed)
     out, at = [], 0
     for root, nodes in zip(trees, listed, strict=True):
         mine = logits[at : at + len(nodes)].copy()
@@ -382,7 +429,7 @@ def extract(pages: list[str | None], model: BoostedTrees) -> list[str]:
     return out
 
 
-def main_text(pages: DataFrame, html_col: str = "html", model: BoostedTrees | None = None) -> DataFrame:
+def main_text(pages: DataFrame, html_col: str = "html", model: Extractor | None = None) -> DataFrame:
     """``pages`` with ``text`` (string, empty if there is none) instead of ``html_col``; other columns stay, one called text is replaced.
 
     Narrow, over whole pages. A null page is empty. Broken and cut-off markup is
