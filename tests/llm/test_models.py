@@ -287,7 +287,7 @@ def test_vectors_match_brute_force(spark):
         v = base[i % 20] + r.normal(size=16) * 0.2
         rows.append((1000 + i, [float(x) for x in v]))
     rows += [(2000 + i, rows[3][1]) for i in range(30)]
-    rows += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] + [1.0] * 15), (3003, [None] + [1.0] * 15), (3004, [float("inf")] * 16), (3005, []), (3006, [1.0, 2.0]), (3007, [2 * x for x in rows[3][1]])]
+    rows += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] + [1.0] * 15), (3003, [None] + [1.0] * 15), (3004, [float("inf")] * 16), (3005, []), (3006, [1.0, 2.0]), (3008, [1.0, 2.1]), (3007, [2 * x for x in rows[3][1]])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("kept", F.lit("clash"))
     got = {x["vec_id"]: x for x in vectors.near_duplicates(d).collect()}
     assert len(got) == len(rows)
@@ -299,10 +299,56 @@ def test_vectors_match_brute_force(spark):
     found = sum(min(got[i]["n_links"], true[i]) for i in ids)
     assert found >= 0.95 * sum(true.values())
     assert all(got[i]["n_links"] <= true[i] for i in ids)
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, _ in rows if i not in ok)
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, _ in rows if i not in ok and i not in (3006, 3008))
+    assert got[3006]["n_links"] == got[3008]["n_links"] == 1 and got[3008]["component_id"] == 3006  # of a length of their own
     assert all(got[i]["component_id"] == got[3]["component_id"] and got[i]["n_links"] == got[3]["n_links"] for i in range(2000, 2030))
     assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got.values())
 
 
+def _many(r, n, groups, size, spread):
+    base = r.normal(size=(n, 32))
+    near = [base[k] + r.normal(size=(size, 32)) * spread for k in range(groups)]
+    return np.concatenate((base, *near))
+
+
+@pytest.mark.parametrize(("shard", "most"), [(1500, 4500), (300, 500)])
+def test_vectors_in_many_shards(spark, shard, most):
+    """Overlapping shards, shards that are split, and a group of near copies larger than a shard may be, against brute force."""
+    v = np.concatenate((_many(np.random.default_rng(3), 8000, 60, 30, 0.25), _many(np.random.default_rng(4), 1, 1, 1200, 0.15)))
+    assert len(v) > 11_000
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(6)
+    got = vectors.near_duplicates(d, shard=shard, most=most).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    true, root = np.zeros(len(v), np.int64), np.arange(len(v))
+    for i in range(0, len(v), 1000):
+        true[i : i + 1000] = (u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) - 1
+    n = np.zeros(len(v), np.int64)
+    for x in got:
+        n[x["vec_id"]], root[x["vec_id"]] = x["n_links"], x["component_id"]
+    assert (n <= true).all() and n.sum() >= 0.98 * true.sum() > 500_000
+    assert got[0]["audited_recall"] >= 0.95 and got[0]["audited_links"] > 100
+    assert len(set(root[-1200:].tolist())) <= 3  # the large group is one component but for its outliers
+
+
+def test_a_bad_index_falls_back_to_all_pairs(spark, monkeypatch):
+    v = _many(np.random.default_rng(5), 300, 10, 20, 0.2)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    true = ((lambda u: u @ u.T >= 0.9)(v / np.linalg.norm(v, axis=1, keepdims=True))).sum(axis=1) - 1
+    monkeypatch.setattr(vectors, "audit", lambda rows, found, threshold: (0, 1))
+    got = {x["vec_id"]: x["n_links"] for x in vectors.near_duplicates(d, most=100).collect()}
+    assert [got[i] for i in range(len(v))] == true.tolist()
+
+
+def test_forest():
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 200, 120), r.integers(0, 200, 120)
+    label = vectors.forest(200, iter([(a[:60], b[:60]), (a[60:], b[60:])]))
+    least = list(range(200))
+    for _ in range(200):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            least[x] = least[y] = min(least[x], least[y])
+    assert label.tolist() == least
+
+
 def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

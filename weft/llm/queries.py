@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9).drop("audited_recall", "audited_links")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ SQL: dict[str, str] = {
   SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9),
 r(v, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.v)
-SELECT v AS vec_id, (SELECT count(*) FROM p WHERE p.a = v) AS n_links, min(c) AS component_id, v = min(c) AS kept, 1.0::DOUBLE AS audited_recall FROM r GROUP BY v""",
+SELECT v AS vec_id, (SELECT count(*) FROM p WHERE p.a = v) AS n_links, min(c) AS component_id, v = min(c) AS kept FROM r GROUP BY v""",
     "op3_decontaminate": r"""WITH d AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
 b AS (SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS j FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)),
 m AS (SELECT doc_id, item_id, i - j AS shift, j FROM d JOIN b USING (w) WHERE n >= 13 QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, i - j) >= 11),

@@ -6,29 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import checkpointed, connected_components
 
-#: Vectors that the cluster centres are fitted on, at most.
-SAMPLE = 8192
-#: Mean number of different vectors whose nearest centre is a shard's, and the number that is split further.
+#: Vectors that the cluster centres are fitted on, at most: of all, and of each shard that is split.
+SAMPLE, SAMPLE_OF_SHARD = 8192, 2048
+#: Centres of each of the two levels, at most.
+CENTRES, CENTRES_OF_SHARD = 512, 256
+#: Mean number of different vectors whose nearest centre is a shard's, and the number that no shard exceeds (but for the chance of hashes).
 SHARD, SHARD_MOST = 1500, 4500
 #: Centres that each vector is dealt to.
 OVERLAP = 3
-DEGREE, ALPHA, BEAM = 24, 1.2, 48
+DEGREE, ALPHA, BEAM, STEP = 24, 1.2, 48, 4
 #: Vectors looked up exactly, in the audit of recall.
 AUDIT = 200
-
-
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>): vectors with a direction; of several lengths, those of the most frequent (the longest of ties)."""
-    v = F.col(vector_col).cast("array<double>")
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.coalesce(sound, F.lit(False)))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (size["n"] if size else 0))
+_BLOCK = 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -50,104 +45,169 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.n
     return c
 
 
-def robust_prune(node: int, pool: np.ndarray, sim: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Neighbours of ``node`` from ``pool`` (nearest first), passing over those that a chosen one is closer to by ``alpha``."""
-    chosen: list[int] = []
-    gap = 2 - 2 * sim[node, pool]
-    alive = pool != node
-    while len(chosen) < degree and alive.any():
-        at = int(alive.argmax())
-        best = int(pool[at])
-        chosen.append(best)
-        alive &= alpha * alpha * np.maximum(2 - 2 * sim[best, pool], 0) > gap
-        alive[at] = False
-    return chosen
+# The graph of one shard ---------------------------------------------------------
 
 
-def build(u: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[list[int]]:
-    """Adjacency lists of one shard: pruned nearest neighbours, made symmetric and pruned again, and a ring so that all is reachable."""
-    n = len(u)
-    sim = u @ u.T
-    most = min(n - 1, 3 * degree)
-    if most <= 0:
-        return [[] for _ in range(n)]
-    pool = np.concatenate([np.argpartition(-sim[i : i + 256], most, axis=1)[:, : most + 1] for i in range(0, n, 256)])
-    pool = np.take_along_axis(pool, np.argsort(-np.take_along_axis(sim, pool, 1), axis=1, kind="stable"), 1)
-    out = [robust_prune(i, pool[i], sim, degree, alpha) for i in range(n)]
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, mine in enumerate(out):
-        for j in mine:
-            back[j].append(i)
-    for i in range(n):
-        both = np.array(sorted({*out[i], *back[i]} - {i}, key=lambda j: -sim[i, j]), np.int64)
-        out[i] = robust_prune(i, both, sim, degree, alpha) if len(both) > degree else both.tolist()
-        ring = (i + 1) % n
-        if ring != i and ring not in out[i]:
-            out[i].append(ring)
+def robust_prune(u: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """For each of ``nodes`` up to ``degree`` neighbours from its row of ``pool`` (nearest first, -1 for none), as a row filled up with -1.
+
+    A candidate is passed over if one chosen before is closer to it than the node is, by ``alpha``.
+    """
+    some = np.maximum(pool, 0)
+    gap = 2 - 2 * np.einsum("ij,ikj->ik", u[nodes], u[some])
+    between = np.maximum(2 - 2 * np.matmul(u[some], u[some].transpose(0, 2, 1)), 0)
+    alive = (pool >= 0) & (pool != nodes[:, None])
+    out = np.full((len(nodes), degree), -1, np.int64)
+    rows = np.arange(len(nodes))
+    for k in range(degree):
+        at = alive.argmax(axis=1)
+        some = alive[rows, at]
+        if not some.any():
+            break
+        out[some, k] = pool[some, at[some]]
+        alive &= alpha * alpha * between[rows, at] > gap
+        alive[rows, at] = False
     return out
 
 
-def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int = BEAM) -> np.ndarray:
-    """Pairs (q, x), q < x or both ways, of rows at ``threshold`` or closer that a range-expanding greedy search finds.
+def build(u: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
+    """Adjacency lists of one shard: pruned nearest neighbours, made symmetric and pruned again, and a ring so that all is reachable.
 
-    All rows are queries at once. From the medoid each keeps the ``beam`` nearest
-    seen and visits the nearest not visited; when none is left, or the
-    best known lie within the range, it goes on from everything within the range until
-    nothing new there is found.
+    Similarities are held for a bounded number of rows at a time.
+    """
+    n, most = len(u), min(len(u) - 1, 3 * degree)
+    if most <= 0:
+        return [np.zeros(0, np.int64) for _ in range(n)]
+    first = []
+    for i in range(0, n, _BLOCK):
+        sim = u[i : i + _BLOCK] @ u.T
+        pool = np.argpartition(-sim, most, axis=1)[:, : most + 1]
+        pool = np.take_along_axis(pool, np.argsort(-np.take_along_axis(sim, pool, 1), axis=1, kind="stable"), 1)
+        first.append(robust_prune(u, np.arange(i, i + len(sim)), pool, degree, alpha))
+    out = np.concatenate(first)
+    src, dst = np.repeat(np.arange(n), degree), out.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    pairs = np.unique(np.concatenate((np.stack((src, dst), 1), np.stack((dst, src), 1))), axis=0)
+    near = np.einsum("ij,ij->i", u[pairs[:, 0]], u[pairs[:, 1]])
+    order = np.lexsort((-near, pairs[:, 0]))
+    src, dst = pairs[order].T
+    begin = np.searchsorted(src, np.arange(n + 1))
+    links = []
+    for i in range(0, n, _BLOCK):
+        nodes = np.arange(i, min(i + _BLOCK, n))
+        size = np.minimum(np.diff(begin)[nodes], 3 * degree)
+        pool = np.full((len(nodes), max(int(size.max()), 1)), -1, np.int64)
+        for k, j in enumerate(nodes):
+            pool[k, : size[k]] = dst[begin[j] : begin[j] + size[k]]
+        kept = robust_prune(u, nodes, pool, degree, alpha)
+        for k, j in enumerate(nodes):
+            mine = kept[k][kept[k] >= 0] if size[k] > degree else pool[k, : size[k]]
+            links.append(np.unique(np.append(mine, (j + 1) % n)))
+    return links
+
+
+def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ordered pairs (q, x), q not x, of rows at ``threshold`` or closer that a range-expanding greedy search finds, for blocks of q.
+
+    From the medoid each query keeps the ``beam`` nearest seen and visits the nearest not visited; when none is left
+    it goes on from everything within the range until nothing new there is found. Cosines are computed of the nodes that the walk comes
+    to, none else, and those of the result once more in double precision.
     """
     n = len(u)
     width = max(map(len, links), default=0)
     if n < 2 or not width:
-        return np.zeros((0, 2), np.int64)
+        return
     table = np.full((n, width), -1, np.int64)
     for i, x in enumerate(links):
         table[i, : len(x)] = x
+    f = u.astype(np.float32)
     medoid = int((u @ u.mean(axis=0)).argmax())
-    found = []
-    for at in range(0, n, 1024):
-        q = np.arange(at, min(at + 1024, n))
-        sim = (u[q] @ u.T).astype(np.float32)
-        rows = np.arange(len(q))
-        seen = np.zeros(sim.shape, bool)
-        visited = np.zeros(sim.shape, bool)
+    for at in range(0, n, _BLOCK):
+        q = np.arange(at, min(at + _BLOCK, n))
+        seen, visited = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
         seen[:, medoid] = True
-        live = rows
-        # Greedy phase: the candidates seen, bounded by the beam, best first.
-        best = np.full((len(q), beam), -1, np.int64)
-        best[:, 0] = medoid
+        best, value = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -2, np.float32)
+        best[:, 0], value[:, 0] = medoid, f[q] @ f[medoid]
+        start = np.flatnonzero(value[:, 0] >= threshold - 1e-5)
+        found = [start * n + medoid]
+
+        def expand(rows: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(row, node, cosine) of the neighbours not seen before, each once, in the order of rows."""
+            near = table[go]  # noqa: B023
+            keys = np.unique((rows[:, None] * n + near)[near >= 0])
+            r, x = np.divmod(keys, n)
+            fresh = ~seen[r, x]  # noqa: B023
+            r, x = r[fresh], x[fresh]
+            seen[r, x] = True  # noqa: B023
+            cos = np.einsum("ij,ij->i", f[q[r]], f[x])  # noqa: B023
+            within = cos >= threshold - 1e-5
+            found.append(r[within] * n + x[within])  # noqa: B023
+            return r, x, cos
+
+        live = np.arange(len(q))
         while len(live):
-            cand = best[live]
-            open_ = (cand >= 0) & ~visited[live[:, None], np.maximum(cand, 0)]
-            more = open_.any(axis=1)
-            live, cand, open_ = live[more], cand[more], open_[more]
+            open_ = (best[live] >= 0) & ~visited[live[:, None], np.maximum(best[live], 0)]
+            live, open_ = live[open_.any(axis=1)], open_[open_.any(axis=1)]
             if not len(live):
                 break
-            go = cand[np.arange(len(live)), open_.argmax(axis=1)]
-            visited[live, go] = True
-            near = table[go]
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            seen[live[:, None].repeat(width, 1)[fresh], near[fresh]] = True
-            pool = np.concatenate((cand, np.where(fresh, near, -1)), axis=1)
-            value = np.where(pool >= 0, sim[live[:, None], np.maximum(pool, 0)], -2)
-            top = np.argsort(-value, axis=1, kind="stable")[:, :beam]
-            best[live] = np.take_along_axis(pool, top, 1)
-        # Range phase: whatever is within the range is visited too.
-        within = sim >= threshold - 1e-5
+            first = open_ & (np.cumsum(open_, axis=1) <= STEP)
+            r, c = np.nonzero(first)
+            rows, go = live[r], best[live[r], c]
+            visited[rows, go] = True
+            r, x, cos = expand(rows, go)
+            # Each query's new nodes, beside those that it holds.
+            count = np.bincount(r, minlength=len(q))
+            wide = int(count.max()) if len(r) else 0
+            if not wide:
+                continue
+            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            new, worth = np.full((len(q), wide), -1, np.int64), np.full((len(q), wide), -2, np.float32)
+            new[r, place], worth[r, place] = x, cos
+            got = np.flatnonzero(count)
+            ids, values = np.concatenate((best[got], new[got]), axis=1), np.concatenate((value[got], worth[got]), axis=1)
+            top = np.argsort(-values, axis=1, kind="stable")[:, :beam]
+            best[got], value[got] = np.take_along_axis(ids, top, 1), np.take_along_axis(values, top, 1)
+        done = 0
+        while done < len(found):  # what is found on the way is gone on from
+            keys = np.concatenate(found[done:])
+            done = len(found)
+            r, x = np.divmod(keys, n)
+            todo = ~visited[r, x]
+            if todo.any():
+                visited[r[todo], x[todo]] = True
+                expand(r[todo], x[todo])
+        r, x = np.divmod(np.concatenate(found), n)
+        a, x = q[r[q[r] != x]], x[q[r] != x]
+        exact = np.einsum("ij,ij->i", u[a], u[x]) >= threshold
+        yield a[exact], x[exact]
+
+
+def exhaustive(u: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As :func:`search`, of all rows."""
+    for at in range(0, len(u), _BLOCK):
+        a, x = np.nonzero(u[at : at + _BLOCK] @ u.T >= threshold)
+        a = a + at
+        yield a[a != x], x[a != x]
+
+
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least row that each of ``n`` rows is linked with by pairs, itself included, whatever the number of pairs."""
+    label = np.arange(n)
+    for a, b in pairs:
         while True:
-            todo, go = np.nonzero(seen & within & ~visited)
-            if not len(todo):
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            label = label[label]
+            if (label == before).all():
                 break
-            visited[todo, go] = True
-            near = table[go]
-            ok = near >= 0
-            seen[np.repeat(todo, width)[ok.ravel()], near[ok]] = True
-        a, b = np.nonzero(seen & within)
-        a = q[a]
-        keep = a != b
-        a, b = a[keep], b[keep]
-        exact = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-        found.append(np.stack((a[exact], b[exact]), axis=1))
-    return np.concatenate(found)
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+# Shards -------------------------------------------------------------------------
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -155,165 +215,219 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _deal(c: np.ndarray, overlap: int):
-    """(shard, id, v) of each vector for the shards of its nearest centres."""
+def _deal(by_path: dict[str, np.ndarray], overlap: int):
+    """(path, id, v): each vector for its path's nearest centres; those of another length than these, or without centres, as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = unit(_matrix(b.column(1))) @ c.T
-            k = min(overlap, len(c))
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            take = pa.array(np.repeat(np.arange(b.num_rows), k))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), b.column(0).take(take), b.column(1).take(take)], names=["shard", "id", "v"])
+            paths, size = np.array(b.column(0).to_pylist(), object), b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for p, s in sorted(set(zip(paths.tolist(), size.tolist(), strict=True))):
+                take = pa.array(np.flatnonzero((paths == p) & (size == s)))
+                ids, v = b.column(1).take(take), b.column(2).take(take)
+                c = by_path.get(p)
+                if c is None or c.shape[1] != s:
+                    names = pa.array([f"{p}/length {s}" if c is not None else p] * len(ids))
+                else:
+                    k = min(overlap, len(c))
+                    near = np.argsort(-(unit(_matrix(v)) @ c.T), axis=1, kind="stable")[:, :k]
+                    again = pa.array(np.repeat(np.arange(len(ids)), k))
+                    names, ids, v = pa.array([f"{p}/{x}" for x in near.ravel().tolist()]), ids.take(again), v.take(again)
+                yield pa.RecordBatch.from_arrays([names, ids, v], names=["path", "id", "v"])
 
     return run
 
 
+def _centres_of_shard(sizes: dict[str, int], most: int):
+    def run(t: pa.Table) -> pa.Table:
+        p = t.column("path")[0].as_py()
+        c = centres(unit(_matrix(t.column("v"))), min(CENTRES_OF_SHARD, max(2, -(-2 * sizes[p] // most))))
+        return pa.table({"path": pa.array([p] * len(c)), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def shards(rows: DataFrame, shard: int = SHARD, most: int = SHARD_MOST, overlap: int = OVERLAP, split: bool = True) -> DataFrame:
+    """(shard string, id, v): every vector in the shards of its ``overlap`` nearest centres, of at most about ``most`` vectors.
+
+    The first centres come from a bounded sample. Shards beyond ``most`` get centres of their own, all in one job, from a
+    bounded sample of each. What still is too large, being too alike, falls into tiles by a hash, and any two tiles
+    make a shard, so that all its pairs meet; without ``split`` all that is too large does. Vectors of another length than most have meet among themselves.
+    """
+    deal = "path string, id long, v array<double>"
+    got = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if got is None:
+        return rows.select(F.lit("").alias("shard"), "id", "v")
+    sample = rows.where(F.size("v") == got["n"]).select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    top = centres(unit(_matrix(sample.column(0))), min(max(1, -(-got["count"] // shard)), CENTRES))
+    level = checkpointed(rows.select(F.lit("").alias("path"), "id", "v").mapInArrow(_deal({"": top}, overlap), deal))
+    sizes = {r["path"]: r["count"] for r in level.groupBy("path").count().where(F.col("count") > most).collect()}
+    if sizes and split:
+        share = F.create_map(*[x for p, s in sizes.items() for x in (F.lit(p), F.lit(int(min(1.0, SAMPLE_OF_SHARD / s) * (1 << 31))).cast("long"))])
+        big = F.col("path").isin(list(sizes)) & ~F.contains("path", F.lit("length"))
+        some = level.where(big & (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 31)) < F.element_at(share, F.col("path"))))
+        lower: dict[str, list] = {}
+        for r in some.groupBy("path").applyInArrow(_centres_of_shard(sizes, most), "path string, c array<double>").collect():
+            lower.setdefault(r["path"], []).append(r["c"])
+        split = level.where(F.col("path").isin(list(lower))).mapInArrow(_deal({p: np.array(c) for p, c in lower.items()}, 2), deal).dropDuplicates(["path", "id"])
+        level = checkpointed(level.where(~F.col("path").isin(list(lower))).union(split))
+    n = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(2 * F.col("n") / most).cast("int")).where(F.col("n") > most)
+    tiled = level.join(F.broadcast(n.select("path", "tiles")), "path", "left")  # no more rows than there are centres
+    mine = F.pmod(F.xxhash64("path", "id"), F.col("tiles")).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: (k != mine) | (F.col("tiles") == 1))
+    names = F.transform(other, lambda k: F.concat_ws("-", F.concat_ws("/", "path", F.least(mine, k).cast("string")), F.greatest(mine, k).cast("string")))
+    return tiled.select(F.explode(F.when(F.col("tiles").isNull(), F.array("path")).otherwise(names)).alias("shard"), "id", "v")
+
+
 def _build_shard(t: pa.Table) -> pa.Table:
     ids = t.column("id").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
     links = build(unit(_matrix(t.column("v"))[order]).astype(np.float32))
     src = np.repeat(ids, [len(x) for x in links])
-    dst = ids[np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in links]]).astype(np.int64)]
+    dst = ids[np.concatenate([np.zeros(0, np.int64), *links]).astype(np.int64)]
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def _search_shard(threshold: float):
+_FOUND = "id long, links long, around long, least long"
+
+
+def _search_shard(threshold: float, walk: bool):
+    """(id, links, around, least) of a shard's vectors: how many others it links them with, how many rows these are, and the least id linked there.
+
+    A pair that meets in several shards counts in the first of these only.
+    """
+
     def run(t: pa.Table) -> pa.Table:
+        here = t.column("shard")[0].as_py()
         ids = t.column("id").to_numpy()
         order = np.argsort(ids)
-        ids = ids[order]
+        ids, copies = ids[order], t.column("copies").to_numpy()[order]
         u = unit(_matrix(t.column("v"))[order])
-        listed = t.column("near").to_pylist()
-        links = []
-        for i in order.tolist():
-            x = np.array(sorted(listed[i] or ()), np.int64)
-            at = np.searchsorted(ids, x)
-            at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == x)] if len(x) else at
-            links.append(at)
-        pairs = search(u, links, threshold)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
-        return pa.table({"a": pa.array(ids[pairs[:, 0]], pa.int64()), "b": pa.array(ids[pairs[:, 1]], pa.int64())})
+        # Of the shards that others of this shard are in before it, a column each: pairs that share one count there.
+        listed = t.column("shards").to_pylist()
+        before = [[s for s in listed[i] if s < here] for i in order.tolist()]
+        names = {s: k for k, s in enumerate(sorted({s for x in before for s in x}))}
+        wide = max(map(len, before), default=0)
+        earlier = np.full((len(ids), wide), -1, np.int64)
+        for i, x in enumerate(before):
+            earlier[i, : len(x)] = [names[s] for s in x]
+        if walk:
+            near, links = t.column("near").to_pylist(), []
+            for i in order.tolist():
+                x = np.array(sorted(near[i] or ()), np.int64)
+                at = np.searchsorted(ids, x)
+                links.append(at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == x)])
+            pairs = search(u, links, threshold)
+        else:
+            pairs = exhaustive(u, threshold)
+        n, around = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in pairs:
+                new = np.ones(len(a), bool)
+                for k in range(wide):
+                    for m in range(wide):
+                        new &= (earlier[a, k] != earlier[b, m]) | (earlier[a, k] < 0)
+                n[:] += np.bincount(a[new], minlength=len(ids))
+                around[:] += np.bincount(a[new], copies[b[new]], len(ids)).astype(np.int64)
+                yield a, b
+
+        least = ids[forest(len(ids), counted())]
+        some = (n > 0) | (least != ids)
+        return pa.table({"id": ids[some], "links": n[some], "around": around[some], "least": least[some]})
 
     return run
 
 
-def _shards(rows: DataFrame, shard: int, most: int, overlap: int) -> DataFrame:
-    """(shard string, id, v): every vector in ``overlap`` shards of at most about ``most`` vectors.
+def linked(rows: DataFrame, threshold: float = 0.9, shard: int = SHARD, most: int = SHARD_MOST, overlap: int = OVERLAP, walk: bool = True) -> DataFrame:
+    """(id, links, around, least) for the different vectors ``rows`` (id, v, copies) and each shard in which it is linked.
 
-    Centres come from a bounded sample. A shard that holds more than ``most``
-    is clustered again by itself, and so on; where a shard's vectors are too alike for
-    that (it does not get smaller), its size stays.
+    ``links`` and ``around`` add up, over shards, to the number of other vectors at cosine ``threshold`` or more, verified in double precision, and
+    of their copies; ``least`` ties the vector to another one. So a group of near copies gives rows for its members, not for its
+    pairs. With ``walk`` each shard builds a graph, a vector's adjacency lists from all its shards are united, and every shard is searched
+    along the united lists; without, all vectors of a shard are compared.
     """
-    n = rows.count()
-    level = rows.select(F.lit("").alias("path"), "id", "v")
-    done, sizes = [], {"": n}
-    for depth in range(4):
-        big = {p: s for p, s in sizes.items() if s > (most if depth else 0)}
-        if not big:
-            break
-        if depth:
-            done.append(level.where(~F.col("path").isin(list(big))))
-            level = level.where(F.col("path").isin(list(big)))
-        parts = []
-        for p, s in big.items():
-            mine = level.where(F.col("path") == p)
-            got = mine.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-            sample = unit(_matrix(got.column(0))) if got.num_rows else np.zeros((0, 1))
-            k = min(max(1, -(-s // (shard if not depth else most // 2))), 512)
-            c = centres(sample, k)
-            dealt = mine.select("id", "v").mapInArrow(_deal(c, overlap if not depth else 2), "shard long, id long, v array<double>")
-            parts.append(dealt.select(F.concat(F.lit(p), F.lit("/"), F.col("shard").cast("string")).alias("path"), "id", "v"))
-        level = parts[0]
-        for x in parts[1:]:
-            level = level.union(x)
-        level = checkpointed(level.dropDuplicates(["path", "id"]) if depth else level)
-        sizes = {r["path"]: r["count"] for r in level.groupBy("path").count().collect()}
-    done.append(level)
-    out = done[0]
-    for x in done[1:]:
-        out = out.union(x)
-    return out.withColumnRenamed("path", "shard")
-
-
-def links(rows: DataFrame, threshold: float = 0.9, shard: int = SHARD, most: int = SHARD_MOST, overlap: int = OVERLAP) -> DataFrame:
-    """(a, b), a < b: pairs of ids of the different vectors ``rows`` (id, v) at cosine ``threshold`` or more, verified in double precision."""
-    dealt = checkpointed(_shards(rows, shard, most, overlap))
-    edges = dealt.groupBy("shard").applyInArrow(_build_shard, "src long, dst long")
-    union = edges.groupBy("src").agg(F.collect_set("dst").alias("near"))
-    ready = dealt.join(union, dealt["id"] == union["src"], "left").select("shard", "id", "v", "near")
-    return ready.groupBy("shard").applyInArrow(_search_shard(threshold), "a long, b long").distinct()
-
-
-def audit(rows: DataFrame, pairs: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of ``queries`` vectors, chosen by a hash and compared with all others, that ``pairs`` holds."""
-    q = rows.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(queries).toArrow()
-    if not q.num_rows:
-        return 1.0
-    ids, u = q.column("id").to_numpy(), unit(_matrix(q.column("v")))
+    dealt = checkpointed(shards(rows.select("id", "v"), shard, most, overlap, walk))
+    own = dealt.groupBy("id").agg(F.collect_set("shard").alias("shards")).join(rows.select("id", "copies"), "id")
+    ready = dealt.join(own, "id")
+    if walk:
+        edges = dealt.groupBy("shard").applyInArrow(_build_shard, "src long, dst long")
+        union = edges.groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("near"))
+        ready = ready.join(union, "id", "left")
+    return ready.groupBy("shard").applyInArrow(_search_shard(threshold, walk), _FOUND)
+
+
+def audit(rows: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> tuple[int, int]:
+    """(links found, true links) of ``queries`` vectors, chosen by a hash and compared with all others."""
+    q = rows.select("id", "v", F.size("v").alias("n")).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(queries).toArrow()
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for s in set(q.column("n").to_pylist()):
+        part = q.filter(pc.equal(q.column("n"), s))
+        by_size[s] = part.column("id").to_numpy(), unit(_matrix(part.column("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = np.nonzero(u @ unit(_matrix(b.column(1))).T >= threshold)
-                other = b.column(0).to_numpy()[y]
-                keep = ids[x] != other
-                a, c = ids[x][keep], other[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
-
-    true = rows.select("id", "v").mapInArrow(run, "a long, b long").distinct()
-    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).first()
-    return got["hit"] / got["n"] if got["n"] else 1.0
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for s, (ids, u) in by_size.items():
+                take = pa.array(np.flatnonzero(size == s))
+                if len(take):
+                    near = u @ unit(_matrix(b.column(1).take(take))).T >= threshold
+                    near &= ids[:, None] != b.column(0).take(take).to_numpy()[None]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(axis=1))], names=["id", "n"])
+
+    true = rows.select("id", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    got = found.groupBy("id").agg(F.sum("links").alias("links"))
+    r = true.join(got, "id", "left").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    return r["links"], r["n"]
+
+
+def usable(v: str) -> Column:
+    """Whether a vector has a direction: no null or non-finite component, and one that isn't zero."""
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(sound, F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, least_recall: float = 0.9) -> DataFrame:
-    """(id_col, n_links, component_id, kept, audited_recall) for every row of ``vectors``.
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, least_recall: float = 0.9, shard: int = SHARD, most: int = SHARD_MOST) -> DataFrame:
+    """(id_col, n_links, component_id, kept, audited_recall, audited_links) for every row of ``vectors``.
 
-    Equal vectors become one before the graph is built. Each shard builds a
-    pruned graph; a vector's adjacency lists from all its shards are united, and every
-    shard is searched along the united lists. Links are symmetric; ``n_links`` counts
+    Equal vectors become one before the graph is built. Links are symmetric; ``n_links`` counts
     other rows, copies included. Where the audit finds less than ``least_recall``
-    of the true links, the index is built once more with twice the overlap. Vectors that are null, zero,
-    hold null or non-finite components or have an unusual length link with nothing. Repeated ids are rows of their
+    of the true links, the index is built once more with twice the overlap, and after that all vectors are compared;
+    ``audited_links`` is the number of true links that the audit knows of (null recall without any). Vectors that are null, zero,
+    or hold null or non-finite components link with nothing; others link with those of their own length. Repeated ids are rows of their
     own that are counted as copies; a null id links, but is never a component's
     id unless it is alone. An empty table gives an empty result.
     """
-    rows = usable(vectors, id_col, vector_col)
-    groups = checkpointed(rows.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    # The least id stands for equal vectors, a hash where none of them has one or it is repeated.
-    same_id = Window.partitionBy(F.coalesce("least", F.xxhash64("v")))
-    named = groups.withColumn("n", F.count(F.lit(1)).over(same_id)).select(
-        F.when(F.col("least").isNull() | (F.col("n") > 1), F.xxhash64("v")).otherwise(F.col("least")).alias("id"), "v", "least", "copies"
-    )
-    named = checkpointed(named)
-    distinct = named.select("id", "v")
-    overlap = OVERLAP
-    while True:
-        pairs = checkpointed(links(distinct, threshold, overlap=overlap))
-        recall = audit(distinct, pairs, threshold)
-        if recall >= least_recall or overlap > OVERLAP:
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = checkpointed(rows.withColumn("ok", usable("v"))).withColumn("row", F.monotonically_increasing_id())
+    sound = rows.where("ok").select("row", F.col("id").alias("own"), F.xxhash64("v").alias("one"), F.xxhash64(F.lit(7), "v").alias("two"))
+    groups = sound.groupBy("one", "two").agg(F.min("row").alias("id"), F.min("own").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    members = checkpointed(sound.join(groups, ["one", "two"]).select("row", "own", "id", "least_id", "copies"))
+    heads = members.where("row = id").select("id", "least_id", "copies")
+    distinct = checkpointed(rows.where("ok").select("row", "v").join(heads, F.col("row") == F.col("id")).select("id", "v", "copies"))
+    recall, true = None, 0
+    for overlap, walk in ((OVERLAP, True), (2 * OVERLAP, True), (1, False)):
+        if walk:
+            found = checkpointed(linked(distinct, threshold, shard, most, overlap))
+        else:  # one shard, in tiles that all pairs meet in
+            found = checkpointed(linked(distinct, threshold, 1 << 62, most, 1, walk=False))
+        hit, true = audit(distinct, found, threshold)
+        recall = hit / true if true else None
+        if recall is None or recall >= least_recall:
             break
-        overlap *= 2
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = named.select(F.col("id").alias("b"), "copies")
-    linked = both.join(sizes, "b").groupBy("a").agg(F.sum("copies").alias("around"))
-    tied = connected_components(pairs, "a", "b")
-    members = named.select("id", "least", "copies", "v").join(tied, named["id"] == tied["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    roots = members.groupBy("component").agg(F.min("least").alias("root"))
-    labels = members.join(roots, "component").join(linked, members["id"] == linked["a"], "left")
-    labels = labels.select("v", (F.col("copies") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), "root")
-    v = F.col(vector_col).cast("array<double>")
-    all_rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    out = all_rows.join(labels, "v", "left")
-    component = F.when(F.col("n_links") > 0, F.col("root")).otherwise(F.col("id"))
+    sums = found.groupBy("id").agg(F.sum("around").alias("around"))
+    tied = connected_components(found.select("id", "least"), "id", "least")
+    labels = heads.join(tied, heads["id"] == tied["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    roots = labels.groupBy("component").agg(F.min("least_id").alias("root"))
+    labels = labels.join(roots, "component").join(sums, "id", "left").select("id", "root", F.coalesce("around", F.lit(0)).alias("around"))
+    mine = members.join(labels, "id").select("row", (F.col("copies") - 1 + F.col("around")).alias("n_links"), "root")
+    out = rows.select("row", "id").join(mine, "row", "left")
+    component = F.coalesce(F.when(F.col("n_links") > 0, F.col("root")), F.col("id"))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(component, F.col("id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce(component, F.col("id")), F.lit(True)).alias("kept"),
-        F.lit(float(recall)).alias("audited_recall"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.lit(recall).cast("double").alias("audited_recall"),
+        F.lit(true).cast("long").alias("audited_links"),
     )
-
