@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from weft.llm import suffixes
+from weft.llm import suffix_sort, suffixes
 
 
 def brute(rows, length=100):
@@ -77,3 +77,27 @@ def test_groups_over_batches():
     run = suffixes._compare(100)
     total = lambda size: sorted((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()) for b in run(as_batch(rows[i : i + size]) for i in range(0, 200, size)) for i in range(b.num_rows) if b.column(2)[i].as_py() > 0)
     assert total(1) == total(7) == total(200)
+
+
+def test_distributed_sort_is_the_sorted_order(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab") for _ in range(r.choice((1, 2, 3, 7, 40)))) for _ in range(12)]
+    rows = [(s, i, ord(c)) for s, t in enumerate(texts) for i, c in enumerate(t)]
+    d = spark.createDataFrame(rows, "s long, i long, c long")
+    got = suffix_sort.suffix_ranks(d, 64).orderBy("rank").collect()
+    suffixes_in_order = [texts[x["s"]][x["i"] :] for x in got]
+    assert suffixes_in_order == sorted(suffixes_in_order) and len(got) == len(rows)
+
+
+def test_distributed_sort_finds_the_repeats(spark):
+    r = random.Random(9)
+    part = "".join(r.choice("abc ") for _ in range(60))
+    texts = ["".join(r.choice("abcde ") for _ in range(30)) + part + "".join(r.choice("abcde ") for _ in range(r.randint(0, 9))) for _ in range(6)] + ["é" * 30, "", None, "x" * 50]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        for i in range(len(raw) - 19):
+            (want if raw[i : i + 20] in seen else set()).add((k, i))
+            seen.add(raw[i : i + 20])
+    assert {tuple(x) for x in suffix_sort.repeated_strings(d, length=20).collect()} == want
