@@ -352,3 +352,72 @@ def test_forest():
 
 def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_score_is_that_of_plain_loops():
+    n = quality.Network(3)
+    p = {k: v.astype(float) for k, v in n.p.items()}
+    for text in ("", "a", "Some words, and äöü 漢字. " * 9, "x" * 700):
+        raw = list(text.encode())
+        size = max(2, -(-len(raw) // quality.HALF)) * quality.HALF
+        raw += [256] * (size + quality.WIDTH - 1 - len(raw))
+        response = [[sum(p["embed"][raw[i + k]][e] * p["filters"][k * quality.EMBED + e][f] for k in range(quality.WIDTH) for e in range(quality.EMBED)) for f in range(quality.FILTERS)] for i in range(size)]
+        chunks = [[max(response[j][f] for j in range(at, at + 2 * quality.HALF)) for f in range(quality.FILTERS)] for at in range(0, size - quality.HALF, quality.HALF)]
+        hidden = [[np.tanh(sum(c[f] * p["hidden"][f][h] for f in range(quality.FILTERS)) + p["hidden0"][h]) for h in range(quality.HIDDEN)] for c in chunks]
+        means = [sum(x[h] for x in hidden) / len(hidden) for h in range(quality.HIDDEN)]
+        tops = [max(x[h] for x in hidden) for h in range(quality.HIDDEN)]
+        z = sum(v * w for v, w in zip(means + tops, p["out"], strict=True)) + p["out0"][0]
+        assert abs(n.score(text) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def _found_by_loops(text, model):
+    """(part, family) of the parts and runs that declare a licence, by trying all of them."""
+    parts = [licences._words(x) for x in text.split("\n")]
+    notices = [(f, licences._pairs(t)) for f, t in licences.NOTICES]
+    seen = []
+    for i, first in enumerate(parts):
+        for j in range(i, len(parts)):
+            between = sum(map(len, parts[i + 1 : j]))
+            if not parts[j] or not first or between > licences.WRAPPED:
+                break
+            w = first if i == j else [*first[-licences.WRAPPED :], *[x for y in parts[i + 1 : j] for x in y], *parts[j][: licences.WRAPPED]]
+            p = model.probabilities(" ".join(w))
+            family = max(p, key=lambda k: (p[k], k))
+            pairs = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+            overlap = max((len(q & pairs) / len(q) for f, q in notices if f == family), default=0)
+            if family != licences.UNKNOWN and p[family] >= 0.5 and overlap >= licences.OVERLAP - 1e-9:
+                seen.append((i, j, family, round(overlap, 6)))
+    alone = {(i, f) for i, j, f, _ in seen if i == j}
+    out = set()
+    for i, j, f, o in seen:
+        inside = [x for x in seen if x[2] == f and x[:2] != (i, j) and i <= x[0] and x[1] <= j and (x[0] == x[1] or x[3] >= o)]
+        if i == j or not inside:
+            out.add((i, j, f, o))
+    rank = lambda x: (x[0] == x[1], x[3], x[0] - x[1], -x[0])
+    meets = lambda x, y: x[2] == y[2] and y[0] <= x[1] and x[0] <= y[1]
+    kept = {x for x in out if x[0] == x[1] or not any(meets(x, y) and rank(y) > rank(x) for y in out)}
+    assert {(i, f) for i, j, f, _ in kept if i == j} == alone
+    return sorted((i, f) for i, _, f, _ in kept)
+
+
+def test_licences_are_those_of_plain_loops(spark):
+    r = random.Random(13)
+    filler = ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 8))) for _ in range(80)]
+    say = lambda n: " ".join(r.choice(filler) for _ in range(n))
+    texts = []
+    for k in range(40):
+        lines = []
+        for _ in range(r.randint(1, 4)):
+            notice = r.choice(licences.NOTICES)[1].split()
+            if r.random() < 0.4:
+                notice = [w for w in notice if r.random() > 0.2]
+            width = r.choice((3, 6, 12, 99))
+            lines += [say(r.randint(0, 6)), *[" ".join(notice[i : i + width]) for i in range(0, len(notice), width)], r.choice(("", say(5), r.choice(licences.OTHERS)))]
+        texts.append("\n".join(lines))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in licences.scan(d).collect():
+        got.setdefault(x["doc_id"], []).append((x["paragraph"], x["family"]))
+    m = licences.fitted()
+    for k, t in enumerate(texts):
+        assert sorted(got.get(k, [])) == _found_by_loops(t, m), t
