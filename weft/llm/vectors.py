@@ -24,6 +24,8 @@ DEGREE, ALPHA, BEAM, STEP = 24, 1.2, 48, 4
 #: Vectors looked up exactly, in the audit of recall.
 AUDIT = 200
 _BLOCK = 512
+#: Cosines in single precision that are nearer to the threshold are computed once more.
+_DOUBT = 1e-4
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,7 +113,7 @@ def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int =
 
     From the medoid each query keeps the ``beam`` nearest seen and visits the nearest not visited; when none is left
     it goes on from everything within the range until nothing new there is found. Cosines are computed of the nodes that the walk comes
-    to, none else, and those of the result once more in double precision.
+    to, none else, and those near the threshold once more in double precision.
     """
     n = len(u)
     width = max(map(len, links), default=0)
@@ -128,8 +130,17 @@ def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int =
         seen[:, medoid] = True
         best, value = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -2, np.float32)
         best[:, 0], value[:, 0] = medoid, f[q] @ f[medoid]
-        start = np.flatnonzero(value[:, 0] >= threshold - 1e-5)
-        found = [start * n + medoid]
+        found: list[np.ndarray] = []
+
+        def keep(r: np.ndarray, x: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows and nodes that are within the range; single precision decides where it can."""
+            ok = cos >= threshold + _DOUBT
+            doubt = np.flatnonzero(np.abs(cos - threshold) < _DOUBT)
+            ok[doubt] = np.einsum("ij,ij->i", u[q[r[doubt]]], u[x[doubt]]) >= threshold  # noqa: B023
+            found.append(r[ok] * n + x[ok])  # noqa: B023
+            return r[ok], x[ok]
+
+        keep(np.arange(len(q)), np.full(len(q), medoid), value[:, 0])
 
         def expand(rows: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """(row, node, cosine) of the neighbours not seen before, each once, in the order of rows."""
@@ -140,8 +151,7 @@ def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int =
             r, x = r[fresh], x[fresh]
             seen[r, x] = True  # noqa: B023
             cos = np.einsum("ij,ij->i", f[q[r]], f[x])  # noqa: B023
-            within = cos >= threshold - 1e-5
-            found.append(r[within] * n + x[within])  # noqa: B023
+            keep(r, x, cos)  # noqa: B023
             return r, x, cos
 
         live = np.arange(len(q))
@@ -167,19 +177,26 @@ def search(u: np.ndarray, links: list[np.ndarray], threshold: float, beam: int =
             ids, values = np.concatenate((best[got], new[got]), axis=1), np.concatenate((value[got], worth[got]), axis=1)
             top = np.argsort(-values, axis=1, kind="stable")[:, :beam]
             best[got], value[got] = np.take_along_axis(ids, top, 1), np.take_along_axis(values, top, 1)
-        done = 0
-        while done < len(found):  # what is found on the way is gone on from
-            keys = np.concatenate(found[done:])
-            done = len(found)
-            r, x = np.divmod(keys, n)
-            todo = ~visited[r, x]
-            if todo.any():
-                visited[r[todo], x[todo]] = True
-                expand(r[todo], x[todo])
+        # What is found on the way is gone on from, node by node for all queries that have come to it.
+        front = np.zeros((len(q), n), bool)
+        front.ravel()[np.concatenate(found)] = True
+        front &= ~visited
+        while front.any():
+            visited |= front
+            more = np.zeros_like(front)
+            for x in np.flatnonzero(front.any(axis=0)).tolist():
+                here = np.flatnonzero(front[:, x])
+                near = links[x]
+                r, c = np.nonzero(~seen[here[:, None], near])
+                if len(r):
+                    r, y = here[r], near[c]
+                    seen[r, y] = True
+                    r, y = keep(r, y, np.einsum("ij,ij->i", f[q[r]], f[y]))
+                    more[r, y] = True
+            front = more & ~visited
         r, x = np.divmod(np.concatenate(found), n)
-        a, x = q[r[q[r] != x]], x[q[r] != x]
-        exact = np.einsum("ij,ij->i", u[a], u[x]) >= threshold
-        yield a[exact], x[exact]
+        other = q[r] != x
+        yield q[r[other]], x[other]
 
 
 def exhaustive(u: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
