@@ -75,8 +75,8 @@ def remove_spread_lines(
     hit = mine.join(spread, "key", "left_semi").groupBy("_id", "_text").agg(F.collect_list("at").alias("_spread"))
     out = docs.drop("n_lines", "n_spread", "n_removed")
     out = out.join(hit, out[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(out[text_col]) == hit["_text"]), "left").drop("_id", "_text")
-    lines = _lines(text_col)
-    # Places are told apart by a hash set, so that a long document costs no more than its lines.
+    # The lines are a column, split once; places are told apart by a hash set, so that a long document costs no more than its lines.
+    out, lines = out.withColumn("_lines", _lines(text_col)), F.col("_lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_spread"))
     own = F.transform(left, lambda i: F.get(lines, i))
     out = out.withColumn("_own", F.when(F.col("_spread").isNotNull(), own))
