@@ -90,8 +90,8 @@ def paths(pairs: DataFrame, edges: DataFrame, most_hops: int = 3, most: int = 10
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node_id, community): labels such that no node has a label less often around it than another one.
 
-    A node takes the most frequent label around it, the least of ties, if its own is rarer; in each round about
-    half of the nodes may, by a hash of their id and the round, so that neighbours don't swap labels for ever. Each round is one
+    A node takes the most frequent label around it, the least of ties, if its own is rarer. Rounds let labels become smaller and
+    larger in turns, and from the sixteenth on about half of the nodes, by a hash of their id and the round, so that neighbours don't swap labels for ever. Each round is one
     join and one aggregation with a checkpoint behind it. Not having come to rest after ``rounds`` is an error. Isolated
     nodes keep their own label; edges to nodes that don't exist count for nothing.
     """
@@ -102,9 +102,11 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) ->
         mine = label.select(F.col("node_id").alias("a"), F.col("community").alias("own"))
         best = votes.join(mine, "a").groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("n"))).alias("have"))
         wants = -F.col("top.n") > F.coalesce("have", F.lit(0))
-        best = best.where(wants).select("a", F.col("top.community").alias("new"), (F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0).alias("may"))
+        best = best.where(wants).select("a", F.col("top.community").alias("new"))
         new = label.join(best, F.col("node_id") == F.col("a"), "left")
-        new = cut(new.select("node_id", F.when(F.col("may"), F.col("new")).otherwise(F.col("community")).alias("community"), F.col("new").isNotNull().alias("restless")))
+        may = (F.col("new") < F.col("community")) == F.lit(k % 2 == 0)
+        may = may if k < 16 else may & (F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0)
+        new = cut(new.select("node_id", F.when(may, F.col("new")).otherwise(F.col("community")).alias("community"), F.col("new").isNotNull().alias("restless")))
         label = new.select("node_id", "community")
         if new.where("restless").isEmpty():
             return label

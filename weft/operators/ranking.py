@@ -115,17 +115,21 @@ def phrase_bonus(queries: DataFrame, query_id: str, query_text: str, docs: DataF
     Words are runs of letters and digits in lower case. Phrases meet in an equi-join, each once a query and a field,
     so no text is looked through for another's. Null texts have no phrases.
     """
-    empty = F.array().cast("array<string>")
-
-    def phrases(c: str) -> Column:
-        w = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        join = lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-        return F.array_distinct(F.concat(F.when(F.size(w) >= 2, join(2)).otherwise(empty), F.when(F.size(w) >= 3, join(3)).otherwise(empty)))
 
-    asked = queries.select(query_id, F.explode(phrases(query_text)).alias("phrase")).distinct()
+    def phrases(rows: DataFrame, c: str, key: str) -> DataFrame:
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+        w = rows.select(F.col(key), words.alias("_w"))  # a column, so that it is split once
+        n = F.size("_w")
+        two = F.transform("_w", lambda x, i: F.concat_ws(" ", x, F.get("_w", i + 1)))
+        three = F.transform("_w", lambda x, i: F.concat_ws(" ", x, F.get("_w", i + 1), F.get("_w", i + 2)))
+        first = lambda a, k: F.slice(a, F.lit(1), F.greatest(n - k, F.lit(0)))
+        return w.select(key, F.explode(F.concat(first(two, 1), first(three, 2))).alias("phrase"))
+
+    asked = phrases(queries, query_text, query_id).distinct()
+    wanted = asked.select("phrase").distinct()
     found = None
     for field, value in points.items():
-        mine = docs.select(id_col, F.explode(phrases(field)).alias("phrase"), F.lit(float(value)).alias("p"))
+        mine = phrases(docs, field, id_col).join(wanted, "phrase", "left_semi").distinct().withColumn("p", F.lit(float(value)))
         found = mine if found is None else found.union(mine)
     return asked.join(found, "phrase").groupBy(query_id, id_col).agg(F.sum("p").alias("bonus"))
 
