@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontam, html_text, licences, line_dedup, pieces, quality, simhash, suffixes, vectors
+from weft.llm import chat, decontam, html_text, licences, line_dedup, pieces, quality, simhash, substrings, suffixes, vectors
 from weft.llm.common import table
 
 
@@ -65,11 +65,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicated(table(spark, sf_dir, "documents"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_vector_graph, op3_decontaminate, op4_quality, op5_line_dedup, op6_chat_format, op7_html_text, op8_licences, op9_suffix_dedup,
-        op10_sentencepiece,
+        op10_sentencepiece, op13_substring_dedup,
     )
 }
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -108,4 +113,11 @@ e AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM s WINDOW o AS
 k AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(hex(raw[e.a + 1:coalesce(e.b, octet_length(raw))]), '' ORDER BY e.a), ''))) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id),
 n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(raw)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op13_substring_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 13], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+r AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i FROM x QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id), range(13) t(k)),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM d),
+k AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY j)) AS kept FROM v ANTI JOIN r USING (doc_id, j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS removed, count(*) FILTER (new) AS runs FROM (SELECT doc_id, coalesce(j > lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 1, true) AS new FROM r) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256, coalesce(runs, 0) AS n_repeats FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
