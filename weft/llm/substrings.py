@@ -147,12 +147,16 @@ def _span() -> Column:
 
 
 def spans(docs: DataFrame, length: int = 13, gram: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tag, text) of all rows, and (doc_id, tag, gone): packed starts and numbers of the windows that a smaller document holds."""
+    """(doc_id, tag, text) of all rows, and (doc_id, tag, gone): packed starts and numbers of the windows that a smaller document holds.
+
+    The tag is from the text's hash, negative for a null id. No key is null and both joins with the texts read the same columns, so that one exchange of the texts serves both.
+    """
     if not 1 <= gram <= length:
         raise ValueError("a seed is no longer than a window")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    texts = texts.withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id")
+    hashed = F.shiftrightunsigned(F.xxhash64(text), 33)
+    texts = docs.select(place, F.when(F.col("doc_id").cast("long").isNull(), -1 - hashed).otherwise(hashed).alias("tag"), text.alias("text"))
     words = F.transform(F.filter(F.split("text", SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words")
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +180,13 @@ def spans(docs: DataFrame, length: int = 13, gram: int = 5) -> tuple[DataFrame,
             doc = doc[start]
             yield _rows(window, np.zeros(len(start), np.uint64), ids, tags, doc, start - base[doc], many)
 
-    known = texts.where("doc_id is not null")
-    met = _least_stay(known.select("doc_id", "tag", words).mapInArrow(sow, _ROW)).where("later or several")
+    met = _least_stay(texts.where("tag >= 0").select("doc_id", "tag", words).mapInArrow(sow, _ROW)).where("later or several")
     met = met.groupBy("doc_id", "tag").agg(
         F.collect_list(F.when(F.col("later"), _span())).alias("gone"), F.collect_list(F.when(~F.col("later"), _span())).alias("asked")
     )
     met = checkpointed(met)
     asked = met.where(F.size("asked") > 0).select("doc_id", "tag", "asked").hint("shuffle_hash")
-    opened = known.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", words, "asked").mapInArrow(extend, _ROW)
+    opened = texts.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", words, "asked").mapInArrow(extend, _ROW)
     opened = _least_stay(opened).where("later").groupBy("doc_id", "tag").agg(F.collect_list(_span()).alias("gone"))
     gone = met.where(F.size("gone") > 0).select("doc_id", "tag", "gone").union(opened)
     return texts, gone.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("gone")).alias("gone"))
@@ -229,5 +232,5 @@ def deduplicated(docs: DataFrame, length: int = 13, gram: int = 5) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    found = texts.join(gone.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "gone")
+    found = texts.join(gone.hint("shuffle_hash"), ["doc_id", "tag"], "left").select(F.when(F.col("tag") >= 0, F.col("doc_id")).alias("doc_id"), "text", "gone")
     return found.mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, repeats array<struct<first_word long, n_words long>>")
