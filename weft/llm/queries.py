@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontam, html_text, licences, line_dedup, pieces, quality, simhash, substrings, suffixes, vectors
+from weft.llm import chat, decontam, html_text, licences, line_dedup, negatives, pieces, quality, repair, simhash, substrings, suffixes, vectors
 from weft.llm.common import table
 
 
@@ -65,6 +65,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).withColumn("label", shifted)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(repair.damaged(turns), turns)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicated(table(spark, sf_dir, "documents"), length=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
@@ -74,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_vector_graph, op3_decontaminate, op4_quality, op5_line_dedup, op6_chat_format, op7_html_text, op8_licences, op9_suffix_dedup,
-        op10_sentencepiece, op13_substring_dedup,
+        op10_sentencepiece, op11_hard_negatives, op12_structure_repair, op13_substring_dedup,
     )
 }
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -113,6 +124,40 @@ e AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM s WINDOW o AS
 k AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(hex(raw[e.a + 1:coalesce(e.b, octet_length(raw))]), '' ORDER BY e.a), ''))) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id),
 n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, octet_length(raw) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, coalesce(kept, sha256(raw)) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op12_structure_repair": r"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS k FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM h, range(CASE WHEN k = 3 THEN 2 ELSE 1 END) WHERE k <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM n),
+ins(p, j, q) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+edit(q, initial, e, t, c) AS (SELECT q, '*', 'D', q, 3 FROM range(4) s(q) UNION ALL SELECT q, '*', 'R', CASE WHEN q = 2 THEN 3 ELSE 2 END, 2 FROM range(4) s(q)
+  UNION ALL VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (3, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0)),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM f
+  UNION ALL SELECT conv_id, i, state, cost, audit FROM (
+    SELECT f.conv_id, f.i, CAST(edit.t AS BIGINT) AS state, CAST(dp.cost + 2 * ins.j + edit.c + CASE WHEN fault = 'truncated' AND e <> 'D' THEN 1 ELSE 0 END AS BIGINT) AS cost, dp.audit || repeat('I', ins.j) || e AS audit
+    FROM dp JOIN f ON f.conv_id = dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.p = dp.state JOIN edit ON edit.q = ins.q AND edit.initial IN ('*', f.initial) AND (e = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+z AS (SELECT conv_id, cost + 2 * len(x) AS cost, audit || x AS audit FROM dp JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) USING (conv_id, i) JOIN (VALUES (0, ''), (1, 'II'), (2, 'I'), (3, '')) s(state, x) USING (state)
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + 2 * len(x), audit || x) = 1),
+e AS (SELECT conv_id, k, edits[k + 1] AS e, CASE WHEN edits[k + 1] = 'I' THEN NULL ELSE len(list_filter(edits[1:k + 1], lambda x: x <> 'I')) END AS i,
+  len(list_filter(edits[1:k], lambda x: x <> 'D')) AS before FROM (SELECT conv_id, string_split(audit, '') AS edits, unnest(range(len(audit))) AS k FROM z WHERE audit <> '')),
+o AS (SELECT e.conv_id, e.k, e.e, f.role, f.text, e.before - coalesce(s.n, 0) AS said FROM e LEFT JOIN f ON f.conv_id = e.conv_id AND f.i = e.i
+  LEFT JOIN (SELECT e.conv_id, 1 AS n FROM e JOIN f ON f.conv_id = e.conv_id AND f.i = e.i WHERE e.e = 'K' AND f.initial = 's') s ON s.conv_id = e.conv_id),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN said % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS sha
+  FROM (SELECT conv_id, k, e, role, said, CASE WHEN e = 'I' THEN '' ELSE text END AS text FROM o WHERE e <> 'D') GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (i > 1 AND p || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM f) GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  coalesce(sha, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN a USING (conv_id) LEFT JOIN z USING (conv_id) LEFT JOIN r USING (conv_id)""",
     "op13_substring_dedup": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 x AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 13], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
 r AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i FROM x QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id), range(13) t(k)),
