@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import checkpointed
 
-#: Pivots, and rows of the sample that they are chosen from.
-PIVOTS, SAMPLE = 64, 1024
+#: Pivots at least and at most, one for so many rows in between, and rows of the sample that they are chosen from.
+FEW, PIVOTS, ROWS, SAMPLE = 4, 64, 256, 1024
 #: Rows of a block, and anchors of a slice, as a rule.
 BLOCK, SLICE = 8192, 4096
 #: Pivots that a row's bracket is taken from, besides its own.
@@ -48,13 +48,13 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate([*flat, np.zeros(0)]).reshape(-1, width) if width else np.zeros((len(column), 0))
 
 
-def _pivots(points: np.ndarray, most: float) -> np.ndarray:
-    """Up to ``PIVOTS`` of the points, each the farthest from those before it."""
+def _pivots(points: np.ndarray, most: float, number: int) -> np.ndarray:
+    """Up to ``number`` of the points, each the farthest from those before it."""
     norm = (points**2).sum(1)
     points = np.column_stack([points, np.sqrt(np.maximum(most - norm, 0))])
     chosen = [0]
     left = ((points - points[0]) ** 2).sum(1)
-    while len(chosen) < PIVOTS and left.max() > 0:
+    while len(chosen) < number and left.max() > 0:
         chosen.append(int(left.argmax()))
         left = np.minimum(left, ((points - points[chosen[-1]]) ** 2).sum(1))
     return points[chosen]
@@ -226,7 +226,7 @@ class PivotTable:
             return
         kept = kept.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("x"))))
         sample = [r["x"] for r in kept.select("x").orderBy(F.xxhash64("x"), "x").limit(SAMPLE).collect()]
-        space = _Space(_pivots(np.array(sample, float).reshape(len(sample), width), float(most)), float(most))
+        space = _Space(_pivots(np.array(sample, float).reshape(len(sample), width), float(most), min(PIVOTS, max(FEW, n // ROWS))), float(most))
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
