@@ -102,3 +102,23 @@ def test_repetitive_texts_against_repetitive_items():
     assert index.match("a " * 300_000) == [(1, 0, 100, 100)]
     assert index.match("c " + "a b " * 150_000) == [(2, 1, 80, 80)]
     assert time.time() - start < 20
+
+
+def test_long_items_of_few_words():
+    """Items and texts of 50,000 equal words and of 5,000 words of two; the latter against a plain search of every diagonal."""
+    start = time.time()
+    index = decontam.SeedIndex([(1, "a " * 50_000)])
+    assert index.match("a " * 50_000) == [(1, 0, 50_000, 50_000)]
+    assert index.match("b " + "a " * 20_000) == [(1, 1, 20_000, 20_000)]
+    r = np.random.default_rng(8)
+    item, text = (np.where(r.random(5_000) < 0.5, "a", "b") for _ in range(2))
+    index = decontam.SeedIndex([(1, " ".join(item))])
+    (found,) = index.match(" ".join(text))
+    assert time.time() - start < 20
+    assert index.match(" ".join(text), any_=True)
+    best = (0, 0, 0)
+    for shift in range(1 - len(item), len(text)):
+        i, j = max(0, -shift), min(len(item), len(text) - shift)
+        at, n, equal = decontam.longest_overlap(item[i:j] == text[i + shift : j + shift], 0.8)
+        best = max(best, (n, equal, -(at + i + shift)))
+    assert found == (1, -best[2], best[0], best[1])

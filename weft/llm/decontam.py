@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
-from hashlib import blake2b
 from itertools import combinations, repeat
 
 import numpy as np
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import LOT, lots
 
 _WORD = re.compile(r"[^\W_]+")
-#: Hits that are looked at together.
-_HITS = 1 << 20
+#: Hits, and pairs of words, that are looked at together.
+_HITS, _CELLS = 1 << 20, 1 << 18
 RESULT = "doc_id long, item_id long, first_word long, n_words int, n_equal int"
 #: A benchmark with more text than this is matched in several passes, each over a part no larger.
 BLOCK_BYTES = 16 << 20
@@ -157,12 +157,27 @@ class SeedIndex:
     def _diagonals(self, ids: np.ndarray) -> dict[int, np.ndarray]:
         """For each item hit, the shifts between its words and the text's at which a seed hits, ascending.
 
-        Hits that follow another one on their diagonal add nothing and are passed over, a bounded number at a time.
+        Hits that follow another one on their diagonal add nothing and are passed over, a bounded number at a time. An item with more hits than
+        the text and itself have diagonals several times over is hit on all of them.
         """
         found: dict[int, list[np.ndarray]] = {}
+        sought = []
         for mask, (table, who, at, before, bits) in zip(self.masks, self.tables, strict=True):
             h = self._hash(ids, mask)
             pos = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)] & (h != 0)) if len(table) else np.zeros(0, np.int64)
+            sought.append((table, who, at, before, h, pos))
+        every: dict[int, np.ndarray] = {}
+        if sum(int((np.searchsorted(t, h[pos], "right") - np.searchsorted(t, h[pos], "left")).sum()) for t, _, _, _, h, pos in sought) > _HITS:
+            hits = np.zeros(len(self.items))
+            for table, who, _, _, h, pos in sought:
+                mine = np.sort(h[pos])
+                hits += np.bincount(who, np.searchsorted(mine, table, "right") - np.searchsorted(mine, table, "left"), len(self.items))
+            for k in np.flatnonzero(hits > [4 * (len(ids) + len(t)) for _, t in self.items]).tolist():
+                every[k] = np.arange(1 - len(self.items[k][1]), len(ids))
+            if every:
+                dense = np.isin(np.arange(len(self.items)), list(every))
+                sought = [(t[keep], who[keep], at[keep], before[keep], h, pos) for t, who, at, before, h, pos in sought for keep in [~dense[who]]]
+        for table, who, at, before, h, pos in sought:
             lo, hi = np.searchsorted(table, h[pos], "left"), np.searchsorted(table, h[pos], "right")
             pos, lo, n = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             ends = np.cumsum(n)
@@ -176,41 +191,72 @@ class SeedIndex:
                 for item in np.unique(k).tolist():
                     found.setdefault(item, []).append(np.unique(shift[k == item]))
                 first = last
-        return {k: np.unique(np.concatenate(x)) for k, x in found.items()}
+        return every | {k: np.unique(np.concatenate(x)) for k, x in found.items()}
 
-    def _windows(self, ids: np.ndarray, size: int, shifts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shift, text words beside the item's, 0 beyond the text) in ascending order, of equal ones the first only."""
-        around = np.concatenate((np.zeros(size, np.int64), ids, np.zeros(size, np.int64)))
-        seen: set[bytes] = set()
-        step = max(1, _HITS // size)
+    def _longest(self, ids: np.ndarray, item: np.ndarray, shifts: np.ndarray, any_: bool) -> tuple[int, int, int] | None:
+        """(first word, words, equal words) of the longest overlap on these diagonals, or of one if any will do.
+
+        Diagonals with more words in common come first. Of each batch only those are looked at closely on which, by
+        running sums, a stretch as long as the best one so far can have the share that must be equal.
+        """
+        size, n = len(item), len(ids)
+        whole = size >= self.min_words
+        need = self.min_words if whole else size
+        common = np.minimum(size + np.minimum(shifts, 0), n - np.maximum(shifts, 0))
+        order = np.lexsort((shifts, -common))
+        shifts, common = shifts[order], common[order]
+        around = np.concatenate((np.zeros(size, np.int32), ids.astype(np.int32), np.zeros(size, np.int32)))
+        views = np.lib.stride_tricks.sliding_window_view(around, size)
+        share = Fraction(self.similarity).limit_denominator(1000)
+        kind = np.int32 if size * share.denominator < 1 << 31 else np.int64
+        loss = (-share.numerator * np.arange(size + 1)).astype(kind)
+        wanted = item.astype(np.int32)
+        best: tuple[int, int, int] | None = None
+        step = max(1, _CELLS // size)
         for i in range(0, len(shifts), step):
-            rows = around[(shifts[i : i + step] + size)[:, None] + np.arange(size)]
-            for shift, row in zip(shifts[i : i + step].tolist(), rows, strict=True):
-                key = blake2b(row.tobytes(), digest_size=16).digest()
-                if key not in seen:
-                    seen.add(key)
-                    yield shift, row
-
-    def match(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, first word, words, equal words) of the longest overlap with every item found in ``text``."""
+            least = best[1] if best else need
+            if common[i] < least:
+                break
+            same = views[shifts[i : i + step] + size] == wanted
+            sums = np.zeros((len(same), size + 1), kind)
+            np.cumsum(same, axis=1, out=sums[:, 1:])
+            total = sums[:, -1].copy()
+            sums *= kind(share.denominator)
+            sums += loss
+            low = np.minimum.accumulate(sums, axis=1)
+            can = (low[:, : size + 1 - least] <= sums[:, least:]).any(axis=1)
+            if best:
+                begin, end = same.argmax(axis=1), size - same[:, ::-1].argmax(axis=1)
+                longer = (end - begin > least) & (low[:, : max(size - least, 0)] <= sums[:, least + 1 :]).any(axis=1)
+                can &= longer | ((end - begin >= least) & ((total > best[2]) | (shifts[i : i + step] + begin < best[0])))
+            for d in np.flatnonzero(can).tolist():
+                if best and common[i + d] < best[1]:
+                    break
+                start, length, equal = longest_overlap(same[d], self.similarity)
+                first = int(shifts[i + d]) + start
+                if length >= need and (equal == length or whole) and (best is None or (length, equal, -first) > (best[1], best[2], -best[0])):
+                    best = (first, length, equal)
+                    if any_ or equal == size:
+                        return best  # nothing is longer, and what follows is later
+        return best
+
+    def match(self, text: str | None, any_: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item_id, first word, words, equal words) of the longest overlap with every item found in ``text``, or of some overlap with one item."""
         tokens = words(text)
         ids = np.fromiter(map(self.vocab.get, tokens, repeat(0)), np.int64, len(tokens))
         best: dict[int, tuple[int, int, int]] = {}
         for k, shifts in self._diagonals(ids).items():
             item_id, item = self.items[k]
-            whole = len(item) >= self.min_words
-            need = self.min_words if whole else len(item)
-            for shift, row in self._windows(ids, len(item), shifts):
-                start, n, equal = longest_overlap(row == item, self.similarity)
-                if n >= need and (equal == n or whole) and (item_id not in best or (n, equal, -(shift + start)) > (best[item_id][1], best[item_id][2], -best[item_id][0])):
-                    best[item_id] = (shift + start, n, equal)
-                    if equal == len(item):
-                        break  # nothing is longer, and what follows is later
+            found = self._longest(ids, item, shifts, any_)
+            if found and (item_id not in best or (found[1], found[2], -found[0]) > (best[item_id][1], best[item_id][2], -best[item_id][0])):
+                best[item_id] = found
+                if any_:
+                    break
         return [(i, *v) for i, v in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
 
 def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
-    """(start, length, equal) of the longest run that begins and ends equal with a share >= ``similarity`` equal."""
+    """(start, length, equal) of the longest run that begins and ends equal with a share >= ``similarity`` equal, the first of them."""
     at = np.flatnonzero(same)
     if not len(at):
         return 0, 0, 0
@@ -218,15 +264,11 @@ def longest_overlap(same: np.ndarray, similarity: float) -> tuple[int, int, int]
     k = np.arange(len(at))
     right = (k + 1) - similarity * (at + 1)
     left = k - similarity * at
-    best = (0, 0, 0)
     reach = np.maximum.accumulate(right[::-1])[::-1]
-    for i in range(len(at)):
-        if at[-1] - at[i] + 1 <= best[1]:
-            break
-        j = int(np.searchsorted(-reach, -(left[i] - 1e-9), "right")) - 1
-        if j >= i and at[j] - at[i] + 1 > best[1]:
-            best = (int(at[i]), int(at[j] - at[i] + 1), j - i + 1)
-    return best
+    j = np.searchsorted(-reach, -(left - 1e-9), "right") - 1
+    length = np.where(j >= k, at[j] - at + 1, 0)
+    i = int(length.argmax())
+    return (int(at[i]), int(length[i]), int(j[i]) - i + 1) if length[i] else (0, 0, 0)
 
 
 def _indexes(benchmark: DataFrame, min_words: int, similarity: float, weight: int, block_bytes: int) -> Iterator[SeedIndex]:
@@ -252,7 +294,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         @F.pandas_udf("boolean")
         def clean(text, shared=shared):
-            return text.map(lambda t: not shared.value.match(t))
+            return text.map(lambda t: not shared.value.match(t, any_=True))
 
         out = out.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return out
