@@ -421,3 +421,15 @@ def test_licences_are_those_of_plain_loops(spark):
     m = licences.fitted()
     for k, t in enumerate(texts):
         assert sorted(got.get(k, [])) == _found_by_loops(t, m), t
+
+
+def test_licences_in_long_texts(spark):
+    """100,000 short lines around a notice and a wrapped one, a text of 20,000 words in a line, 3,000 notices below each other."""
+    lines = ["a b"] * 50_000 + ["Released under the MIT License."] + ["a b"] * 50_000
+    lines[20_000:20_000] = ["This program is licensed under the", "GNU General Public License, version 2."]
+    rows = [(1, "\n".join(lines)), (2, "word " * 20_000 + "\nLicensed under the MIT License."), (3, "\n".join(["Licensed under the MIT License.", "All rights reserved."] * 1500))]
+    got = {}
+    for x in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], []).append((x["paragraph"], x["family"]))
+    assert sorted(got[1]) == [(20_000, "gpl-2.0"), (50_002, "mit")] and got[2] == [(1, "mit")]
+    assert sorted(got[3]) == [(i, ("mit", "all-rights-reserved")[i % 2]) for i in range(3000)]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -192,9 +192,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
     lower = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda x: F.regexp_extract_all(lower(x), F.lit("[a-z0-9]+"), F.lit(0))
     parts = text.select("id", F.xxhash64("text").alias("line"), F.transform(F.split("text", separator), words).alias("parts"))
-    last = F.size("parts") - 1
-    parts = parts.select("id", "line", "parts", F.explode(F.sequence(F.lit(0), last)).alias("paragraph"))
-    parts = parts.where(F.size(F.get("parts", F.col("paragraph"))) > 0)
+    # Each part goes on with the beginnings of the few after it that a run can reach, not with the whole text.
+    ahead = lambda k: F.transform(F.slice("parts", k + 2, WRAPPED + 2), lambda y: F.slice(y, 1, WRAPPED + 1))
+    near = F.transform("parts", lambda x, k: F.struct(k.alias("paragraph"), x.alias("here"), ahead(k).alias("next")))
+    parts = parts.select("id", "line", F.explode(near).alias("x")).select("id", "line", "x.*").where(F.size("here") > 0)
+    tail = F.slice("here", F.greatest(F.size("here") - WRAPPED + 1, F.lit(1)), WRAPPED)
+    around = F.array_join(F.concat(tail, F.flatten("next")), " ")
+    parts = parts.where(F.rlike(F.array_join("here", " "), found) | F.rlike(around, found))
 
     def further(run, part):
         stop = (F.size(part) == 0) | (run["between"] > WRAPPED) | run["ended"]
@@ -202,12 +206,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
         return F.struct(ends.alias("ends"), (run["between"] + F.size(part)).alias("between"), stop.alias("ended"))
 
     start = F.struct(F.lit(0).alias("ends"), F.lit(0).alias("between"), F.lit(False).alias("ended"))
-    reach = F.aggregate(F.slice("parts", F.col("paragraph") + 2, WRAPPED + 2), start, further, lambda run: run["ends"])
-    parts = parts.select("id", "line", "parts", "paragraph", F.explode(F.sequence(F.lit(0), reach)).alias("more"))
-    here, there = F.get("parts", F.col("paragraph")), F.get("parts", F.col("paragraph") + F.col("more"))
-    tail = F.slice(here, F.greatest(F.size(here) - WRAPPED + 1, F.lit(1)), WRAPPED)
-    run = F.concat(tail, F.flatten(F.slice("parts", F.col("paragraph") + 2, F.greatest(F.col("more") - 1, F.lit(0)))), F.slice(there, 1, WRAPPED))
-    par = parts.select("id", "line", "paragraph", "more", F.when(F.col("more") == 0, here).otherwise(run).alias("words"))
+    reach = F.aggregate("next", start, further, lambda run: run["ends"])
+    parts = parts.select("id", "line", "here", "next", "paragraph", F.explode(F.sequence(F.lit(0), reach)).alias("more"))
+    run = F.concat(tail, F.flatten(F.slice("next", 1, F.greatest(F.col("more") - 1, F.lit(0)))), F.slice(F.get("next", F.col("more") - 1), 1, WRAPPED))
+    par = parts.select("id", "line", "paragraph", "more", F.when(F.col("more") == 0, F.col("here")).otherwise(run).alias("words"))
     par = par.where(F.rlike(F.array_join("words", " "), found))
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))
     each = par.select("id", "paragraph", "more", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram")).distinct()
@@ -225,10 +227,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separa
         F.round(1 / total, 6).alias("probability"), F.round("best.overlap", 6).alias("overlap"),
     )
     out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least) & (F.col("overlap") >= OVERLAP))
-    all_in = out.groupBy("id", "line", "family").agg(F.collect_list(F.struct("paragraph", "end", "more", "probability", "overlap")).alias("runs"))
-    tight = F.filter("runs", lambda x: ~F.exists("runs", lambda y: (y["more"] < x["more"]) & (y["paragraph"] >= x["paragraph"]) & (y["end"] <= x["end"]) & ((y["more"] == 0) | (y["overlap"] >= x["overlap"]))))
-    rank = lambda x: F.struct((x["more"] == 0).alias("alone"), x["overlap"].alias("overlap"), (-x["more"]).alias("short"), (-x["paragraph"]).alias("early"))
-    meets = lambda x, y: (y["paragraph"] <= x["end"]) & (x["paragraph"] <= y["end"]) & (x["more"] > 0)
-    kept = F.filter("tight", lambda x: ~F.exists("tight", lambda y: meets(x, y) & (rank(y) > rank(x))))
-    out = all_in.withColumn("tight", tight).select("id", "family", F.explode(kept).alias("x"))
-    return out.select(F.col("id").alias(id_col), "x.paragraph", "family", "x.probability", "x.overlap")
+    # Runs that can meet a run begin within its reach, so each is compared with those only, however many a text has.
+    reached = Window.partitionBy("id", "line", "family").orderBy("paragraph").rangeBetween(-WRAPPED - 3, WRAPPED + 3)
+    one = F.struct("paragraph", "end", "more", "probability", "overlap")
+    inside = lambda y: (y["more"] < F.col("more")) & (y["paragraph"] >= F.col("paragraph")) & (y["end"] <= F.col("end"))
+    loose = lambda near: F.exists(near, lambda y: inside(y) & ((y["more"] == 0) | (y["overlap"] >= F.col("overlap"))))
+    alone = F.min(F.when(F.col("more") == 0, F.col("paragraph"))).over(Window.partitionBy("id", "line", "family").orderBy("paragraph").rangeBetween(0, WRAPPED + 3))
+    out = out.withColumn("alone", alone).where((F.col("more") == 0) | F.col("alone").isNull() | (F.col("alone") > F.col("end"))).drop("alone")
+    out = out.withColumn("near", F.collect_list(one).over(reached)).where((F.col("more") == 0) | ~loose("near")).drop("near")
+    rank = lambda more, overlap, paragraph: F.struct((more == 0).alias("alone"), overlap.alias("overlap"), (-more).alias("short"), (-paragraph).alias("early"))
+    mine = rank(F.col("more"), F.col("overlap"), F.col("paragraph"))
+    meets = lambda y: (y["paragraph"] <= F.col("end")) & (F.col("paragraph") <= y["end"])
+    beaten = lambda near: F.exists(near, lambda y: meets(y) & (rank(y["more"], y["overlap"], y["paragraph"]) > mine))
+    out = out.withColumn("near", F.collect_list(one).over(reached)).where((F.col("more") == 0) | ~beaten("near"))
+    return out.select(F.col("id").alias(id_col), "paragraph", "family", "probability", "overlap")
