@@ -433,3 +433,20 @@ def test_licences_in_long_texts(spark):
         got.setdefault(x["doc_id"], []).append((x["paragraph"], x["family"]))
     assert sorted(got[1]) == [(20_000, "gpl-2.0"), (50_002, "mit")] and got[2] == [(1, "mit")]
     assert sorted(got[3]) == [(i, ("mit", "all-rights-reserved")[i % 2]) for i in range(3000)]
+
+
+def test_optional_tags_left_out():
+    """Pages without </head>, or any of the tags that authors may leave out, give what the full page gives."""
+    text = ["One title", "Some words that make a sentence of the article, and more of it.", "A second paragraph, that says some more than the first did."]
+    r = random.Random(4)
+    model = html_text.fitted()
+    for _ in range(60):
+        keep = lambda tag: tag if r.random() < 0.5 else ""
+        head = f"{keep('<head>')}<meta charset=utf-8><title>t</title>{keep('</head>')}"
+        page = f"{keep('<html>')}{head}{keep('<body>')}<nav><a href=/>Home</a></nav><article><h1>{text[0]}</h1><p>{text[1]}{keep('</p>')}<p>{text[2]}{keep('</p>')}</article>{keep('</body>')}{keep('</html>')}"
+        assert html_text.extract([page], model) == ["\n".join(text)], page
+
+
+def test_lists_at_the_end_stay():
+    page = "<div id=mw-content-text class=mw-body-content><p>The first paragraph is about a thing and says so.</p><table><tr><td>Name</td><td>Value</td></tr></table><ol><li>One thing.<li>Two things.</ol></div>"
+    assert html_text.extract([page], html_text.fitted()) == ["The first paragraph is about a thing and says so.\nName\nValue\nOne thing.\nTwo things."]

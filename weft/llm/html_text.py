@@ -23,7 +23,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _TOKENS = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements without content, with content that is no text, and within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style noscript template title textarea iframe head".split())
+NO_TEXT = frozenset("script style noscript template title textarea iframe".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math svg object canvas".split())
 #: Elements in which all others are within the line as well.
@@ -101,7 +101,7 @@ def parse(page: str) -> Node:
             elif not m[3].rstrip().endswith("/"):
                 silent = name
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):  # whose tags may be left out; what may stand in a head has no text
             root.attributes += m[3] if name == "body" else ""
             continue
         if name in VOID:
@@ -347,7 +347,8 @@ class _Writer:
             elif kind < 0.8:
                 out.append(f"<h2>{self.heading()}</h2><p>{body}</p>")
             elif kind < 0.85:
-                out.append("<ul>" + "".join(f"<li>{self.sentence(2, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                t, end, words = r.choice(("ul", "ul", "ol")), r.choice(("</li>", "</li>", "")), r.choice((3, 12))
+                out.append(f"<{t}>" + "".join(f"<li>{self.sentence(1, words)}{end}" for _ in range(r.randint(2, 5))) + f"</{t}>")
             elif kind < 0.89:
                 out.append(f"<blockquote><p>{body}</p></blockquote>")
             elif kind < 0.92:
@@ -361,14 +362,14 @@ class _Writer:
     def page(self) -> tuple[str, str]:
         """A page, and the mark that stands in the attributes of nodes that belong to the main text or are around it."""
         r, mark = self.r, "weft-kept"
-        tagged = re.sub(r"<(h\d|p|ul|li|blockquote|table|tr|td|pre)>", rf"<\1 data-k='{mark}'>", self.article())
+        tagged = re.sub(r"<(h\d|p|ul|ol|li|blockquote|table|tr|td|pre)>", rf"<\1 data-k='{mark}'>", self.article())
         if r.random() < 0.35:
-            at = [m.start() for m in re.finditer(r"<(?:p|h2|ul|blockquote)\b", tagged)]
+            at = [m.start() for m in re.finditer(r"<(?:p|h2|ul|ol|blockquote)\b", tagged)]
             at = at[r.randrange(len(at))] if at else 0
-            open_list = tagged[:at].count("<ul") > tagged[:at].count("</ul") or tagged[:at].count("<blockquote") > tagged[:at].count("</blockquote")
+            open_list = tagged[:at].count("<ul") > tagged[:at].count("</ul") or tagged[:at].count("<ol") > tagged[:at].count("</ol") or tagged[:at].count("<blockquote") > tagged[:at].count("</blockquote")
             tagged = tagged if open_list else tagged[:at] + self.noise() + tagged[at:]
         if r.random() < 0.25:  # no container: blocks that stand by themselves, or each in an element of its own
-            parts = re.split(r"(?=<(?:h1|h2|p|ul|blockquote|table|pre) data-k)", tagged) if "<ul" not in tagged and "<blockquote" not in tagged and "<table" not in tagged else [tagged]
+            parts = re.split(r"(?=<(?:h1|h2|p|ul|blockquote|table|pre) data-k)", tagged) if "<ul" not in tagged and "<ol" not in tagged and "<blockquote" not in tagged and "<table" not in tagged else [tagged]
             own = self.attributes("main", chance=0.2)
             inner = "".join(f"<div data-k='{mark}'{own}>{x}</div>" if r.random() < 0.95 else x for x in parts if x) if r.random() < 0.7 else tagged
         else:
