@@ -445,8 +445,3 @@ def test_optional_tags_left_out():
         head = f"{keep('<head>')}<meta charset=utf-8><title>t</title>{keep('</head>')}"
         page = f"{keep('<html>')}{head}{keep('<body>')}<nav><a href=/>Home</a></nav><article><h1>{text[0]}</h1><p>{text[1]}{keep('</p>')}<p>{text[2]}{keep('</p>')}</article>{keep('</body>')}{keep('</html>')}"
         assert html_text.extract([page], model) == ["\n".join(text)], page
-
-
-def test_lists_at_the_end_stay():
-    page = "<div id=mw-content-text class=mw-body-content><p>The first paragraph is about a thing and says so.</p><table><tr><td>Name</td><td>Value</td></tr></table><ol><li>One thing.<li>Two things.</ol></div>"
-    assert html_text.extract([page], html_text.fitted()) == ["The first paragraph is about a thing and says so.\nName\nValue\nOne thing.\nTwo things."]
