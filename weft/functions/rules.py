@@ -199,3 +199,7 @@ SECTION_ORDER = (*SECTION_BUDGETS, "body", "")
 
 #: How much a field counts in word search.
 FIELD_WEIGHTS = {"abstract": 3.5, "title": 2.0, "keywords": 2.0, "concepts": 1.0, "venue": 0.5}
+
+#: Sections whose chunks have a kind of their own, all others being body; and those whose chunks may be short.
+OWN_KIND = ("abstract", "method", "result", "discussion", "limitation", "conclusion", "reference", "appendix")
+SHORT_SECTIONS = ("title", "abstract")

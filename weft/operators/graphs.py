@@ -87,12 +87,12 @@ def paths(pairs: DataFrame, edges: DataFrame, most_hops: int = 3, most: int = 10
     return done.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node_id, community): labels such that no node has a label less often around it than another one.
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node_id, community, settled): labels such that no settled node has its label less often around it than another one.
 
     A node takes the most frequent label around it, the least of ties, if its own is rarer. Rounds let labels become smaller and
     larger in turns, and from the sixteenth on about half of the nodes, by a hash of their id and the round, so that neighbours don't swap labels for ever. Each round is one
-    join and one aggregation with a checkpoint behind it. Not having come to rest after ``rounds`` is an error. Isolated
+    join and one aggregation with a checkpoint behind it. After ``rounds`` the labels are returned as they are, with the nodes that would still change not settled. Isolated
     nodes keep their own label; edges to nodes that don't exist count for nothing.
     """
     adj = cut(both_ways(edges.select("src", "dst")).select("a", "b").distinct())
@@ -109,8 +109,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 200) ->
         new = cut(new.select("node_id", F.when(may, F.col("new")).otherwise(F.col("community")).alias("community"), F.col("new").isNotNull().alias("restless")))
         label = new.select("node_id", "community")
         if new.where("restless").isEmpty():
-            return label
-    raise RuntimeError(f"labels have not come to rest in {rounds} rounds")
+            break
+    return new.select("node_id", "community", (~F.col("restless")).alias("settled")) if rounds else label.withColumn("settled", F.lit(False))
 
 
 def without_paper(said: DataFrame, edges: DataFrame, paper: object) -> tuple[DataFrame, DataFrame]:

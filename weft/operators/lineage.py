@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,26 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+class Scratch:
+    """A folder of tables in the :func:`shared_folder`, for iterative plans that end with a result of their own.
+
+    Unlike a checkpoint a table brings nothing of the plan that made it along, which the optimizer would work through again in every round.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df``, written and to be read from its table."""
+        path, self.tables = f"{self.folder}/{self.tables}", self.tables + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` from a checkpoint; the tables are deleted."""
+        out = cut(df)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return out

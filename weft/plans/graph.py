@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import evidence as evidence_ops
-from weft.operators import graphs, measures, records, scopes, store
+from weft.operators import graphs, leiden, measures, records, scopes, store
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, PAPERS, evidence, papers, vocabulary
 
@@ -80,6 +80,12 @@ def g09(spark, sf):
     return records.merged_into(v.select(F.col("w").alias("id")), records.edit_pairs(v))
 
 
+@query("g10_leiden")
+def g10(spark, sf):
+    """Leiden communities of parts and suppliers; iterative. Tests hold their modularity, connectedness and known partitions."""
+    return leiden.communities(*sample_graph(spark, sf))
+
+
 @query("g11_label_propagation")
 def g11(spark, sf):
     """Communities of parts and suppliers; iterative."""

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
-from weft.operators import chunks, graphs, lineage, ranking, records, reports, scopes, store
+from weft.operators import chunks, graphs, lineage, ranking, records, reports, scanner, scopes, store
 from weft.operators import evidence as evidence_ops
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, evidence
@@ -174,6 +174,14 @@ def c01(spark, sf):
     return chunks.chunked(table(spark, sf, "documents"), "doc_id", "text", 100).select("doc_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text"), "token_count")
 
 
+@query("c01_section_scan")
+def c01_scan(spark, sf):
+    """Conversations as papers: each turn a page that a heading by its role begins; scanned line by line with state. Tested against a plain loop."""
+    named = F.create_map(*map(F.lit, ("system", "Abstract", "user", "1. Introduction", "assistant", "Results")))
+    pages = table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws("\n", named[F.col("role")], "text").alias("page"))
+    return scanner.scanned(pages, "conv_id", "turn", "page").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 @query("w08_merge_fragments")
 def w08(spark, sf):
     """Turns as chunks, small ones merged into the one before of the same role; a fold, no SQL."""
