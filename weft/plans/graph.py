@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import evidence as evidence_ops
-from weft.operators import graphs, leiden, measures, records, scopes, store
+from weft.operators import graphs, leiden, measures, records, resolution, scopes, store
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, PAPERS, evidence, papers, vocabulary
 
@@ -246,6 +246,49 @@ def p12(spark, sf):
     return scopes.in_all(scopes.by_years(papers(spark, sf), 2000, None), scopes.scope_of(e.where((F.col("topic") == "PROMO") & F.col("method").endswith("1"))))
 
 
+#: A request of every type from the nations, some of which find nothing, narrow each other, or ask for more hops than there may be.
+_REQUESTS = """requests AS (SELECT n_nationkey AS request_id, ['all_project', 'selected_papers', 'topic_group', 'method_group', 'graph_subgraph', 'year_range'][n_nationkey % 6 + 1] AS type,
+  [n_nationkey * 7 + 1, n_nationkey * 7 + 2, n_nationkey * 7 + 3, -n_nationkey] AS paper_ids,
+  CASE WHEN n_nationkey >= 20 THEN ['zzz'] WHEN n_nationkey % 6 = 2 OR n_nationkey >= 12 THEN ['promo', 'SMA'] END AS topics,
+  CASE WHEN n_nationkey % 6 = 3 OR n_nationkey = 16 THEN [s_name] END AS methods, ['supplier:' || (n_nationkey + 1), 'part:' || (n_nationkey + 2)] AS nodes, CAST(n_nationkey % 4 AS INTEGER) AS hops,
+  CASE WHEN n_nationkey IN (5, 12, 13) THEN 2001 END AS first_year, CASE WHEN n_nationkey IN (5, 11, 13) THEN 2000 END AS last_year FROM nation JOIN supplier ON s_suppkey = n_nationkey % 5 + 1)"""
+
+
+@query("p12_resolved", f"""WITH {EDGES}, {EVIDENCE}, {PAPERS}, {_REQUESTS},
+inside AS (SELECT paper_id, year FROM papers JOIN part ON p_partkey = paper_id WHERE p_size % 10 <> 0),
+tp AS (SELECT DISTINCT request_id, paper_id FROM requests JOIN evidence e ON list_has_any([contains(lower(e.topic), lower(x)) for x in topics], [true])),
+mp AS (SELECT DISTINCT request_id, paper_id FROM requests JOIN evidence ON list_contains(methods, method)),
+yp AS (SELECT request_id, paper_id FROM requests JOIN inside ON year >= coalesce(least(first_year, CASE WHEN first_year IS NOT NULL THEN last_year END), year) AND year <= coalesce(greatest(last_year, CASE WHEN last_year IS NOT NULL THEN first_year END), year) WHERE first_year IS NOT NULL OR last_year IS NOT NULL),
+sd AS (SELECT request_id, unnest(nodes) AS seed, least(hops, 2) AS most FROM requests WHERE type = 'graph_subgraph'),
+g0 AS (SELECT request_id, seed AS node, most FROM sd), g1 AS (SELECT * FROM g0 UNION SELECT request_id, b, most FROM g0 JOIN adj ON a = node WHERE most >= 1), g2 AS (SELECT * FROM g1 UNION SELECT request_id, b, most FROM g1 JOIN adj ON a = node WHERE most >= 2),
+st AS (SELECT request_id, type, paper_id FROM requests, inside WHERE type = 'all_project'
+  UNION ALL SELECT request_id, type, paper_id FROM (SELECT request_id, type, unnest(paper_ids) AS paper_id FROM requests WHERE type = 'selected_papers') JOIN inside USING (paper_id)
+  UNION ALL SELECT request_id, type, paper_id FROM tp JOIN requests USING (request_id) JOIN inside USING (paper_id) WHERE type = 'topic_group'
+  UNION ALL SELECT request_id, type, paper_id FROM mp JOIN requests USING (request_id) JOIN inside USING (paper_id) WHERE type = 'method_group'
+  UNION ALL SELECT DISTINCT request_id, 'graph_subgraph', paper_id FROM g2 JOIN inside ON node = 'part:' || paper_id
+  UNION ALL SELECT request_id, type, paper_id FROM yp JOIN requests USING (request_id) WHERE type = 'year_range' AND first_year IS NOT NULL AND last_year IS NOT NULL),
+sc AS (SELECT st.request_id, st.paper_id FROM st JOIN requests r USING (request_id) WHERE (r.topics IS NULL OR r.type = 'topic_group' OR (st.request_id, st.paper_id) IN (SELECT request_id, paper_id FROM tp))
+  AND (r.methods IS NULL OR r.type = 'method_group' OR (st.request_id, st.paper_id) IN (SELECT request_id, paper_id FROM mp))
+  AND ((r.first_year IS NULL AND r.last_year IS NULL) OR r.type = 'year_range' OR (st.request_id, st.paper_id) IN (SELECT request_id, paper_id FROM yp))),
+ev AS (SELECT request_id, count(*) AS evidence FROM sc JOIN (SELECT DISTINCT evidence_id, paper_id FROM evidence) USING (paper_id) GROUP BY 1), np AS (SELECT request_id, count(*) AS papers FROM sc GROUP BY 1), ns AS (SELECT request_id, count(*) AS started FROM st GROUP BY 1),
+iv AS (SELECT request_id, count(*) AS invalid FROM (SELECT request_id, unnest(paper_ids) AS paper_id FROM requests WHERE type = 'selected_papers') x WHERE paper_id NOT IN (SELECT paper_id FROM inside) GROUP BY 1)
+SELECT request_id, type, coalesce(papers, 0) AS papers, coalesce(evidence, 0) AS evidence, CASE WHEN started IS NOT NULL THEN NULL WHEN type = 'year_range' AND (first_year IS NULL OR last_year IS NULL) THEN 'invalid_time_range'
+  ELSE ['no_included_papers', 'no_valid_selected_papers', 'no_matching_topic', 'no_matching_method', 'no_matching_graph_subgraph', 'no_papers_after_year_filter'][request_id % 6 + 1] END AS empty_reason,
+  CASE WHEN type = 'graph_subgraph' AND hops > 2 THEN 1 ELSE 0 END AS warnings, coalesce(invalid, 0) AS invalid
+FROM requests LEFT JOIN np USING (request_id) LEFT JOIN ev USING (request_id) LEFT JOIN ns USING (request_id) LEFT JOIN iv USING (request_id)""")
+def p12_resolved(spark, sf):
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    k, kind = F.col("n_nationkey").cast("long"), F.col("n_nationkey") % 6
+    asked = n.join(s, s["s_suppkey"] == k % 5 + 1).select(
+        k.alias("request_id"), F.get(F.array(*map(F.lit, resolution.EMPTY)), kind.cast("int")).alias("type"), F.array(k * 7 + 1, k * 7 + 2, k * 7 + 3, -k).alias("paper_ids"),
+        F.when(k >= 20, F.array(F.lit("zzz"))).when((kind == 2) | (k >= 12), F.array(F.lit("promo"), F.lit("SMA"))).alias("topics"), F.when((kind == 3) | (k == 16), F.array("s_name")).alias("methods"),
+        F.array(F.concat(F.lit("supplier:"), k + 1), F.concat(F.lit("part:"), k + 2)).alias("nodes"), (k % 4).cast("int").alias("hops"), F.when(k.isin(5, 12, 13), 2001).alias("first_year"), F.when(k.isin(5, 11, 13), 2000).alias("last_year"),
+    )
+    p = papers(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), (F.col("p_size") % 10 != 0).alias("included")), "paper_id")
+    r = resolution.resolve(asked, p, evidence(spark, sf).withColumn("quote", F.col("finding")), sample_graph(spark, sf)[1], "part:").report
+    return r.select("request_id", "type", "papers", "evidence", "empty_reason", F.size("warnings").alias("warnings"), F.coalesce(F.size("invalid"), F.lit(0)).alias("invalid"))
+
+
 @query("p19_cross_filter", f"WITH {EVIDENCE} SELECT p_partkey AS paper_id FROM part WHERE p_partkey IN (SELECT paper_id FROM evidence WHERE topic = 'SMALL') AND p_partkey IN (SELECT paper_id FROM evidence WHERE strength = 'low')")
 def p19(spark, sf):
     e, p = evidence(spark, sf), table(spark, sf, "part")
