@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from weft.functions import layout, rules, scores, text
-from weft.operators import chunks, graphs, measures, ranking, records, reports, store
+from weft.operators import chunks, graphs, measures, ranking, records, reports, store, structured
 from weft.operators import evidence as evidence_ops
 from weft.plans.registry import query, table
 from weft.plans.retrieval import near, sparse_near
@@ -292,6 +293,24 @@ def d06(spark, sf):
     return measures.schema_check(table(spark, sf, "events").withColumnRenamed("event_type", "node_type"), "node_type", ("click", "view", "purchase"))
 
 
+_ANSWER = """answers AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN replace(props, '"k"', '"j"')
+  WHEN 3 THEN '{"k": "about ' || event_id || '"}' WHEN 4 THEN left(props, length(props) - 1) ELSE '[' || props || ']' END AS answer, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""
+
+
+@query("x04_structured", f"""WITH {_ANSWER} SELECT event_id, event_id % 6 < 2 AS success, CASE WHEN event_id % 6 < 2 THEN k END AS k, CASE event_id % 6 WHEN 2 THEN 'schema_failed' WHEN 3 THEN 'schema_failed' WHEN 4 THEN 'parse_failed' WHEN 5 THEN 'schema_failed' END AS error_type,
+  CASE event_id % 6 WHEN 2 THEN 'k missing' WHEN 3 THEN 'k not int' WHEN 5 THEN ' not an object' ELSE '' END AS errors FROM answers""")
+def x04(spark, sf):
+    """Answers made of each event's properties: whole, fenced, with another field, a wrong type, cut off, and in a list."""
+    e, p, n = table(spark, sf, "events").select("event_id", "props"), F.col("props"), F.col("event_id") % 6
+    answer = (
+        F.when(n == 0, p).when(n == 1, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```"))).when(n == 2, F.replace(p, F.lit('"k"'), F.lit('"j"')))
+        .when(n == 3, F.concat(F.lit('{"k": "about '), F.col("event_id"), F.lit('"}'))).when(n == 4, F.left(p, F.length(p) - 1)).otherwise(F.concat(F.lit("["), p, F.lit("]")))
+    )
+    out = structured.structured(e.select("event_id", answer.alias("answer")), "answer", StructType([StructField("k", IntegerType(), False)]))
+    errors = F.array_join(F.transform("checked.errors", lambda x: F.concat(x["field"], F.lit(" "), x["error"])), ";")
+    return out.select("event_id", "checked.success", "checked.data.k", "checked.error_type", errors.alias("errors"))
+
+
 @query("x07_sql_function", "SELECT p_partkey, upper(p_name) || '!' AS shout FROM part")
 def x07(spark, sf):
     table(spark, sf, "part").createOrReplaceTempView("weft_part")
