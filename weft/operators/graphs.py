@@ -56,11 +56,15 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
-    """(seed, node, hop): nodes within at most two hops of each seed, the seed itself at 0, by level-wise joins."""
-    adj = both_ways(edges.select("src", "dst")).select("a", "b").distinct()
+    """(seed, node, hop): nodes within at most two hops of each seed, the seed itself at 0, by level-wise joins.
+
+    Of the edges only those at the nodes of a level are made distinct and joined.
+    """
+    every = both_ways(edges.select("src", "dst")).select("a", "b")
     seen = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), F.lit(0).alias("hop")).distinct()
     front = seen
     for hop in range(1, min(max(hops, 0), 2) + 1):
+        adj = every.join(front.select(F.col("node").alias("a")).distinct(), "a", "left_semi").distinct()
         step = front.join(adj, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
         front = step.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
@@ -70,19 +74,30 @@ def neighbours(seeds: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
 def paths(pairs: DataFrame, edges: DataFrame, most_hops: int = 3, most: int = 10) -> DataFrame:
     """(src, dst, path array, hops): simple undirected paths between each pair (src, dst), shortest first, at most ``most`` a pair.
 
-    Paths grow from the sources of the stated pairs only, no longer once a pair has ``most`` shorter ones; equal ends give the trivial path.
+    Paths grow from both ends of the stated pairs, each half of the hops, and meet in the middle; no longer once a pair
+    has ``most`` shorter ones. Equal ends give the trivial path.
     """
-    adj = both_ways(edges.select("src", "dst")).select("a", "b").distinct()
-    grown = pairs.select("src", "dst", F.array("src").alias("path")).distinct()
-    done = grown.where("src = dst").withColumn("hops", F.lit(0))
-    grown = grown.where("src <> dst")
+    every = both_ways(edges.select("src", "dst")).select("a", "b")
+    asked = pairs.select("src", "dst").distinct()
+    done = asked.where("src = dst").select("src", "dst", F.array("src").alias("path")).withColumn("hops", F.lit(0))
+    last = F.element_at("path", -1)
+    halves = {end: [asked.where("src <> dst").select("src", "dst", F.array(end).alias("path"))] for end in ("src", "dst")}
+
+    def grown(half: DataFrame) -> DataFrame:
+        near = every.join(half.select(last.alias("a")).distinct(), "a", "left_semi").distinct()
+        longer = half.join(near, last == F.col("a")).where(~F.array_contains("path", F.col("b")))
+        return longer.select("src", "dst", F.concat("path", F.array("b")).alias("path"))
+
     for hop in range(1, most_hops + 1):
+        end = "src" if hop % 2 else "dst"
+        halves[end].append(grown(halves[end][-1]))
         full = done.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("src", "dst")
-        grown = grown.join(full, ["src", "dst"], "left_anti")
-        grown = grown.join(adj, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b")))
-        grown = grown.select("src", "dst", F.concat("path", F.array("b")).alias("path"))
-        done = done.unionByName(grown.where(F.element_at("path", -1) == F.col("dst")).withColumn("hops", F.lit(hop)))
-        grown = grown.where(F.element_at("path", -1) != F.col("dst"))
+        left = halves["src"][-1].join(full, ["src", "dst"], "left_anti").withColumn("at", last)
+        right = halves["dst"][-1].select("src", "dst", F.col("path").alias("rest"), last.alias("at"))
+        met = left.join(right, ["src", "dst", "at"])
+        path = F.concat("path", F.slice(F.reverse("rest"), F.lit(2), F.size("rest")))
+        met = met.select("src", "dst", path.alias("path")).where(F.size(F.array_distinct("path")) == F.size("path"))
+        done = done.unionByName(met.withColumn("hops", F.lit(hop)))
     w = Window.partitionBy("src", "dst").orderBy("hops", "path")
     return done.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
 
