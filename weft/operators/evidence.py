@@ -5,7 +5,7 @@ Rows are pieces of evidence with a ``paper_id``; all joins are equi-joins on key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import rules
@@ -98,7 +98,12 @@ def backfilled(edge_papers: DataFrame, evidence: DataFrame, edge: str) -> DataFr
 def provenance(mentions: DataFrame, node: str, first: int = 3) -> DataFrame:
     """(node, papers, first): how many different papers mention a node, and the first few of them, of which no more than that are ever held."""
     once = mentions.select(node, "paper_id").distinct()
-    return once.groupBy(node).agg(F.count(F.lit(1)).alias("papers"), F.array_sort(F.slice(F.array_sort(F.collect_list("paper_id")), 1, first)).alias("first"))
+    counts = once.groupBy(node).agg(F.count(F.lit(1)).alias("papers"))
+    place = F.row_number().over(Window.partitionBy(node).orderBy("paper_id"))
+    some = once.where("paper_id is not null").withColumn("_place", place).where(F.col("_place") <= first)
+    some = some.groupBy(F.col(node).alias("_node")).agg(F.array_sort(F.collect_list("paper_id")).alias("first"))
+    none = F.array().cast(some.schema["first"].dataType)
+    return counts.join(some, F.col(node).eqNullSafe(F.col("_node")), "left").select(node, "papers", F.coalesce("first", none).alias("first"))
 
 
 def edge_provenance(said: DataFrame, edge: str, paper: str, strength: str) -> DataFrame:

@@ -201,8 +201,8 @@ def w09(spark, sf):
 @query("c05_near_chunks")
 def c05(spark, sf):
     """Chunks of all documents; character five-grams at 0.8 or more; of similar ones the earliest kept one stays, greedily. Tested against a plain loop, as all pairs are slow in SQL."""
-    c = chunks.chunked(table(spark, sf, "documents"), "doc_id", "text", 100).withColumn("id", F.col("doc_id") * 10000 + F.col("chunk_index"))
-    return chunks.without_near_copies(c, "id", "text")
+    c = chunks.chunked(table(spark, sf, "documents"), "doc_id", "text", 100).withColumn("id", F.struct("doc_id", "chunk_index"))
+    return chunks.without_near_copies(c, "id", "text").select("id.*")
 
 
 @query("c06_bm25_similarity", r"WITH t AS (SELECT conv_id AS g, turn AS id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9]+')) AS term FROM conversations), w AS (SELECT g, id, term, count(*) AS tf FROM t GROUP BY ALL), z AS (SELECT g, id, sum(tf) AS size FROM w GROUP BY ALL), n AS (SELECT g, count(*) AS n, avg(size) AS a FROM z GROUP BY g), d AS (SELECT g, term, count(*) AS df FROM w GROUP BY ALL), s AS (SELECT w.g, w.id, w.term, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / a)) AS s FROM w JOIN z USING (g, id) JOIN n USING (g) JOIN d USING (g, term)), x AS (SELECT a.g, b.id AS q, a.id, sum(a.s * b.tf) AS score FROM s a JOIN s b ON a.g = b.g AND a.term = b.term GROUP BY ALL) SELECT x.g AS conv_id, least(x.q, x.id) AS a, greatest(x.q, x.id) AS b, round(sum(x.score / o.score) / 2, 5) AS similarity FROM x JOIN x o ON o.g = x.g AND o.q = x.q AND o.id = x.q WHERE x.q <> x.id GROUP BY ALL")
@@ -214,9 +214,10 @@ def c06(spark, sf):
 def c07(spark, sf):
     """Of similar turns of a conversation the first stays, whatever is similar only to one that went; greedy."""
     sim = chunks.within_similarity(table(spark, sf, "conversations"), "conv_id", "turn", "text").where("similarity >= 0.3")
-    pairs = sim.select((F.col("conv_id") * 1000 + F.col("a")).alias("a"), (F.col("conv_id") * 1000 + F.col("b")).alias("b"))
-    ids = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return records.keep_first(ids, pairs)
+    turn = lambda c: F.struct("conv_id", F.col(c).alias("turn"))
+    pairs = sim.select(turn("a").alias("a"), turn("b").alias("b"))
+    ids = table(spark, sf, "conversations").select(turn("turn").alias("id"))
+    return records.keep_first(ids, pairs).select("id.*")
 
 
 @query("c12_rule_card", r"SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: contains(lower(x), ' that ') AND length(x) > 10 AND length(x) < 500)[1], 'unknown') AS finding FROM documents")
