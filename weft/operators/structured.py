@@ -35,7 +35,7 @@ def checked(answer: Column, form: StructType) -> Column:
     return F.struct(kind.isNull().alias("success"), F.when(shape, data).alias("data"), kind.alias("error_type"), errors.alias("errors"))
 
 
-def _asked(write: Writer) -> Column:
+def asked(write: Writer) -> Column:
     """The model as a function of a column that is asked for the rows that aren't null only."""
 
     def call(prompts: pd.Series) -> pd.Series:
@@ -60,7 +60,7 @@ def structured(rows: DataFrame, answer: str, form: StructType, write: Writer | N
         failed = ~F.col("checked.success")
         said = F.concat_ws("; ", F.transform("checked.errors", lambda e: F.concat(e["field"], F.lit(": "), e["error"])))
         prompt = F.concat(F.lit("Correct this JSON. "), F.col("checked.error_type"), F.lit(": "), said, F.lit("\n"), F.coalesce(F.col(answer), F.lit("")))
-        out = out.withColumn("_new", _asked(write)(F.when(failed, prompt)))
+        out = out.withColumn("_new", asked(write)(F.when(failed, prompt)))
         out = out.withColumn("_check", checked(F.col("_new"), form))
         better = failed & F.col("_check.success")
         out = out.withColumn("attempts", F.when(failed, k + 1).otherwise(F.col("attempts"))).withColumn("repaired", F.col("repaired") | better)
