@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType
 
 from weft.operators import graphs, ranking, store
 from weft.operators.hooks import Writer
+from weft.operators.lineage import cut
 from weft.operators.structured import asked
 
 #: Fixed value: what a model answers where a summary says nothing about a question.
@@ -36,7 +37,7 @@ def _near(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> tu
     picked = picked.groupBy(key, "node").agg(F.min("pos").alias("pos"), F.max("most").alias("most")).join(known, "node")
     around = graphs.neighbours(picked.select(F.col("node").alias("node_id")), edges, 2)
     near = around.join(picked.select(key, F.col("node").alias("seed"), "most"), "seed").where("hop <= most").select(key, "node").distinct()
-    return picked, near.join(known.select("node"), "node", "left_semi")
+    return picked, cut(near.join(known.select("node"), "node", "left_semi"))  # several results come from it
 
 
 def _inside(near: DataFrame, edges: DataFrame, key: str) -> DataFrame:
