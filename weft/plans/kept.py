@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from weft.operators import communities, sketches
 from weft.plans.graph import EDGES, sample_graph
 from weft.plans.registry import query, table
+from weft.plans.retrieval import events_in, scratch
+from weft.streaming import cache
 
 
 def monthly(spark, sf):
@@ -112,3 +114,13 @@ def g17_local(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_brand").alias("community"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("node_id"), F.col("p_name").alias("text"))
     q = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("question"), F.array(F.concat(F.lit("supplier:"), F.col("n_nationkey") + 1)).alias("nodes"), F.lit(1).alias("hops"))
     return communities.local_search(q, n, e, p, communities.summaries(p, p), said)
+
+
+@query("st4_cache", """WITH e AS (SELECT event_id, user_id AS owner, event_type AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+  p AS (SELECT *, lag(us) OVER w AS prior, lag(i) OVER w AS j FROM e WINDOW w AS (PARTITION BY owner, key ORDER BY i)),
+  s AS (SELECT a.event_id, count(DISTINCT b.key) FILTER (b.i > a.j AND b.i < a.i) AS between_, count(DISTINCT b.key) FILTER (a.us - b.us <= 86400000000) AS live FROM p a JOIN p b ON b.owner = a.owner AND b.i <= a.i GROUP BY a.event_id)
+  SELECT owner, event_id, key, coalesce(us - prior <= 86400000000 AND between_ < 3, false) AS hit, CASE WHEN us - prior <= 86400000000 AND between_ < 3 THEN (us - prior) / 1000000 END AS age, CAST(least(3, live) AS INTEGER) AS held FROM p JOIN s USING (event_id)""")
+def st4(spark, sf):
+    """What of each user's events a cache of three kinds for a day, renewed by use, would have served; kept in a stream's state."""
+    requests = events_in(spark, sf).select(F.col("user_id").alias("owner"), "event_id", F.col("event_type").alias("key"), "ts")
+    return cache.run(cache.served(requests, 86400, 3, renew=True), scratch(spark))
