@@ -40,10 +40,10 @@ def test_graph_scopes(spark):
     assert all(x.warnings[0] == "graph_not_found" and x.papers == 0 for x in none.collect())
 
 
-def brute(members, texts, most):
+def brute(rows, most, centre):
     said: dict = {}
-    for c, v in sorted({m for m in members if m[0] is not None and m[1] is not None}):
-        for t in (t for i, t in texts if i == v):
+    for c, _, t in rows:
+        if c is not None:
             for x in re.split(r"[.!?]+(?:\s|$)|\n", t or ""):
                 if x.strip(" "):
                     said.setdefault(c, []).append(x.strip(" "))
@@ -54,8 +54,9 @@ def brute(members, texts, most):
             spread.setdefault(w, set()).add(c)
     out = {}
     for c, all_ in said.items():
-        weigh = lambda w: sum(w in words(x) for x in all_) / len(all_) * math.log(1 + len(said) / len(spread[w]))  # noqa: B023, E731
-        score = lambda x: round(sum(map(weigh, words(x))) / math.sqrt(len(words(x))), 6) if words(x) else 0.0  # noqa: B023, E731
+        weigh = {w: round(sum(w in words(x) for x in all_) / len(all_) * math.log(1 + len(said) / len(spread[w])), 9) for w in {w for x in all_ for w in words(x)}}
+        top = set(sorted(weigh, key=lambda w: (-weigh[w], w))[:centre])
+        score = lambda x: round(sum(weigh[w] for w in words(x) & top) / math.sqrt(len(words(x)) or 1), 6)  # noqa: B023, E731
         out[c] = [(x, score(x)) for x in sorted(set(all_), key=lambda x: (-score(x), x))[:most]]  # noqa: B023
     return out
 
@@ -64,20 +65,20 @@ def test_central_sentences_equal_a_plain_loop(spark):
     r = random.Random(3)
     vocab = [f"{a}{b}x" for a in "abcdefgh" for b in "klmnopqr"]
     texts = [(i, "".join(" ".join(r.choices(vocab[: r.choice((4, 20, 64))], k=r.randrange(1, 9))) + r.choice([". ", "!\n", "? ", "\n"]) for _ in range(r.randrange(0, 7)))) for i in range(60)]
-    texts += [(60, None), (61, ""), (62, "a. b. c"), (0, texts[0][1])]
-    members = [(r.choice(["one", "two", "three"]), i) for i in range(60)] + [("one", 0), ("one", 0), (None, 1), ("one", None), ("dumb", 60), ("dumb", 61), ("short", 62)]
-    m, t = spark.createDataFrame(members, "community string, node_id long"), spark.createDataFrame(texts, "node_id long, text string")
+    rows = [(r.choice(["one", "two", "three"]), i, x) for i, x in texts]
+    rows += [rows[0], rows[0], (None, 1, "No community."), ("one", None, "No node here."), ("dumb", 60, None), ("dumb", 61, ""), ("short", 62, "b. a. c\nb. d")]
+    m = spark.createDataFrame(rows, "community string, node_id long, text string")
     got: dict = {}
-    for x in communities.central_sentences(m, t, 4).orderBy("community", "rank").collect():
+    for x in communities.central_sentences(m, 4, 12).orderBy("community", "rank").collect():
         got.setdefault(x.community, []).append((x.sentence, x.score))
-    want = brute(members, texts, 4)
+    want = brute(rows, 4, 12)
     assert {c: [s for s, _ in v] for c, v in got.items()} == {c: [s for s, _ in v] for c, v in want.items()}
     assert all(abs(a[1] - b[1]) < 2e-6 for c in want for a, b in zip(got[c], want[c], strict=True))
-    told = {x.community: x for x in communities.summaries(m, t, 2).collect()}
+    told = {x.community: x for x in communities.summaries(m, 2).collect()}
     assert set(told) == {"one", "two", "three", "dumb", "short"} and (told["dumb"].members, told["dumb"].summary) == (2, "")
     assert told["short"].summary == "a. b."
-    assert communities.summaries(m.limit(0), t).count() == 0
-    upper = communities.summaries(m, t, 2, write=lambda p: p.str.upper().str[:9]).collect()
+    assert communities.summaries(m.limit(0)).count() == 0
+    upper = communities.summaries(m, 2, write=lambda p: p.str.upper().str[:9]).collect()
     assert {x.community: x.summary for x in upper} == {c: "SUMMARIZE" if c != "dumb" else "" for c in told}
 
 

@@ -86,37 +86,52 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 2))
 
 
-def central_sentences(members: DataFrame, texts: DataFrame, most: int = 3) -> DataFrame:
-    """(community, rank, sentence, score): the ``most`` sentences of each community that are most like all of its sentences.
+#: Words that make up the centre of a community, those of greatest weight.
+CENTRE = 1000
 
-    A sentence's words weigh by the share of the community's sentences that have them, and more the fewer communities do (ln(1 + communities / those with the word)); their sum is
-    divided by the root of their number. That is its mean similarity to all sentences, had from one row a
-    community and word instead of from pairs. ``members`` is (community, node_id), ``texts`` (node_id, text). Repeated members count once; repeated
-    sentences are one that weighs as often as it occurs; the least of ties comes first. Members without text, null communities and null nodes add nothing.
-    """
-    own = members.where("community is not null").select("community", "node_id").distinct()
-    said = own.join(texts.select("node_id", "text"), "node_id").select("community", F.explode(sentences(F.col("text"))).alias("sentence"))
-    said = said.groupBy("community", "sentence").agg(F.count(F.lit(1)).alias("times"))
-    word = said.select("community", "sentence", "times", terms(F.col("sentence")).alias("_t")).select("community", "sentence", "times", F.size("_t").alias("size"), F.explode("_t").alias("term"))
-    centre = word.groupBy("community", "term").agg(F.sum("times").alias("have"))
-    spread = centre.groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
-    total = said.groupBy("community").agg(F.sum("times").alias("total"))
-    all_ = total.agg(F.count(F.lit(1)).alias("communities"))
-    weight = F.col("have") / F.col("total") * F.ln(1 + F.col("communities") / F.col("spread"))
-    weighed = centre.join(spread, "term").join(total, "community").crossJoin(F.broadcast(all_)).select("community", "term", weight.alias("w"))
-    score = word.join(weighed, ["community", "term"]).groupBy("community", "sentence").agg((F.sum("w") / F.sqrt(F.first("size"))).alias("score"))
-    # Rounded before ranking: sums of floating numbers depend on their order.
-    each = said.join(score, ["community", "sentence"], "left").select("community", "sentence", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
-    return ranking.ranked(each, "score", "sentence", ["community"], most=most).select("community", "rank", "sentence", "score")
+
+def _said(rows: DataFrame) -> DataFrame:
+    """(community, sentence, one, two, size, words): every sentence of (community, text) with its identity of 96 bits and its different words."""
+    s = rows.where("community is not null").select("community", F.explode(sentences(F.col("text"))).alias("sentence"))
+    s = s.select("community", "sentence", F.xxhash64("sentence").alias("one"), (F.crc32(F.encode("sentence", "UTF-8")) - (1 << 31)).cast("int").alias("two"), terms(F.col("sentence")).alias("words"))
+    return s.withColumn("size", F.size("words"))
 
 
-def summaries(members: DataFrame, texts: DataFrame, most: int = 3, write: Writer | None = None) -> DataFrame:
-    """(community, members, summary): the :func:`central_sentences` of each community, or what a model makes of them.
+def central_sentences(rows: DataFrame, most: int = 3, centre: int = CENTRE) -> DataFrame:
+    """(community, rank, sentence, score): of the texts (community, text), the ``most`` sentences of each community that are most like all of its sentences.
 
-    A community without any sentence has an empty summary, and no model is asked for it.
+    A word weighs by the share of the community's sentences that have it, and more the fewer communities do (ln(1 + communities / those with the word)); the ``centre`` words of
+    greatest weight count. A sentence's score is the sum of its words' weights by the root of their number: its mean similarity to all sentences, had from
+    the words of the centre instead of from pairs. Texts aren't shuffled: words are counted, and sentences known by hashes summed, before they meet; the
+    words of the centres are joined to all words, by a broadcast where they are few enough. Sentences count as often as they occur and are one in the result; the least of ties comes first. Null communities and texts without sentences add nothing.
+    """
+    said = _said(rows)
+    have = said.select("community", F.explode("words").alias("term")).groupBy("community", "term").agg(F.count(F.lit(1)).alias("have"))
+    spread = have.groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
+    total = said.groupBy("community").agg(F.count(F.lit(1)).alias("total"))
+    all_ = total.agg(F.count(F.lit(1)).alias("communities"))
+    # Rounded before ranking, here and below: sums of floating numbers depend on their order.
+    weight = F.round(F.col("have") / F.col("total") * F.ln(1 + F.col("communities") / F.col("spread")), 9)
+    weighed = have.join(spread, "term").join(total, "community").crossJoin(F.broadcast(all_)).select("community", "term", weight.alias("w"))
+    weighed = cut(ranking.ranked(weighed, "w", "term", ["community"], most=centre).select("community", "term", "w"))
+    word = said.select("community", "one", "two", "size", F.explode_outer("words").alias("term")).join(weighed, ["community", "term"], "left")
+    sums = word.groupBy("community", "one", "two").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    times = F.col("n") / F.greatest("size", F.lit(1))
+    score = F.round(F.col("w") / times / F.sqrt(F.greatest("size", F.lit(1))), 6)
+    place = Window.partitionBy("community").orderBy(F.desc("score"))
+    top = sums.select("community", "one", "two", score.alias("score")).withColumn("_p", F.rank().over(place)).where(F.col("_p") <= most).drop("_p")
+    # All that share the last score are in; their texts decide.
+    text = said.join(top, ["community", "one", "two"]).groupBy("community", "one", "two").agg(F.min("sentence").alias("sentence"), F.first("score").alias("score"))
+    return ranking.ranked(text, "score", "sentence", ["community"], most=most).select("community", "rank", "sentence", "score")
+
+
+def summaries(rows: DataFrame, most: int = 3, write: Writer | None = None) -> DataFrame:
+    """(community, members, summary) of texts (community, node_id, text): the :func:`central_sentences` of each community, or what a model makes of them.
+
+    Members are the different nodes. A community without any sentence has an empty summary, and no model is asked for it.
     """
-    size = members.where("community is not null and node_id is not null").groupBy("community").agg(F.count_distinct("node_id").alias("members"))
-    top = central_sentences(members, texts, most).groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence")))["sentence"].alias("s"))
+    size = rows.where("community is not null and node_id is not null").groupBy("community").agg(F.count_distinct("node_id").alias("members"))
+    top = central_sentences(rows, most).groupBy("community").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence")))["sentence"].alias("s"))
     out = size.join(top, "community", "left").withColumn("rule", F.coalesce(F.concat(F.array_join("s", ". "), F.lit(".")), F.lit("")))
     prompt = F.when(F.col("rule") != "", F.concat(F.lit("Summarize this community in 2 or 3 sentences. Members: "), F.col("members"), F.lit("\n"), F.col("rule")))
     return out.select("community", "members", _written(prompt, write, F.col("rule")).alias("summary"))
@@ -137,6 +152,7 @@ def global_search(questions: DataFrame, told: DataFrame, most: int = 10, write:
     """
     q = questions.where("query_id is not null").groupBy("query_id").agg(F.min("question").alias("question"))
     words = q.select("query_id", terms(F.col("question")).alias("_t")).select("query_id", F.size("_t").alias("size"), F.explode("_t").alias("term"))
+    told = cut(told)  # a row a community, which is read twice
     held = told.select("community", F.explode(terms(F.col("summary"))).alias("term"))
     hits = words.join(held, "term").groupBy("query_id", "community").agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
     best = ranking.ranked(hits.withColumn("score", F.round("score", 6)), "score", "community", ["query_id"], most=most)

@@ -50,7 +50,7 @@ _SENTENCES = r"""m AS (SELECT DISTINCT lang || ':' || source AS community, doc_i
   said AS (SELECT community, sentence, count(*) AS times FROM raw WHERE sentence <> '' GROUP BY ALL),
   word AS (SELECT community, sentence, times, len(t) AS size, unnest(t) AS term FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: length(w) > 2)) AS t FROM said)),
   centre AS (SELECT community, term, sum(times) AS have FROM word GROUP BY ALL), spread AS (SELECT term, count(*) AS spread FROM centre GROUP BY term), total AS (SELECT community, sum(times) AS total FROM said GROUP BY ALL),
-  weigh AS (SELECT community, term, have / total * ln(1 + (SELECT count(*) FROM total) / spread) AS w FROM centre JOIN spread USING (term) JOIN total USING (community)),
+  weigh AS (SELECT community, term, round(have / total * ln(1 + (SELECT count(*) FROM total) / spread), 9) AS w FROM centre JOIN spread USING (term) JOIN total USING (community) QUALIFY row_number() OVER (PARTITION BY community ORDER BY round(have / total * ln(1 + (SELECT count(*) FROM total) / spread), 9) DESC, term) <= 1000),
   score AS (SELECT community, sentence, sum(w) / sqrt(any_value(size)) AS score FROM word JOIN weigh USING (community, term) GROUP BY ALL),
   best AS (SELECT community, sentence, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY community ORDER BY round(coalesce(score, 0), 6) DESC, sentence) - 1 AS rank FROM said LEFT JOIN score USING (community, sentence) QUALIFY rank < 3),
   told AS (SELECT community, (SELECT count(*) FROM m WHERE m.community = b.community) AS members, string_agg(sentence, '. ' ORDER BY rank) || '.' AS summary FROM best b GROUP BY community)"""
@@ -58,13 +58,12 @@ _SENTENCES = r"""m AS (SELECT DISTINCT lang || ':' || source AS community, doc_i
 
 def told(spark, sf):
     d = table(spark, sf, "documents")
-    members = d.select(F.concat("lang", F.lit(":"), "source").alias("community"), F.col("doc_id").alias("node_id"))
-    return members, communities.summaries(members, d.select(F.col("doc_id").alias("node_id"), "text"))
+    return communities.summaries(d.select(F.concat("lang", F.lit(":"), "source").alias("community"), F.col("doc_id").alias("node_id"), "text"))
 
 
 @query("g17_community_summaries", f"WITH {_SENTENCES} SELECT * FROM told")
 def g17_summaries(spark, sf):
-    return told(spark, sf)[1]
+    return told(spark, sf)
 
 
 @query("g17_global_search", rf"""WITH {_SENTENCES}, terms AS (SELECT item_id AS query_id, len(t) AS size, unnest(t) AS term FROM (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 2)) AS t FROM benchmark)),
@@ -75,7 +74,7 @@ def g17_summaries(spark, sf):
 def g17_global(spark, sf):
     """Every benchmark text asked of all communities."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return communities.global_search(q, told(spark, sf)[1])
+    return communities.global_search(q, told(spark, sf))
 
 
 def part_graph(spark, sf):
@@ -113,7 +112,7 @@ def g17_local(spark, sf):
     n, e, said, _ = part_graph(spark, sf)
     p = table(spark, sf, "part").select(F.col("p_brand").alias("community"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("node_id"), F.col("p_name").alias("text"))
     q = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.col("n_name").alias("question"), F.array(F.concat(F.lit("supplier:"), F.col("n_nationkey") + 1)).alias("nodes"), F.lit(1).alias("hops"))
-    return communities.local_search(q, n, e, p, communities.summaries(p, p), said)
+    return communities.local_search(q, n, e, p, communities.summaries(p), said)
 
 
 @query("st4_cache", """WITH e AS (SELECT event_id, user_id AS owner, event_type AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
