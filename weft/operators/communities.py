@@ -109,12 +109,12 @@ def central_sentences(rows: DataFrame, most: int = 3, centre: int = CENTRE) -> D
     """
     said = _said(rows)
     have = said.select("community", F.explode("words").alias("term")).groupBy("community", "term").agg(F.count(F.lit(1)).alias("have"))
-    spread = have.groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
+    have = have.withColumn("spread", F.count(F.lit(1)).over(Window.partitionBy("term")))
     total = said.groupBy("community").agg(F.count(F.lit(1)).alias("total"))
     all_ = total.agg(F.count(F.lit(1)).alias("communities"))
     # Rounded before ranking, here and below: sums of floating numbers depend on their order.
     weight = F.round(F.col("have") / F.col("total") * F.ln(1 + F.col("communities") / F.col("spread")), 9)
-    weighed = have.join(spread, "term").join(total, "community").crossJoin(F.broadcast(all_)).select("community", "term", weight.alias("w"))
+    weighed = have.join(total, "community").crossJoin(F.broadcast(all_)).select("community", "term", weight.alias("w"))
     weighed = cut(ranking.ranked(weighed, "w", "term", ["community"], most=centre).select("community", "term", "w"))
     few = weighed.count() <= FEW
     word = said.select("community", "one", "two", "size", F.explode_outer("words").alias("term")).join(F.broadcast(weighed) if few else weighed, ["community", "term"], "left")
