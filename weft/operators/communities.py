@@ -86,8 +86,6 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 2))
 
 
-#: Words that make up the centre of a community, those of greatest weight.
-CENTRE = 1000
 #: Words of all centres up to which they are broadcast; more meet the texts' words in a shuffle.
 FEW = 250_000
 
@@ -99,11 +97,11 @@ def _said(rows: DataFrame) -> DataFrame:
     return s.withColumn("size", F.size("words"))
 
 
-def central_sentences(rows: DataFrame, most: int = 3, centre: int = CENTRE) -> DataFrame:
+def central_sentences(rows: DataFrame, most: int = 3, centre: int | None = None) -> DataFrame:
     """(community, rank, sentence, score): of the texts (community, text), the ``most`` sentences of each community that are most like all of its sentences.
 
-    A word weighs by the share of the community's sentences that have it, and more the fewer communities do (ln(1 + communities / those with the word)); the ``centre`` words of
-    greatest weight count. A sentence's score is the sum of its words' weights by the root of their number: its mean similarity to all sentences, had from
+    A word weighs by the share of the community's sentences that have it, and more the fewer communities do (ln(1 + communities / those with the word)); all words count, or with ``centre`` that many of
+    greatest weight. A sentence's score is the sum of its words' weights by the root of their number: its mean similarity to all sentences, had from
     the words of the centre instead of from pairs. Texts aren't shuffled: words are counted, and sentences known by hashes summed, before they meet; the
     words of the centres are joined to all words, by a broadcast where they are counted as few enough. Sentences count as often as they occur and are one in the result; the least of ties comes first. Null communities and texts without sentences add nothing.
     """
@@ -115,7 +113,7 @@ def central_sentences(rows: DataFrame, most: int = 3, centre: int = CENTRE) -> D
     # Rounded before ranking, here and below: sums of floating numbers depend on their order.
     weight = F.round(F.col("have") / F.col("total") * F.ln(1 + F.col("communities") / F.col("spread")), 9)
     weighed = have.join(total, "community").crossJoin(F.broadcast(all_)).select("community", "term", weight.alias("w"))
-    weighed = cut(ranking.ranked(weighed, "w", "term", ["community"], most=centre).select("community", "term", "w"))
+    weighed = cut(weighed if centre is None else ranking.ranked(weighed, "w", "term", ["community"], most=centre).select("community", "term", "w"))
     few = weighed.count() <= FEW
     word = said.select("community", "one", "two", "size", F.explode_outer("words").alias("term")).join(F.broadcast(weighed) if few else weighed, ["community", "term"], "left")
     sums = word.groupBy("community", "one", "two").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))

@@ -50,7 +50,7 @@ _SENTENCES = r"""m AS (SELECT DISTINCT lang || ':' || source AS community, doc_i
   said AS (SELECT community, sentence, count(*) AS times FROM raw WHERE sentence <> '' GROUP BY ALL),
   word AS (SELECT community, sentence, times, len(t) AS size, unnest(t) AS term FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: length(w) > 2)) AS t FROM said)),
   centre AS (SELECT community, term, sum(times) AS have FROM word GROUP BY ALL), spread AS (SELECT term, count(*) AS spread FROM centre GROUP BY term), total AS (SELECT community, sum(times) AS total FROM said GROUP BY ALL),
-  weigh AS (SELECT community, term, round(have / total * ln(1 + (SELECT count(*) FROM total) / spread), 9) AS w FROM centre JOIN spread USING (term) JOIN total USING (community) QUALIFY row_number() OVER (PARTITION BY community ORDER BY round(have / total * ln(1 + (SELECT count(*) FROM total) / spread), 9) DESC, term) <= 1000),
+  weigh AS (SELECT community, term, round(have / total * ln(1 + (SELECT count(*) FROM total) / spread), 9) AS w FROM centre JOIN spread USING (term) JOIN total USING (community)),
   score AS (SELECT community, sentence, sum(w) / sqrt(any_value(size)) AS score FROM word JOIN weigh USING (community, term) GROUP BY ALL),
   best AS (SELECT community, sentence, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY community ORDER BY round(coalesce(score, 0), 6) DESC, sentence) - 1 AS rank FROM said LEFT JOIN score USING (community, sentence) QUALIFY rank < 3),
   told AS (SELECT community, (SELECT count(*) FROM m WHERE m.community = b.community) AS members, string_agg(sentence, '. ' ORDER BY rank) || '.' AS summary FROM best b GROUP BY community)"""
