@@ -101,3 +101,42 @@ def test_distributed_sort_finds_the_repeats(spark):
             (want if raw[i : i + 20] in seen else set()).add((k, i))
             seen.add(raw[i : i + 20])
     assert {tuple(x) for x in suffix_sort.repeated_strings(d, length=20).collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [suffixes.CROWD, 3])
+def test_texts_are_dealt_once(spark, monkeypatch, crowd):
+    """Crowded grams take no job of their own, in which the texts were compressed and dealt a second time."""
+    dealt, packed = spark.sparkContext.accumulator(0), suffixes._packed
+
+    def counted(batches):
+        for b in packed(batches):
+            dealt.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(suffixes, "_packed", counted)
+    monkeypatch.setattr(suffixes.repeated_stretches, "__defaults__", (100, crowd))
+    rows = documents()
+    suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert dealt.value == len(rows)
+
+
+def test_strings_over_batches():
+    """The first string of a hash is kept from batch to batch, beside parts of grams between them."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    shared = bytes(r.randrange(256) for _ in range(120))
+    rows = sorted((r.randrange(4), r.randrange(1, 3), r.randrange(9), 1000 * r.randrange(6), None) for _ in range(150))
+    rows = sorted([*rows, *[(k, 0, 20 + d, 0, shared) for k in range(4) for d in range(2 * k, 2 * k + 2)]], key=lambda x: x[:4])
+    kinds = [*[pa.int64()] * 4, pa.binary()]
+    as_batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["key", "more", "doc", "at", "part"])
+    want, first = set(), {}
+    for key, more, doc, at, part in rows:
+        if part is None and first.setdefault((key, more), (doc, at)) != (doc, at):
+            want.add((doc, at, -100))
+    want |= {(20 + d, 0, -120) for d in (1, 3, 5, 7)}
+    # All the parts are of the same bytes, of which the first lot keeps one.
+    want |= {(20 + d, 0, -120) for d in (2, 4, 6)}
+    for size in (1, 7, 150, 400):
+        got = [tuple(c[i].as_py() for c in b.columns) for b in suffixes._sorted_out(100)(as_batch(rows[i : i + size]) for i in range(0, len(rows), size)) for i in range(b.num_rows)]
+        assert set(got) == want

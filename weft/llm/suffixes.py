@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with a distributed difference-cover suffix sort.
+"""Exact removal of repeated byte strings: those that can be equal are brought together, then suffix-sorted.
 
 Sorting every suffix of a corpus would move each byte many times between
 machines. Equal strings of ``length`` bytes can be brought together more
@@ -10,7 +10,8 @@ consecutive strings with the same anchor ("contexts"), and
    earliest are repeats as a whole;
 2. where one gram has different contexts, their bytes are gathered by gram and
    suffix-sorted with the difference-cover algorithm (Kärkkäinen and Sanders,
-   2003), which then compares adjacent prefixes;
+   2003), which then compares adjacent prefixes; where it has more than ``CROWD``, each
+   of their strings is dealt by its own hash instead, in the same shuffle;
 3. the repeats of each document are united.
 
 All steps are exact but for 64-bit hashes of whole contexts that share a gram hash as well.
@@ -19,6 +20,7 @@ All steps are exact but for 64-bit hashes of whole contexts that share a gram ha
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed, lots
+from weft.llm.common import checkpointed, lots, sent
 
 #: Bytes of text, or list items, that a task unpacks at a time, and bytes that it sorts at a time.
 _LOT, _ITEMS, _SORTED = 8 << 20, 20_000, 1 << 19
+#: Rows that a task gives out at a time.
+_ROWS = 50_000
 #: Length of the grams that anchors are chosen from.
 GRAM = 37
 #: Positions handled at a time; they share a word with the top bits of a hash.
@@ -326,8 +330,12 @@ def _compare(length: int):
     return run
 
 
+_PART = "key long, more long, doc long, at long, part binary"
+
+
 def _cut_out(length: int):
-    """(key, doc, at, part): the bytes of the contexts listed for each text."""
+    """(key, more, doc, at, part): the bytes of the contexts listed for each text; of crowded grams each string instead, with both halves of its hash as key and more, and no bytes."""
+    names, types = ["key", "more", "doc", "at", "part"], [*[pa.int64()] * 4, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (y for whole in batches for x in lots(whole, 2, _ITEMS) for y in lots(x, 1, _LOT // 2)):
@@ -337,39 +345,67 @@ def _cut_out(length: int):
             for i, wanted in enumerate(b.column(2).to_pylist()):
                 for x in wanted:
                     o = x["at"] - int(places[i])
-                    if 0 <= o < len(raws[i]) and (x["at"] >> _AT) == (int(places[i]) >> _AT):
-                        rows.append((x["key"], int(ids[i]), x["at"], raws[i][o : o + x["n"] + length - 1]))
+                    if not (0 <= o < len(raws[i]) and (x["at"] >> _AT) == (int(places[i]) >> _AT)):
+                        continue
+                    if x["crowd"]:
+                        for k in range(x["n"]):
+                            key, more = struct.unpack("<qq", hashlib.blake2b(raws[i][o + k : o + k + length], digest_size=16).digest())
+                            rows.append((key, more, int(ids[i]), x["at"] + k, None))
+                    else:
+                        rows.append((x["key"], 0, int(ids[i]), x["at"], raws[i][o : o + x["n"] + length - 1]))
+                    if len(rows) >= _ROWS:
+                        yield _batch(names, list(zip(*rows, strict=True)), types)
+                        rows = []
             if rows:
-                yield _batch(["key", "doc", "at", "part"], list(zip(*rows, strict=True)), [*[pa.int64()] * 3, pa.binary()])
+                yield _batch(names, list(zip(*rows, strict=True)), types)
 
     return run
 
 
+def _later(strings: np.ndarray, first: np.ndarray | None, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Stretches (doc, at, n < 0) of the strings (key, more, doc, at) but the first of each hash, and that of the last hash. Sorted; ``first`` is that of rows before."""
+    if first is not None:
+        strings = np.concatenate((first[:, None], strings), axis=1)
+    key, more, doc, at = strings
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    mine = np.flatnonzero(new)[np.cumsum(new) - 1]
+    again = (doc != doc[mine]) | (at != at[mine])  # a repeated row is one document
+    d, a, s = _united(doc[again], at[again], np.full(int(again.sum()), length))
+    return [d, a, -s], strings[:, mine[-1]]
+
+
 def _sorted_out(length: int):
-    """Stretches to remove, from parts sorted by gram: whole grams are gathered up to the size of one suffix sort."""
+    """Stretches to remove (n < 0), from parts sorted by gram, which are gathered in whole grams up to the size of one suffix sort, and strings sorted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot: list[tuple[int, int, bytes]] = []
         group: list[tuple[int, int, bytes]] = []
         lot_size = group_size = 0
-        current = None
+        current = first = None
 
         def done(parts: list) -> Iterator[pa.RecordBatch]:
             if parts and (found := repeats(parts, length)):
                 d, a, s = zip(*found, strict=True)
                 yield _batch(["doc", "at", "n"], [d, a, [-x for x in s]])
 
-        for b in (x for whole in batches for x in lots(whole, 3, _LOT // 2)):
-            for key, doc, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != current:
-                    if lot_size + group_size > _SORTED:
-                        yield from done(lot)
-                        lot, lot_size = [], 0
-                    lot += group
-                    lot_size += group_size
-                    group, group_size, current = [], 0, key
-                group.append((doc, at, part))
-                group_size += len(part) + 1
+        for whole in batches:
+            alone = whole.filter(whole.column(4).is_null())
+            if alone.num_rows:
+                strings = np.stack([c.to_numpy(zero_copy_only=False) for c in alone.columns[:4]])
+                out, first = _later(strings, first, length)
+                yield _batch(["doc", "at", "n"], out)
+            for b in lots(whole.filter(whole.column(4).is_valid()), 4, _LOT // 2):
+                for key, _, doc, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if key != current:
+                        if lot_size + group_size > _SORTED:
+                            yield from done(lot)
+                            lot, lot_size = [], 0
+                        lot += group
+                        lot_size += group_size
+                        group, group_size, current = [], 0, key
+                    group.append((doc, at, part))
+                    group_size += len(part) + 1
         if lot_size + group_size > _SORTED:
             yield from done(lot)
             lot = []
@@ -378,21 +414,6 @@ def _sorted_out(length: int):
     return run
 
 
-def _strings(length: int):
-    """(hash, doc, at) of every string of the given parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for whole in batches for x in lots(whole, 3, _LOT // 16)):
-            rows = []
-            for _, doc, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for i in range(len(part) - length + 1):
-                    rows.append((hashlib.blake2b(part[i : i + length], digest_size=16).digest(), doc, at + i))
-            if rows:
-                yield _batch(["string", "doc", "at"], list(zip(*rows, strict=True)), [pa.binary(), pa.int64(), pa.int64()])
-
-    return run
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -415,20 +436,14 @@ def repeated_stretches(texts: DataFrame, packed: DataFrame, length: int = 100, c
     found = checkpointed(dealt.mapInArrow(_compare(length), "doc long, at long, n long, key long"))
     whole = found.where("n < 0").select("doc", "at", (-F.col("n")).alias("n"))
     part = found.where("n > 0")
-    wanted = part.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "key")).alias("wanted"))
-    parts = _with_lists(packed, wanted, "inner").select("id", "packed", "wanted").mapInArrow(_cut_out(length), "key long, doc long, at long, part binary")
-    many = checkpointed(part.groupBy("key").count().where(F.col("count") > crowd).select("key"))
-    # Each gram's parts go to one task, which takes them gram by gram; crowded grams are spread by string.
-    few = parts.join(many, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "at")
-    removed = few.mapInArrow(_sorted_out(length), "doc long, at long, n long").select("doc", "at", (-F.col("n")).alias("n"))
-    out = whole.union(removed)
-    if not many.isEmpty():
-        strings = parts.join(many, "key", "left_semi").select("key", "doc", "at", "part").mapInArrow(_strings(length), "string binary, doc long, at long").distinct()
-        strings = checkpointed(strings)
-        first = strings.groupBy("string").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = strings.join(first, "string").where(F.struct("doc", "at") != F.col("first"))
-        out = out.union(later.select("doc", "at", F.lit(length).cast("long").alias("n")))
-    return out
+    many = sent(part.groupBy("key").count().where(F.col("count") > crowd).select("key", F.lit(True).alias("crowd")))
+    wanted = part.join(many, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "key", "crowd")).alias("wanted"))
+    parts = _with_lists(packed, wanted, "inner").select("id", "packed", "wanted").mapInArrow(_cut_out(length), _PART)
+    # Each gram's parts go to one task, which takes them gram by gram; crowded grams are spread by string. All are
+    # rows of one shuffle: with a job of their own for the crowded ones the texts would be dealt again.
+    dealt = parts.repartition("key").sortWithinPartitions("key", "more", "doc", "at")
+    removed = dealt.mapInArrow(_sorted_out(length), "doc long, at long, n long").select("doc", "at", (-F.col("n")).alias("n"))
+    return whole.union(removed)
 
 
 def _digest(id_col: str):
