@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import scores
+from weft.operators import dense
 
 
 def ranked(df: DataFrame, score: str, tie: str, within: list[str] | None = None, name: str = "rank", most: int | None = None) -> DataFrame:
@@ -60,24 +61,18 @@ def within_budget(df: DataFrame, cost: str, budget: int, order: list[Column], wi
     return out.withColumn("_over", F.max((F.col("_sum") > budget).cast("int")).over(w)).where("_over = 0").drop("_sum", "_over")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "vector", block: int = 4096) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest of ``corpus`` by cosine for each of a stated set of queries.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "vector", block: int = 16384, within: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest of ``corpus`` by cosine for each of a stated set of queries; with ``within`` of those with the query's value of this column.
 
-    At most about ``block`` queries are sent to the corpus at a time, which is read
-    once for each such block and not shuffled; each task keeps its own best ``k`` before they
-    meet. Norms are computed once a row.
+    At most ``block`` queries are sent to the corpus at a time, which is dealt to the tasks
+    once for each such block; each task keeps its own best ``k`` before they meet. Vectors that are null or zero, hold nulls or
+    are not as long as the query's have a score of 0. Ids are whole numbers; null ones are left out.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"), F.sqrt(scores.dot(F.col(vector), F.col(vector))).alias("_qn"))
-    c = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.sqrt(scores.dot(F.col(vector), F.col(vector))).alias("_n"))
-    parts = -(-q.count() // block) or 1
-    found = None
-    for part in range(parts):
-        mine = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else q
-        pairs = c.join(F.broadcast(mine), F.lit(True)).where(F.col("id") != F.col("query_id"))
-        scored = pairs.select("query_id", "id", F.coalesce(F.try_divide(scores.dot(F.col("_q"), F.col("_v")), F.col("_qn") * F.col("_n")), F.lit(0.0)).alias("score"))
-        top = ranked(scored, "score", "id", ["query_id"], most=k)
-        found = top if found is None else found.union(top)
-    return found
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[id_col]
+    group = F.col(within) if within else F.lit(0)
+    of = lambda df, key, name: df.select(F.col(key).cast("long").alias(name), group.alias("grp"), F.col(vector).alias("vector"))
+    found = dense.nearest(of(queries, query_id, "query_id"), of(corpus, id_col, "id"), k, block)
+    return ranked(found.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("id").cast(kinds[1]).alias("id"), "score"), "score", "id", ["query_id"], most=k)
 
 
 def postings(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
