@@ -148,12 +148,10 @@ _HIER = "l0 AS (SELECT vec_id AS q, label AS paper FROM embeddings WHERE vec_id
 
 @query("v07_hierarchical", f"WITH {_HIER} SELECT q AS query_id, id, round(score, 6) AS score FROM l1 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) <= 5")
 def v07(spark, sf):
-    """The level above selects groups; the level below is searched within them by an equi-join."""
-    e = table(spark, sf, "embeddings")
-    top = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    below = e.select(F.col("vec_id").alias("id"), "label", "embedding").join(top, "label").where("id <> query_id")
-    s = below.select("query_id", "id", scores.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return ranking.ranked(s, "score", "id", ["query_id"], most=5).select("query_id", "id", F.round("score", 6).alias("score"))
+    """The level above selects groups; the level below is searched within them."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    top = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return ranking.nearest(top, e, 5, within="label").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("v08_evidence_score", f"WITH {EVIDENCE} SELECT evidence_id, 8 + (contains(lower(limitation), 'high')::INT + contains(lower(limitation), 'urgent')::INT) + (contains(lower(finding), 'high')::INT + contains(lower(finding), 'urgent')::INT) + CASE WHEN contains(lower(topic), 'high') OR contains(lower(topic), 'urgent') THEN 2 ELSE 0 END + CASE WHEN contains(lower(method), 'high') THEN 2 ELSE 0 END + CASE strength WHEN 'high' THEN 1 WHEN 'low' THEN -2 ELSE 0 END AS score FROM evidence")
