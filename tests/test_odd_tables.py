@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 
 from weft import plans
+from weft.operators import dense, ranking, records
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -26,3 +30,59 @@ def test_headings_in_capitals_and_after_numbers(spark, tmp_path):
     lines = ["Is", "THE", "the", "The ", " That It.", "THAT IT.", "1. The end", "3) is", "2. Method and data", "2. Method", "The\x0b", "İs", "The ", ""]
     here, sql = compared(spark, tmp_path, "f22_headings", documents=([(1, "\n".join(lines)), (7, "The\nThe"), (8, "2. Method and data"), (9, None)], "doc_id long, text string"))
     assert here == sql and len(sql) == 10
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def vectors(n, copies, labels=3, seed=4):
+    r = random.Random(seed)
+    some = [[float(r.randint(-3, 3)) for _ in range(5)] + [1.0] for _ in range(n)]
+    return [(i, some[r.randrange(copies)] if i % 3 else some[i], r.randrange(labels)) for i in range(n)], "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("name", ["v02_dense_knn", "v04_dbsf", "v07_hierarchical"])
+def test_nearest_vectors_with_copies(spark, tmp_path, name):
+    here, sql = compared(spark, tmp_path, name, embeddings=vectors(700, 300 if name == "v04_dbsf" else 4), documents=([(1, "none")], "doc_id long, text string"))
+    assert len(here) == len(sql) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 for a, b in zip(here, sql, strict=True))
+    assert "NestedLoopJoin" not in (p := plan(plans.QUERIES[name](spark, str(tmp_path)))) and "Aggregate" not in p and "MapInArrow" in p
+
+
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(dense, "_STEP", 7)
+    r, nan = random.Random(2), float("nan")
+    odd = [None, [], [0.0] * 4, [1.0, None, 1.0, 1.0], [1.0] * 3, [nan, 1.0, 1.0, 1.0], [1e300] * 4]
+    rows = [(i, odd[i % 20] if i % 20 < len(odd) else [float(r.randint(-2, 2)) for _ in range(4)], "ab"[i % 2] if i % 7 else None) for i in range(100)] + [(None, [1.0] * 4, "a")]
+    table = spark.createDataFrame(rows, "id long, v array<double>, g string")
+    asked = table.where("id % 5 = 0").withColumnRenamed("id", "q")
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y) or None in x + y:
+            return 0.0
+        dot = lambda a, b: sum(m * n for m, n in zip(a, b, strict=True))
+        under = math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))
+        return dot(x, y) / under if under else 0.0
+
+    for within in (None, "g"):
+        got = ranking.nearest(asked, table, 6, "q", "id", "v", block=8, within=within).collect()
+        want = []
+        for i, x, g in rows[:100:5]:
+            each = [(cosine(x, y), j) for j, y, h in rows[:100] if i != j and (not within or (g is not None and g == h))]
+            each.sort(key=lambda t: (-math.inf if math.isnan(t[0]) else -t[0], t[1]))
+            want += [(i, j, k, str(round(s, 9) + 0.0)) for k, (s, j) in enumerate(each[:6])]
+        assert sorted((x["query_id"], x["id"], x["rank"], str(round(x["score"], 9) + 0.0)) for x in got) == sorted(want)
+
+
+def test_vector_merges_of_copies_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dense, "TILE", 16)
+    rows, _ = vectors(120, 5)
+    rows = [(i, v, k if i % 11 else None) for i, v, k in rows] + [(200, None, 0), (201, [0.0] * 6, 0)]
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    into = {}
+    for i, v, k in rows:
+        near = [j for j, w, m in rows if j < i and into[j] == j and m == k and v and w and any(v) and any(w) and cos(v, w) >= 0.85]
+        into[i] = min(near, default=i)
+    out = records.vector_merges(spark.createDataFrame(rows, "id long, v array<float>, k int"), "id", "k", "v")
+    assert {r["id"]: (r["kept"], r["into"]) for r in out.collect()} == {i: (i == j, j) for i, j in into.items()} and out.count() == len(rows)
+    assert "NestedLoopJoin" not in plan(dense.similar_pairs(spark.createDataFrame(rows, "id long, vector array<float>, kind int"), 0.85))
