@@ -8,7 +8,7 @@ import random
 import pytest
 
 from weft import plans
-from weft.operators import dense, ranking, records
+from weft.operators import dense, ranking, records, sparse
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -86,3 +86,26 @@ def test_vector_merges_of_copies_and_tiles(spark, monkeypatch):
     out = records.vector_merges(spark.createDataFrame(rows, "id long, v array<float>, k int"), "id", "k", "v")
     assert {r["id"]: (r["kept"], r["into"]) for r in out.collect()} == {i: (i == j, j) for i, j in into.items()} and out.count() == len(rows)
     assert "NestedLoopJoin" not in plan(dense.similar_pairs(spark.createDataFrame(rows, "id long, vector array<float>, kind int"), 0.85))
+
+
+@pytest.mark.parametrize("name", ["v03_sparse_knn", "v04_hybrid", "v10_local_search"])
+def test_sparse_search_of_odd_texts(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(sparse, "_READ", 40)
+    monkeypatch.setattr(sparse, "QUERIES", 3)
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=r.randrange(40))) for _ in range(250)]
+    texts[7], texts[50], texts[60], texts[61] = None, texts[100], texts[100], texts[100]
+    texts[8], texts[9], texts[10] = "", "word0 " * 300, "lonely"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "word1 word2 word59"), (None, "word3 word4"), (None, "word3")]
+    tables = {"documents": (rows, "doc_id long, text string"), "embeddings": vectors(250, 200)}
+    if name == "v10_local_search":
+        for t, (rows, columns) in tables.items():
+            spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{t}.parquet")
+        both = plans.QUERIES[name](spark, str(tmp_path))
+        assert both.count() > 50 and both.groupBy("query_id").count().where("count > 60").isEmpty()
+        assert "explode" not in plan(both)
+    else:
+        here, sql = compared(spark, tmp_path, name, **tables)
+        assert here == sql and len(sql) > 40
+        assert "explode" not in plan(plans.QUERIES[name](spark, str(tmp_path)))

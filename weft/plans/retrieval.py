@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
-from weft.operators import chunks, graphs, lineage, ranking, records, reports, scanner, scopes, store
+from weft.operators import chunks, graphs, lineage, ranking, records, reports, scanner, scopes, sparse, store
 from weft.operators import evidence as evidence_ops
 from weft.plans.registry import query, table
 from weft.plans.tables import EVIDENCE, evidence
@@ -70,11 +70,7 @@ _SPARSE = f"{_TFIDF}, qv AS (SELECT id AS query_id, term, weight FROM v WHERE id
 
 
 def sparse_near(spark, sf, k):
-    w = lineage.cut(weights(spark, sf))  # both sides of the join come from it
-    q = w.where("id % 50 = 0").withColumnRenamed("id", "query_id")
-    # Rounded before ranking: sums of floating numbers depend on their order.
-    s = ranking.sparse_matches(q, w).where("query_id <> id").withColumn("score", F.round("score", 6))
-    return ranking.ranked(s, "score", "id", ["query_id"], most=k)
+    return ranking.ranked(sparse.nearest(table(spark, sf, "documents"), "doc_id", terms(), "id % 50 = 0", k), "score", "id", ["query_id"], most=k)
 
 
 @query("v03_sparse_knn", f"WITH {_SPARSE} SELECT query_id, id, round(score, 6) AS score FROM sp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) <= 10")
