@@ -109,3 +109,31 @@ def test_sparse_search_of_odd_texts(spark, tmp_path, monkeypatch, name):
         here, sql = compared(spark, tmp_path, name, **tables)
         assert here == sql and len(sql) > 40
         assert "explode" not in plan(plans.QUERIES[name](spark, str(tmp_path)))
+
+
+SUPPLIERS = ([(i, f"Supplier#{i:09d}", i % 3 if i % 13 else None) for i in range(90)], "s_suppkey long, s_name string, s_nationkey int")
+PARTS = ([(i, "hot metal" if i % 5 else None, f"Brand#{i % 4}", "LARGE", i % 7 if i % 17 else None) for i in range(300)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+
+
+def test_many_rows_of_few_keys(spark, tmp_path):
+    customers = [(i, f"Customer#{i:09d}", i % 3 if i % 11 else None) for i in range(200)], "c_custkey long, c_name string, c_nationkey int"
+    tables = {"customer": customers, "supplier": SUPPLIERS, "part": PARTS}
+    for name, n in (("f14_levenshtein", 4000), ("j04_pair_decision", 20000), ("j24_counter_evidence", 1000)):
+        here, sql = compared(spark, tmp_path, name, **tables)
+        assert here == sql and len(sql) > n
+        p = plan(plans.QUERIES[name](spark, str(tmp_path)))
+        assert "_part" in p and p.split("SortMergeJoin")[0].count("Exchange") == 0
+
+
+def test_backfill_of_evidence_of_several_papers(spark, tmp_path):
+    r = random.Random(5)
+    # Lines 1 to 12 of an order: line 11 of one is the evidence of line 1 of the next, of another part perhaps.
+    lines = [(r.randrange(40), r.randint(1, 12), r.randrange(30), r.randrange(12), "N") for _ in range(400)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string"),
+        "orders": ([(i, "1-URGENT", "O") for i in range(38)], "o_orderkey long, o_orderpriority string, o_orderstatus string"),
+        "supplier": ([(i, f"s{i}") for i in range(10)], "s_suppkey long, s_name string"),
+        "part": ([(i, "name", "type") for i in range(27)], "p_partkey long, p_name string, p_type string"),
+    }
+    here, sql = compared(spark, tmp_path, "j27_backfill", **tables)
+    assert here == sql and len(sql) == 10

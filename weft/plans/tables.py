@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
 from weft.operators import evidence as evidence_ops
-from weft.operators import measures, ranking, records, scopes, store
+from weft.operators import measures, ranking, records, scopes, spread, store
 from weft.plans.registry import query, table
 
 #: Parts as papers: cited by line items, last dated by them.
@@ -25,10 +25,12 @@ def papers(spark, sf):
     return p.join(cited, "paper_id", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
 
 
-def evidence(spark, sf):
+def evidence(spark, sf, parts_by=None):
+    """``parts_by`` is a hint how the parts are joined, as their files are far smaller than their rows."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("topic"), F.col("p_name").alias("finding"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("method"))
+    p = p.hint(parts_by) if parts_by else p
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("limitation"), F.col("o_orderstatus").alias("future_work"))
     strength = F.when(F.col("l_returnflag") == "R", "low").when(F.col("l_returnflag") == "A", "medium").otherwise("high")
     return line.join(p, "l_partkey").join(s, "l_suppkey").join(o, "l_orderkey").select(
@@ -305,11 +307,10 @@ def j03(spark, sf):
 
 @query("j04_pair_decision", "SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_brand = b.p_brand THEN 'merge' WHEN abs(a.p_size - b.p_size) <= 1 THEN 'possible_duplicate' ELSE 'new' END AS action FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
 def j04(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = p.alias("a"), p.alias("b")
-    action = evidence_ops.pair_decision("a", "b", F.col("a.p_brand") == F.col("b.p_brand"), F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1)
-    on = (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, on).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), action.alias("action"))
+    p = table(spark, sf, "part").select("p_name", "p_type", F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    q = p.withColumnsRenamed({"a": "b", "brand": "_brand", "size": "_size"})
+    action = evidence_ops.pair_decision("a", "b", F.col("brand") == F.col("_brand"), F.abs(F.col("size") - F.col("_size")) <= 1)
+    return spread.spread_join(p, q, ["p_name", "p_type"], "a", 8).where("a < b").select("a", "b", action.alias("action"))
 
 
 @query("j05_insert_new", "SELECT min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 1 AND (p_name, p_brand) NOT IN (SELECT p_name, p_brand FROM part WHERE p_partkey % 2 = 0) GROUP BY p_name, p_brand")
@@ -434,8 +435,8 @@ def j25(spark, sf):
 @query("j27_backfill", f"WITH {EVIDENCE} SELECT s_suppkey AS edge, count(DISTINCT evidence_id) AS n, min(evidence_id) AS first FROM supplier JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey JOIN evidence e ON e.paper_id = l_partkey GROUP BY 1")
 def j27(spark, sf):
     drawn = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("paper_id"))
-    out = evidence_ops.backfilled(drawn, evidence(spark, sf), "edge")
-    return out.groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.min("evidence_id").alias("first"))
+    drawn = drawn.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("edge")), "edge", "left_semi")
+    return evidence_ops.backfill_counts(drawn, evidence(spark, sf), "edge")
 
 
 # Aggregates -------------------------------------------------------------------------
