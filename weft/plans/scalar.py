@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import rules, scores, text
-from weft.operators import records
+from weft.operators import edits, records
 from weft.plans.registry import query, table
 
 WS = r"'^\s+|\s+$', '', 'g'"
@@ -105,8 +105,9 @@ def f13(spark, sf):
 
 @query("f14_levenshtein", "SELECT s_suppkey AS a, c_custkey AS b, levenshtein(s_name, c_name) AS distance FROM supplier JOIN customer ON s_nationkey = c_nationkey")
 def f14(spark, sf):
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"), F.levenshtein("s_name", "c_name").alias("distance"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return edits.distances(c, s).select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
 
 
 @query("f15_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
