@@ -8,7 +8,7 @@ import random
 import pytest
 
 from weft import plans
-from weft.operators import chunks, dense, edits, ranking, records, redundant, sparse
+from weft.operators import chunks, dense, edits, grams, ranking, records, redundant, sparse
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -180,3 +180,15 @@ def test_backfill_of_evidence_of_several_papers(spark, tmp_path):
     }
     here, sql = compared(spark, tmp_path, "j27_backfill", **tables)
     assert here == sql and len(sql) == 10
+
+
+def test_near_texts_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(grams, "_READ", 9)
+    r = random.Random(4)
+    base = ["".join(r.choice("ab é𝄞\0") for _ in range(60)) for _ in range(12)] + ["a", "ab", "abcd", "a\0"]
+    rows = [(i, t if i % 3 else t[:-1] + "x") for i, t in enumerate(r.choices(base, k=90))]
+    of = lambda t: {t[i : i + 5] for i in range(max(len(t) - 4, 1))}
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and len(of(x) & of(y)) >= 0.8 * len(of(x) | of(y)))
+    near = grams.similar(spark.createDataFrame(rows, "id long, t string"), 0.8, 5)
+    assert sorted(map(tuple, near.collect())) == want and len(want) > 50
+    assert "MapInArrow" in plan(near)
