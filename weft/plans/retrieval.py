@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weft.functions import rules, scores, text
+from weft.functions import rules, text
 from weft.operators import chunks, graphs, lineage, ranking, records, reports, scanner, scopes, sparse, store
 from weft.operators import evidence as evidence_ops
 from weft.plans.registry import query, table
